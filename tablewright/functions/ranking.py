@@ -4,22 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.workspace import ensure_checkpoint_dir
 from .columns import col
 
-# Distinct values that one window task may number.
-WINDOW_VALUES = 100_000
+# Distinct values that may be numbered on the driver.
+LISTED_VALUES = 100_000
 
 
-def sorted_codes(df: DataFrame, column: str, window_values: int = WINDOW_VALUES) -> DataFrame:
-    """(category, code): the distinct non-null values numbered 0..n-1 in sorted order."""
+def sorted_codes(df: DataFrame, column: str, listed_values: int = LISTED_VALUES) -> DataFrame:
+    """(category, code): the distinct non-null values numbered 0..n-1 in sorted order.
+
+    The result is materialised: up to `LISTED_VALUES` rows as a local table,
+    more as a checkpoint.
+    """
     distinct = df.select(col(column).alias("category")).dropna().distinct()
-    if distinct.limit(window_values + 1).count() <= window_values:
-        code = F.row_number().over(Window.orderBy("category")) - 1
-        return distinct.select("category", code.cast("long").alias("code"))
+    listed = distinct.orderBy("category").limit(listed_values + 1).collect()
+    if len(listed) <= listed_values:
+        codes = [(r["category"], i) for i, r in enumerate(listed)]
+        schema = T.StructType([*distinct.schema.fields, T.StructField("code", T.LongType())])
+        return df.sparkSession.createDataFrame(codes, schema)
 
-    # More values than one task should sort: range-partition them, number them
+    # More values than one place should hold: range-partition them, number them
     # inside each range and add the sizes of the ranges before it. The ranges
     # are materialised first, because sampling could place them differently
     # when a lost task is run again.
@@ -34,6 +41,7 @@ def sorted_codes(df: DataFrame, column: str, window_values: int = WINDOW_VALUES)
         .select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     )
     within = F.row_number().over(Window.partitionBy("part").orderBy("category")) - 1
-    return ranges.join(F.broadcast(offsets), "part").select(
+    numbered = ranges.join(F.broadcast(offsets), "part").select(
         "category", (within + F.col("offset")).cast("long").alias("code")
     )
+    return numbered.checkpoint()

@@ -81,12 +81,17 @@ def bar_numeric(df: DataFrame, x: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _auto_bins(n: int, low: float, high: float, q1: float, q3: float) -> int:
-    """Number of equal bins: the narrower of the Sturges and Freedman-Diaconis widths."""
+    """Number of equal bins: the narrower of the Sturges and Freedman-Diaconis widths.
+
+    The latter is taken no narrower than half the square-root rule's width, so
+    there are at most 2 * sqrt(n) bins.
+    """
     if high == low:
         return 1
-    sturges = (high - low) / (math.log2(n) + 1.0)
-    freedman = 2.0 * (q3 - q1) / n ** (1.0 / 3.0)
-    return math.ceil((high - low) / (min(freedman, sturges) if freedman else sturges))
+    spread = high - low
+    freedman = max(2.0 * (q3 - q1) / n ** (1.0 / 3.0), spread / math.sqrt(n) / 2.0)
+    sturges = spread / (math.log2(n) + 1.0)
+    return math.ceil(spread / min(freedman, sturges))
 
 
 def _spread(df: DataFrame, x: str) -> tuple[DataFrame, int, float, float, float]:
