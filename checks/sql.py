@@ -95,7 +95,7 @@ def sql_set_operations(spark, sf):
 
 
 WINDOW = """SELECT o_orderkey, o_custkey,
-       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nth,
+       CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS nth,
        round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS running
        FROM {db}"""
 
@@ -106,19 +106,19 @@ def sql_window(spark, sf):
 
 
 @query(
-    """SELECT upper(substr(p_brand, 1, 5)) AS brand, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS types,
+    """SELECT upper(substr(p_brand, 1, 8)) AS brand, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS types,
               sum(length(p_name))::BIGINT AS letters, max(p_brand || '/' || p_type) AS last_pair
-       FROM part GROUP BY upper(substr(p_brand, 1, 5))"""
+       FROM part GROUP BY upper(substr(p_brand, 1, 8))"""
 )
 def sql_strings(spark, sf):
     return _on(
         spark,
         sf,
         "part",
-        """SELECT upper(substr(p_brand, 1, 5)) AS brand,
+        """SELECT upper(substr(p_brand, 1, 8)) AS brand,
                   listagg(DISTINCT p_type, ',') WITHIN GROUP (ORDER BY p_type) AS types,
                   sum(length(p_name)) AS letters, max(p_brand || '/' || p_type) AS last_pair
-           FROM db GROUP BY upper(substr(p_brand, 1, 5))""",
+           FROM db GROUP BY upper(substr(p_brand, 1, 8))""",
     )
 
 

@@ -64,17 +64,62 @@ def _literal(value: float) -> str:
     return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
 
 
+@dataclass(frozen=True)
+class Guess:
+    """Two values that probably enclose a quantile."""
+
+    column: str
+    probability: float
+    low: float
+    high: float
+
+    def tests(self) -> list[str]:
+        """SQL conditions to count, in the order that `exact_quantiles` expects the counts."""
+        return _sides(quoted(self.column), f"{quoted(self.column)} IS NOT NULL", self.low, self.high)
+
+
+def guess_quantiles(
+    df: DataFrame, probabilities: dict[str, list[float]], rows: dict[str, int]
+) -> dict[str, list[Guess]]:
+    """Guesses for many columns in one job, from a sample.
+
+    They stay useful when some rows are filtered out afterwards: a wrong guess
+    costs a round of the search, never a wrong result.
+    """
+    names = [n for n in probabilities if rows[n] > 0]
+    values = numbers(df, names)
+    out: dict[str, list[Guess]] = {}
+    for chunk in batches(names):
+        drawn = values.select(*[col(n) for n in chunk], F.rand(0).alias("tw_draw"))
+        sketches = []
+        for i, n in enumerate(chunk):
+            margin = _margin(rows[n])
+            around = [q for p in probabilities[n] for q in (max(0.0, p - margin), min(1.0, p + margin))]
+            masked = F.expr(
+                f"CASE WHEN tw_draw < {_literal(_sampled(rows[n]) / rows[n])} THEN {quoted(n)} END"
+            )
+            sketches.append(F.percentile_approx(masked, around, SKETCH_ACCURACY).alias(f"s{i}"))
+        found = drawn.agg(*sketches).first()
+        for n, values_of in zip(chunk, found, strict=True):
+            if values_of is not None:
+                out[n] = [
+                    Guess(n, p, values_of[2 * i], values_of[2 * i + 1])
+                    for i, p in enumerate(probabilities[n])
+                ]
+    return out
+
+
 def exact_quantiles(
     df: DataFrame,
     probabilities: dict[str, list[float]],
     rows: dict[str, int] | None = None,
     direct_rows: int | None = None,
+    counted: list[tuple[Guess, list[int]]] | None = None,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of numeric columns.
 
-    `rows` are the non-missing counts where the caller already has them; an upper
-    bound is enough to choose the method but not for the search itself, so pass
-    exact counts.
+    `rows` are the exact non-missing counts, where the caller has them. `counted`
+    are guesses whose tests the caller counted on these rows in a job of its own.
     """
     limit = DIRECT_ROWS if direct_rows is None else direct_rows
     names = list(probabilities)
@@ -98,7 +143,12 @@ def exact_quantiles(
     large = [n for n in names if counts[n] > limit]
     if large:
         wanted = {n: sorted({r for p in probabilities[n] for r in _ranks(p, counts[n])}) for n in large}
-        at = order_statistics(values, wanted, {n: counts[n] for n in large}, limit)
+        searches = {n: {r: _Search(n, r, r, counts[n]) for r in wanted[n]} for n in large}
+        for guess, sides in counted or []:
+            if guess.column in searches:
+                for r in set(_ranks(guess.probability, counts[guess.column])):
+                    _move(searches[guess.column][r], guess.low, guess.high, *sides)
+        at = order_statistics(values, [s for found in searches.values() for s in found.values()], limit)
         for n in large:
             out[n] = [_interpolate(p, counts[n], at[n]) for p in probabilities[n]]
     return out
@@ -123,11 +173,8 @@ def _interpolate(p: float, n: int, at: dict[int, float]) -> float:
     return at[low] if low == high else at[low] * (1 - part) + at[high] * part
 
 
-def order_statistics(
-    values: DataFrame, ranks: dict[str, list[int]], rows: dict[str, int], limit: int
-) -> dict[str, dict[int, float]]:
-    """The values at the given 0-based ranks, for all columns together."""
-    searches = [_Search(n, r, r, rows[n]) for n, rs in ranks.items() for r in rs]
+def order_statistics(values: DataFrame, searches: list[_Search], limit: int) -> dict[str, dict[int, float]]:
+    """Finish the searches of all columns together: column -> rank -> value."""
     seed = 0
     while wide := [s for s in searches if s.value is None and s.rows > limit]:
         seed += 1
@@ -150,9 +197,7 @@ def _narrow(values: DataFrame, searches: list[_Search], seed: int) -> None:
     drawn = values.select(*[col(c) for c in columns], F.rand(seed).alias("tw_draw"))
     sketches = []
     for group in by_interval.values():
-        sampled = _sampled(group[0].rows)
-        # Four standard deviations of a sampled rank, and the sketch's own error.
-        margin = 2.0 / math.sqrt(sampled) + 1.0 / SKETCH_ACCURACY
+        sampled, margin = _sampled(group[0].rows), _margin(group[0].rows)
         probabilities = []
         for s in group:
             p = (s.wanted + 0.5) / s.rows
@@ -170,7 +215,7 @@ def _narrow(values: DataFrame, searches: list[_Search], seed: int) -> None:
             bounds[(s.interval, found[2 * i], found[2 * i + 1])].append(s)
     if not bounds:
         return
-    tests = [t for (_, low, high), group in bounds.items() for t in _sides(group[0], low, high)]
+    tests = [t for (_, low, high), group in bounds.items() for t in _sides(quoted(group[0].column), group[0].inside(), low, high)]
     counts = values.agg(*[F.expr(f"count_if({t}) AS c{i}") for i, t in enumerate(tests)]).first()
     for i, ((_, low, high), group) in enumerate(bounds.items()):
         for s in group:
@@ -181,13 +226,18 @@ def _sampled(rows: int) -> float:
     return min(float(rows), max(SAMPLE_ROWS, rows * SAMPLE_SHARE))
 
 
-def _sides(s: _Search, low: float, high: float) -> list[str]:
-    c, a, b = quoted(s.column), _literal(low), _literal(high)
+def _margin(rows: int) -> float:
+    # Four standard deviations of a sampled rank, and the sketch's own error.
+    return 2.0 / math.sqrt(_sampled(rows)) + 1.0 / SKETCH_ACCURACY
+
+
+def _sides(c: str, inside: str, low: float, high: float) -> list[str]:
+    a, b = _literal(low), _literal(high)
     return [
-        f"{s.inside()} AND {c} < {a}",
-        f"{s.inside()} AND {c} = {a}",
-        f"{s.inside()} AND {c} > {a} AND {c} < {b}",
-        f"{s.inside()} AND {c} = {b} AND {c} > {a}",
+        f"{inside} AND {c} < {a}",
+        f"{inside} AND {c} = {a}",
+        f"{inside} AND {c} > {a} AND {c} < {b}",
+        f"{inside} AND {c} = {b} AND {c} > {a}",
     ]
 
 

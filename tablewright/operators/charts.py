@@ -8,6 +8,7 @@ that all of them see the same rows.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,11 +76,6 @@ def bar_mean(df: DataFrame, x: str, y: str, k: int = BAR_CATEGORIES) -> DataFram
     return means.filter("mean_y IS NOT NULL").orderBy(F.desc("mean_y"), "x").limit(k)
 
 
-def bar_numeric(df: DataFrame, x: str) -> tuple[DataFrame, DataFrame]:
-    """Histogram and density of a numeric column."""
-    return histogram(df, x), kde(df, x)
-
-
 def _auto_bins(n: int, low: float, high: float, q1: float, q3: float) -> int:
     """Number of equal bins: the narrower of the Sturges and Freedman-Diaconis widths.
 
@@ -94,68 +90,89 @@ def _auto_bins(n: int, low: float, high: float, q1: float, q3: float) -> int:
     return math.ceil(spread / min(freedman, sturges))
 
 
-def _spread(df: DataFrame, x: str) -> tuple[DataFrame, int, float, float, float]:
+@dataclass(frozen=True)
+class Summary:
+    """A numeric column's values as `x`, their count, range, deviation and quartiles."""
+
+    values: DataFrame
+    n: int
+    low: float
+    high: float
+    std: float | None
+    q1: float
+    median: float
+    q3: float
+
+    @property
+    def bins(self) -> tuple[int, float, float]:
+        """Number of bins, left edge and width."""
+        if self.high == self.low:
+            return 1, self.low - 0.5, 1.0
+        bins = _auto_bins(self.n, self.low, self.high, self.q1, self.q3)
+        return bins, self.low, (self.high - self.low) / bins
+
+
+def summarize(df: DataFrame, x: str) -> Summary:
+    """Read once, by histogram, density and box, what they all need."""
     values = numbers(df, [x]).dropna().withColumnRenamed(x, "x")
     c = F.col("x")
     n, low, high, std = values.agg(F.count(c), F.min(c), F.max(c), F.stddev_samp(c)).first()
-    return values, n, low, high, std
+    if n == 0:
+        raise ValueError(f"column {x!r} has no values")
+    return Summary(values, n, low, high, std, *exact_quantiles(values, {"x": [0.25, 0.5, 0.75]}, {"x": n})["x"])
 
 
-def _bins(values: DataFrame, n: int, low: float, high: float) -> tuple[int, float, float]:
-    q1, q3 = exact_quantiles(values, {"x": [0.25, 0.75]}, {"x": n})["x"]
-    bins = _auto_bins(n, low, high, q1, q3)
-    if high == low:
-        return bins, low - 0.5, 1.0
-    return bins, low, (high - low) / bins
+def bar_numeric(df: DataFrame, x: str) -> tuple[DataFrame, DataFrame]:
+    """Histogram and density of a numeric column."""
+    summary = summarize(df, x)
+    return histogram(df, x, summary), kde(df, x, summary=summary)
 
 
-def histogram(df: DataFrame, x: str) -> DataFrame:
+def histogram(df: DataFrame, x: str, summary: Summary | None = None) -> DataFrame:
     """(bin, left, right, n) of the filled bins; the last bin includes its right edge."""
-    values, n, low, high, _ = _spread(df, x)
-    if n == 0:
-        raise ValueError(f"column {x!r} has no values")
-    bins, start, width = _bins(values, n, low, high)
-    number_of = F.least(F.floor((F.col("x") - F.lit(start)) / F.lit(width)), F.lit(bins - 1)).cast("bigint")
+    summary = summary or summarize(df, x)
+    bins, start, width = summary.bins
+    place = F.least(F.floor((F.col("x") - F.lit(start)) / F.lit(width)), F.lit(bins - 1)).cast("bigint")
     edge = F.lit(start) + F.col("bin") * F.lit(width)
     return (
-        values.groupBy(number_of.alias("bin"))
+        summary.values.groupBy(place.alias("bin"))
         .agg(F.count("*").alias("n"))
         .select("bin", edge.alias("left"), (edge + F.lit(width)).alias("right"), "n")
     )
 
 
-def kde(df: DataFrame, x: str, points: int = GRID_POINTS) -> DataFrame:
+def kde(df: DataFrame, x: str, points: int = GRID_POINTS, summary: Summary | None = None) -> DataFrame:
     """(point, x, density, height): Gaussian density with Scott's bandwidth on an even grid.
 
     `height` is the density on the histogram's scale of counts. A row only
     meets the grid points within the reach of its kernel, and the terms are
     summed before the shuffle.
     """
-    values, n, low, high, std = _spread(df, x)
-    if n < 2 or not std:
+    s = summary or summarize(df, x)
+    if s.n < 2 or not s.std:
         raise ValueError(f"column {x!r} has no spread, so it has no density")
-    bandwidth = std * n ** (-0.2)
-    step = (high - low) / (points - 1)
+    bandwidth = s.std * s.n ** (-0.2)
+    step = (s.high - s.low) / (points - 1)
     reach = KERNEL_REACH * bandwidth
-    _, _, width = _bins(values, n, low, high)
+    _, _, width = s.bins
 
     def nearest(bound: Column, rounding, limit, last: int) -> Column:
-        return limit(rounding((bound - F.lit(low)) / F.lit(step)).cast("int"), F.lit(last))
+        return limit(rounding((bound - F.lit(s.low)) / F.lit(step)).cast("int"), F.lit(last))
 
     first = nearest(F.col("x") - F.lit(reach), F.ceil, F.greatest, 0)
     last = nearest(F.col("x") + F.lit(reach), F.floor, F.least, points - 1)
-    met = values.withColumns({"first": first, "last": last}).filter("first <= last")
-    at = F.lit(low) + F.col("point") * F.lit(step)
+    met = s.values.withColumns({"first": first, "last": last}).filter("first <= last")
+    at = F.lit(s.low) + F.col("point") * F.lit(step)
     z = (at - F.col("x")) / F.lit(bandwidth)
     sums = (
         met.select("x", F.explode(F.sequence("first", "last")).alias("point"))
         .groupBy("point")
         .agg(F.sum(F.exp(-0.5 * z * z)).alias("total"))
     )
-    density = F.coalesce(F.col("total"), F.lit(0.0)) / F.lit(n * bandwidth * math.sqrt(2 * math.pi))
+    density = F.coalesce(F.col("total"), F.lit(0.0)) / F.lit(s.n * bandwidth * math.sqrt(2 * math.pi))
     grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("point"))
     return grid.join(F.broadcast(sums), "point", "left").select(
-        "point", at.alias("x"), density.alias("density"), (density * F.lit(n * width)).alias("height")
+        "point", at.alias("x"), density.alias("density"), (density * F.lit(s.n * width)).alias("height")
     )
 
 
@@ -168,34 +185,29 @@ def pie_share(df: DataFrame, x: str, k: int = PIE_CATEGORIES) -> DataFrame:
     return top.select("x", "n", F.round(100.0 * F.col("n") / total, 1).alias("percent"))
 
 
-def _box(df: DataFrame, x: str):
-    values, n, _, _, _ = _spread(df, x)
-    if n == 0:
-        raise ValueError(f"column {x!r} has no values")
-    q1, median, q3 = exact_quantiles(values, {"x": [0.25, 0.5, 0.75]}, {"x": n})["x"]
-    low, high = q1 - WHISKER_FACTOR * (q3 - q1), q3 + WHISKER_FACTOR * (q3 - q1)
-    outside = (F.col("x") < F.lit(low)) | (F.col("x") > F.lit(high))
-    return values, (q1, median, q3), outside
+def _outside(s: Summary) -> Column:
+    reach = WHISKER_FACTOR * (s.q3 - s.q1)
+    return (F.col("x") < F.lit(s.q1 - reach)) | (F.col("x") > F.lit(s.q3 + reach))
 
 
-def box_stats(df: DataFrame, x: str) -> DataFrame:
+def box_stats(df: DataFrame, x: str, summary: Summary | None = None) -> DataFrame:
     """(q1, median, q3, whisker_low, whisker_high, fliers), one row."""
-    values, (q1, median, q3), outside = _box(df, x)
-    c = F.col("x")
-    return values.agg(
-        F.lit(q1).alias("q1"),
-        F.lit(median).alias("median"),
-        F.lit(q3).alias("q3"),
-        F.least(F.min(F.when(~outside, c)), F.lit(q1)).alias("whisker_low"),
-        F.greatest(F.max(F.when(~outside, c)), F.lit(q3)).alias("whisker_high"),
-        F.count_if(outside).alias("fliers"),
+    s = summary or summarize(df, x)
+    inside = F.when(~_outside(s), F.col("x"))
+    return s.values.agg(
+        F.lit(s.q1).alias("q1"),
+        F.lit(s.median).alias("median"),
+        F.lit(s.q3).alias("q3"),
+        F.least(F.min(inside), F.lit(s.q1)).alias("whisker_low"),
+        F.greatest(F.max(inside), F.lit(s.q3)).alias("whisker_high"),
+        F.count_if(_outside(s)).alias("fliers"),
     )
 
 
-def box_fliers(df: DataFrame, x: str) -> DataFrame:
+def box_fliers(df: DataFrame, x: str, summary: Summary | None = None) -> DataFrame:
     """(x): the values beyond the whiskers."""
-    values, _, outside = _box(df, x)
-    return values.filter(outside)
+    s = summary or summarize(df, x)
+    return s.values.filter(_outside(s))
 
 
 def crosstab_counts(df: DataFrame, x: str, y: str) -> DataFrame:

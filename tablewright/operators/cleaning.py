@@ -15,11 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import batches, col, field, is_numeric, is_text, number, numeric_columns, present
-from ..functions.quantiles import DIRECT_ROWS, exact_quantiles
+from ..functions.quantiles import DIRECT_ROWS, exact_quantiles, guess_quantiles
 
 # Fixed value: bounds lie this many interquartile ranges beyond the quartiles.
 IQR_FACTOR = 1.5
 
+# Texts longer than this on average are counted by digest.
+LONG_TEXT_BYTES = 100
+# Digests that are broadcast for a lookup (32 bytes each).
+LOOKUP_DIGESTS = 100_000
+
 
 def require_nonempty(df: DataFrame) -> None:
     """Raise ValueError unless `df` is a table with columns and rows."""
@@ -33,16 +38,18 @@ def require_nonempty(df: DataFrame) -> None:
 
 @dataclass(frozen=True)
 class Missing:
-    """Rows, and per column the non-missing count and (for numerics) the mean."""
+    """Rows, per column the non-missing count and (for numerics) the mean, and the columns of long texts."""
 
     rows: int
     known: dict[str, int]
     means: dict[str, float | None]
+    long: list[str]
 
 
 def count_missing(df: DataFrame) -> Missing:
     known: dict[str, int] = {}
     means: dict[str, float | None] = {}
+    long: list[str] = []
     rows = 0
     for chunk in batches(df.schema.fields, per_item=2):
         aggregates = [F.count("*").alias("rows")]
@@ -50,13 +57,17 @@ def count_missing(df: DataFrame) -> Missing:
             aggregates.append(F.count(present(f)).alias(f"k{i}"))
             if is_numeric(f.dataType):
                 aggregates.append(F.avg(number(df, f.name)).alias(f"m{i}"))
+            elif is_text(f.dataType):
+                aggregates.append(F.avg(F.octet_length(col(f.name))).alias(f"b{i}"))
         row = df.agg(*aggregates).first()
         rows = row["rows"]
         for i, f in enumerate(chunk):
             known[f.name] = row[f"k{i}"]
             if is_numeric(f.dataType):
                 means[f.name] = row[f"m{i}"]
-    return Missing(rows, known, means)
+            elif is_text(f.dataType) and (row[f"b{i}"] or 0) > LONG_TEXT_BYTES:
+                long.append(f.name)
+    return Missing(rows, known, means, long)
 
 
 def drop_empty_columns(df: DataFrame, missing: Missing | None = None) -> DataFrame:
@@ -107,16 +118,48 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def most_frequent(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, unique, top, freq): distinct values, the most frequent one (smallest on ties), its count."""
-    return (
-        value_counts(df, columns)
-        .groupBy("column")
-        .agg(
-            F.count("*").alias("unique"),
-            F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"),
-            F.max("n").alias("freq"),
+def most_frequent(df: DataFrame, columns: list[str], long: list[str] | None = None) -> DataFrame:
+    """(column, unique, top, freq): distinct values, the most frequent one (smallest on ties), its count.
+
+    Columns named in `long` hold long texts; of these only digests are shuffled.
+    """
+    long = long or []
+    parts = [_most_frequent_digest(df, c) for c in long]
+    short = [c for c in columns if c not in long]
+    if short:
+        parts.append(
+            value_counts(df, short)
+            .groupBy("column")
+            .agg(
+                F.count("*").alias("unique"),
+                F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"),
+                F.max("n").alias("freq"),
+            )
         )
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def _most_frequent_digest(df: DataFrame, column: str) -> DataFrame:
+    texts = df.select(col(column).cast("string").alias("value")).dropna()
+    digested = texts.withColumn("digest", F.unhex(F.sha2("value", 256)))
+    counts = digested.groupBy("digest").agg(F.count("*").alias("n"))
+    unique, freq = counts.agg(F.count("*"), F.max("n")).first()
+    # The top value is the smallest text among the most frequent ones. If none
+    # repeats, these are all texts; else few digests remain to look up.
+    if freq is not None and freq > 1:
+        tied = counts.filter(F.col("n") == freq).select("digest")
+        if tied.limit(LOOKUP_DIGESTS + 1).count() <= LOOKUP_DIGESTS:
+            tied = F.broadcast(tied)
+        digested = digested.join(tied, "digest", "left_semi")
+    top = digested.agg(F.min("value").alias("top"))
+    return top.select(
+        F.lit(column).alias("column"),
+        F.lit(unique).cast("bigint").alias("unique"),
+        "top",
+        F.lit(freq).cast("bigint").alias("freq"),
     )
 
 
@@ -131,7 +174,7 @@ def fit_mode(df: DataFrame, columns: list[str] | None = None, missing: Missing |
     gaps = [c for c in chosen if 0 < missing.known[c] < missing.rows]
     if not gaps:
         return Imputation({})
-    tops = {r["column"]: r["top"] for r in most_frequent(df, gaps).collect()}
+    tops = {r["column"]: r["top"] for r in most_frequent(df, gaps, [c for c in missing.long if c in gaps]).collect()}
     for c in gaps:
         if isinstance(field(df, c).dataType, T.BooleanType):
             tops[c] = tops[c] == "true"
@@ -227,21 +270,32 @@ def fit_outliers(df: DataFrame, columns: list[str] | None = None, rows: int | No
     on what the earlier bounds kept. A job reads only the columns met so far.
     """
     names = numeric_columns(df) if columns is None else columns
+    at_most = df.count() if rows is None else rows
+    quartiles = [0.25, 0.75]
+    # Where to look for the quartiles, for all columns in one job; exact counts follow per column.
+    guesses = {}
+    if at_most > DIRECT_ROWS:
+        guesses = guess_quantiles(df, {c: quartiles for c in names}, {c: at_most for c in names})
     kept = df
     bounds: list[Bounds] = []
-    at_most = rows
     for name in names:
-        x = number(kept, name)
-        basics = [F.count("*"), F.count(x), F.min(x), F.max(x)]
-        direct = at_most is not None and at_most <= DIRECT_ROWS
-        if direct:
-            basics.append(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))))
-        total, known, low, high, *quartiles = kept.agg(*basics).first()
-        at_most = total
+        values = kept.select(number(kept, name).alias(name))
+        x = col(name)
+        aggregates = [F.count("*"), F.count(x), F.min(x), F.max(x)]
+        tried = guesses.get(name, []) if at_most > DIRECT_ROWS else []
+        aggregates += [F.expr(f"count_if({t})") for g in tried for t in g.tests()]
+        if at_most <= DIRECT_ROWS:
+            aggregates.append(F.percentile(x, F.array(*[F.lit(p) for p in quartiles])))
+        total, known, low, high, *more = values.agg(*aggregates).first()
         if known == 0 or low == high:
             bounds.append(Bounds(name, total))
             continue
-        q1, q3 = quartiles[0] if direct else exact_quantiles(kept, {name: [0.25, 0.75]}, {name: known})[name]
+        if at_most <= DIRECT_ROWS:
+            q1, q3 = more[0]
+        else:
+            counted = [(g, more[4 * i : 4 * i + 4]) for i, g in enumerate(tried)]
+            q1, q3 = exact_quantiles(values, {name: quartiles}, {name: known}, counted=counted)[name]
+        at_most = total
         bound = Bounds(name, total, q1, q3, _is_whole(kept, name))
         bounds.append(bound)
         kept = kept.filter(bound.inside())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -16,17 +17,18 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(x, y, r) for every pair of numeric columns, strongest first; r is null if one is constant."""
     names = numeric_columns(df) if columns is None else columns
     values = numbers(df, names)
-    plain = _without_gaps(values, names)
+    scored = _standard_scores(values, names)
     parts = []
     for chunk in batches(list(combinations(names, 2)), per_item=3):
         exprs = [
-            F.corr(col(a), col(b)) if a in plain and b in plain else pearson(col(a), col(b)) for a, b in chunk
+            F.avg(col(a) * col(b)) if a in scored.complete and b in scored.complete else pearson(col(a), col(b))
+            for a, b in chunk
         ]
         rows = [
             F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r"))
             for i, (a, b) in enumerate(chunk)
         ]
-        wide = values.agg(*[e.alias(f"r{i}") for i, e in enumerate(exprs)])
+        wide = scored.values.agg(*[e.alias(f"r{i}") for i, e in enumerate(exprs)])
         parts.append(wide.select(F.inline(F.array(*rows))))
     if not parts:
         raise ValueError("correlations need two numeric columns")
@@ -36,19 +38,31 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return pairs.orderBy(F.abs("r").desc_nulls_last(), "x", "y")
 
 
-def _without_gaps(values: DataFrame, names: list[str]) -> set[str]:
-    """Columns that are neither constant nor missing anywhere; they need no masks when paired."""
-    plain: set[str] = set()
+@dataclass(frozen=True)
+class _Scores:
+    values: DataFrame
+    complete: set[str]
+
+
+def _standard_scores(values: DataFrame, names: list[str]) -> _Scores:
+    """Replace columns that are neither constant nor missing anywhere by their standard scores.
+
+    The correlation of two such columns is the mean of their product.
+    """
+    found: dict[str, tuple[float, float]] = {}
     for chunk in batches(names, per_item=3):
         aggregates = [F.count("*")]
         for c in chunk:
-            aggregates += [F.count(col(c)), F.min(col(c)), F.max(col(c))]
+            aggregates += [F.count(col(c)), F.avg(col(c)), F.stddev_pop(col(c))]
         rows, *rest = values.agg(*aggregates).first()
         for i, c in enumerate(chunk):
-            known, low, high = rest[3 * i : 3 * i + 3]
-            if known == rows and low != high:
-                plain.add(c)
-    return plain
+            known, mean, std = rest[3 * i : 3 * i + 3]
+            if known == rows and std:
+                found[c] = (mean, std)
+    scored = [
+        ((col(c) - F.lit(found[c][0])) / F.lit(found[c][1])).alias(c) if c in found else col(c) for c in names
+    ]
+    return _Scores(values.select(*scored), set(found))
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:

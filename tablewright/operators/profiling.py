@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import batches, col, is_numeric, is_text, number, numeric_columns, present
 from ..functions.quantiles import exact_quantiles
-from .cleaning import most_frequent
+from .cleaning import LONG_TEXT_BYTES, most_frequent
 
 STATISTICS = (
     "position int, column string, count bigint, unique bigint, top string, freq bigint, "
@@ -34,20 +34,23 @@ def describe_all(df: DataFrame) -> DataFrame:
         aggregates = []
         for i, f in enumerate(chunk):
             aggregates.append(F.count(present(f)).alias(f"count{i}"))
-            if is_numeric(f.dataType):
+            if is_text(f.dataType):
+                aggregates.append(F.avg(F.octet_length(col(f.name))).alias(f"bytes{i}"))
+            elif is_numeric(f.dataType):
                 x = number(df, f.name)
                 for name, fn in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)):
                     aggregates.append(fn(x).alias(f"{name}{i}"))
         row = df.agg(*aggregates).first().asDict()
         for i, f in enumerate(chunk):
-            basics[f.name] = {k: row.get(f"{k}{i}") for k in ("count", "mean", "std", "min", "max")}
+            basics[f.name] = {k: row.get(f"{k}{i}") for k in ("count", "bytes", "mean", "std", "min", "max")}
 
     numeric = [f.name for f in fields if is_numeric(f.dataType)]
     quartiles = exact_quantiles(
         df, {c: [0.25, 0.5, 0.75] for c in numeric}, {c: basics[c]["count"] for c in numeric}
     )
     categories = [f.name for f in fields if _is_category(f.dataType)]
-    tops = {r["column"]: r for r in most_frequent(df, categories).collect()} if categories else {}
+    long = [c for c in categories if (basics[c]["bytes"] or 0) > LONG_TEXT_BYTES]
+    tops = {r["column"]: r for r in most_frequent(df, categories, long).collect()} if categories else {}
 
     rows = []
     for i, f in enumerate(fields):

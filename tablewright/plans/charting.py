@@ -120,7 +120,8 @@ def _data(df: DataFrame, spec: ChartSpec, key) -> dict[str, DataFrame]:
         return {"shares": C.pie_share(used, x)}
     if kind == BOX:
         rows = sample()
-        return {"box": C.box_stats(rows, x), "fliers": C.box_fliers(rows, x)}
+        summary = C.summarize(rows, x)
+        return {"box": C.box_stats(rows, x, summary), "fliers": C.box_fliers(rows, x, summary)}
     if kind == HEATMAP:
         return {"cells": C.crosstab(used, x, y) if text else C.corr_pair(used, x, y)}
     if kind == LINE:
