@@ -36,6 +36,7 @@ def sql_select(spark: SparkSession, query: str, view: str = VIEW) -> DataFrame:
         raise ValueError("the query calls Java methods")
     wrapped = f"SELECT * FROM (\n{query}\n) AS answer"
     parsed, analysed = _plans(spark, wrapped)
+    _plans(spark, query)  # whole by itself, not only inside the brackets
     _, allowed = _plans(spark, f"SELECT * FROM {view}")
     if "ScriptTransformation" in parsed:
         raise ValueError("the query runs a script")
