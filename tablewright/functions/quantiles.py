@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.workspace import ensure_checkpoint_dir
 from .columns import batches, col, number, numbers, quoted
@@ -31,21 +32,27 @@ SAMPLE_SHARE = 0.01
 GROUP_GRID = 256
 # Per-group state up to this many groups is broadcast (about 10 MB).
 BROADCAST_GROUPS = 100_000
+# Up to this many groups are searched side by side, each as a column.
+LISTED_GROUPS = 32
 SALTS = 32
 
 
 @dataclass
 class _Search:
-    """Where one rank of one column is: `wanted`-th of `rows` values strictly inside (low, high)."""
+    """One 0-based rank of one column: among the `rows` values strictly inside (low, high), with `below` before them."""
 
     column: str
     rank: int
-    wanted: int
     rows: int
+    below: int = 0
     low: float | None = None
     high: float | None = None
     value: float | None = None
 
+    @property
+    def wanted(self) -> int:
+        return self.rank - self.below
+
     def inside(self) -> str:
         c = quoted(self.column)
         tests = [f"{c} IS NOT NULL"]
@@ -59,6 +66,25 @@ class _Search:
     def interval(self) -> tuple:
         return (self.column, self.low, self.high, self.rows)
 
+    def move(self, a: float, b: float, lt_a: int, le_a: int, lt_b: int, le_b: int) -> None:
+        """Go to the part of the interval that holds the rank, or stop on a or b."""
+        if self.rank < lt_a:
+            self.high, self.rows = a, lt_a - self.below
+        elif self.rank < le_a:
+            self.value = a
+        elif self.rank < lt_b:
+            self.low, self.high, self.below, self.rows = a, b, le_a, lt_b - le_a
+        elif self.rank < le_b:
+            self.value = b
+        else:
+            self.low, self.rows, self.below = b, self.below + self.rows - le_b, le_b
+
+
+def _tests(column: str, a: float, b: float) -> list[str]:
+    """The conditions whose counts `_Search.move` takes; one comparison each keeps the job's code small."""
+    c = quoted(column)
+    return [f"{c} {op} {_literal(v)}" for v in (a, b) for op in ("<", "<=")]
+
 
 def _literal(value: float) -> str:
     return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
@@ -75,7 +101,7 @@ class Guess:
 
     def tests(self) -> list[str]:
         """SQL conditions to count, in the order that `exact_quantiles` expects the counts."""
-        return _sides(quoted(self.column), f"{quoted(self.column)} IS NOT NULL", self.low, self.high)
+        return _tests(self.column, self.low, self.high)
 
 
 def guess_quantiles(
@@ -143,11 +169,11 @@ def exact_quantiles(
     large = [n for n in names if counts[n] > limit]
     if large:
         wanted = {n: sorted({r for p in probabilities[n] for r in _ranks(p, counts[n])}) for n in large}
-        searches = {n: {r: _Search(n, r, r, counts[n]) for r in wanted[n]} for n in large}
+        searches = {n: {r: _Search(n, r, counts[n]) for r in wanted[n]} for n in large}
         for guess, sides in counted or []:
             if guess.column in searches:
                 for r in set(_ranks(guess.probability, counts[guess.column])):
-                    _move(searches[guess.column][r], guess.low, guess.high, *sides)
+                    searches[guess.column][r].move(guess.low, guess.high, *sides)
         at = order_statistics(values, [s for found in searches.values() for s in found.values()], limit)
         for n in large:
             out[n] = [_interpolate(p, counts[n], at[n]) for p in probabilities[n]]
@@ -178,7 +204,7 @@ def order_statistics(values: DataFrame, searches: list[_Search], limit: int) ->
     seed = 0
     while wide := [s for s in searches if s.value is None and s.rows > limit]:
         seed += 1
-        for chunk in batches(wide, per_item=4):
+        for chunk in batches(wide, per_item=2):
             _narrow(values, chunk, seed)
     for chunk in batches([s for s in searches if s.value is None]):
         _pick(values, chunk)
@@ -215,11 +241,11 @@ def _narrow(values: DataFrame, searches: list[_Search], seed: int) -> None:
             bounds[(s.interval, found[2 * i], found[2 * i + 1])].append(s)
     if not bounds:
         return
-    tests = [t for (_, low, high), group in bounds.items() for t in _sides(quoted(group[0].column), group[0].inside(), low, high)]
+    tests = [t for (interval, low, high) in bounds for t in _tests(interval[0], low, high)]
     counts = values.agg(*[F.expr(f"count_if({t}) AS c{i}") for i, t in enumerate(tests)]).first()
     for i, ((_, low, high), group) in enumerate(bounds.items()):
         for s in group:
-            _move(s, low, high, *counts[4 * i : 4 * i + 4])
+            s.move(low, high, *counts[4 * i : 4 * i + 4])
 
 
 def _sampled(rows: int) -> float:
@@ -231,38 +257,6 @@ def _margin(rows: int) -> float:
     return 2.0 / math.sqrt(_sampled(rows)) + 1.0 / SKETCH_ACCURACY
 
 
-def _sides(c: str, inside: str, low: float, high: float) -> list[str]:
-    a, b = _literal(low), _literal(high)
-    return [
-        f"{inside} AND {c} < {a}",
-        f"{inside} AND {c} = {a}",
-        f"{inside} AND {c} > {a} AND {c} < {b}",
-        f"{inside} AND {c} = {b} AND {c} > {a}",
-    ]
-
-
-def _move(s: _Search, low: float, high: float, below: int, at_low: int, middle: int, at_high: int) -> None:
-    """Go to the part of the interval that holds the rank, or stop on one of the two values."""
-    r = s.wanted
-    if r < below:
-        s.high, s.rows = low, below
-        return
-    r -= below
-    if r < at_low:
-        s.value = low
-        return
-    r -= at_low
-    if r < middle:
-        s.low, s.high, s.wanted, s.rows = low, high, r, middle
-        return
-    r -= middle
-    if r < at_high:
-        s.value = high
-        return
-    r -= at_high
-    s.low, s.wanted, s.rows = high, r, s.rows - below - at_low - middle - at_high
-
-
 def _pick(values: DataFrame, searches: list[_Search]) -> None:
     """Read the ranks from intervals that hold at most `limit` values."""
     if not searches:
@@ -271,16 +265,9 @@ def _pick(values: DataFrame, searches: list[_Search]) -> None:
     names = {interval: f"v{i}" for i, interval in enumerate(masks)}
     some = " OR ".join(f"({t})" for t in sorted({s.inside() for s in searches}))
     masked = values.filter(some).select(*[F.expr(e).alias(names[i]) for i, e in masks.items()])
-    # (rank + 1/2) / rows lies strictly between two steps of the cumulative
-    # distribution, so rounding cannot move the pick to a neighbour.
-    found = masked.agg(
-        *[
-            F.expr(
-                f"percentile_disc({(s.wanted + 0.5) / s.rows!r}D) WITHIN GROUP (ORDER BY {names[s.interval]})"
-            )
-            for s in searches
-        ]
-    ).first()
+    # At most `limit` values per interval.
+    lists = masked.agg(*[F.sort_array(F.collect_list(n)).alias(n) for n in names.values()])
+    found = lists.select(*[F.get(names[s.interval], F.lit(s.wanted)) for s in searches]).first()
     for s, value in zip(searches, found, strict=True):
         s.value = value
 
@@ -290,15 +277,19 @@ def exact_group_quantile(
 ) -> DataFrame:
     """Linearly interpolated quantile of `value` per non-null `group`: (group, quantile).
 
-    The grouped form of the search above. Its state is one row per group in a
-    DataFrame, so neither the groups nor a group's values meet in one place; a
-    group with a third of all rows is scanned by every task like any other.
+    A few groups are searched like columns. For more, the state of the search is
+    one row per group in a DataFrame, so neither the groups nor a group's values
+    meet in one place; a group with a third of all rows is scanned by every task
+    like any other.
     """
     limit = DIRECT_ROWS if direct_rows is None else direct_rows
     data = df.select(col(group).alias("g"), number(df, value).alias("y")).dropna()
     sizes = data.groupBy("g").agg(F.count("*").alias("rows"))
+    listed = sizes.limit(LISTED_GROUPS + 1).collect()
+    if len(listed) <= LISTED_GROUPS:
+        return _listed_groups(data, listed, group, probability, limit)
     largest, groups = sizes.agg(F.max("rows"), F.count("*")).first()
-    if groups == 0 or largest <= limit:
+    if largest <= limit:
         found = data.groupBy("g").agg(F.percentile("y", F.lit(float(probability))).alias("quantile"))
         return found.select(col("g").alias(group), "quantile")
 
@@ -351,6 +342,26 @@ def exact_group_quantile(
     return upper.select(F.col("g").alias(group), quantile.alias("quantile"))
 
 
+def _listed_groups(
+    data: DataFrame, listed: list, group: str, probability: float, limit: int
+) -> DataFrame:
+    columns = [f"y{i}" for i in range(len(listed))]
+    masked = data.select(
+        *[F.when(F.col("g") == F.lit(r["g"]), F.col("y")).alias(c) for c, r in zip(columns, listed, strict=True)]
+    )
+    found = exact_quantiles(
+        masked,
+        {c: [probability] for c in columns},
+        {c: r["rows"] for c, r in zip(columns, listed, strict=True)},
+        limit,
+    )
+    schema = T.StructType(
+        [T.StructField(group, data.schema["g"].dataType), T.StructField("quantile", T.DoubleType())]
+    )
+    rows = [(r["g"], found[c][0]) for c, r in zip(columns, listed, strict=True)]
+    return data.sparkSession.createDataFrame(rows, schema)
+
+
 _INSIDE = "(low IS NULL OR y > low) AND (high IS NULL OR y < high)"
 
 
