@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import batches, col, field, is_numeric, is_text, number, numeric_columns, present
-from ..functions.quantiles import DIRECT_ROWS, exact_quantiles, guess_quantiles
+from ..functions.columns import batches, col, field, is_numeric, is_text, number, numbers, numeric_columns, present
+from ..functions.quantiles import DIRECT_ROWS, Guess, exact_quantiles, guess_quantiles
 
-# Fixed value: bounds lie this many interquartile ranges beyond the quartiles.
+# Bounds lie this many interquartile ranges beyond the quartiles.
 IQR_FACTOR = 1.5
+QUARTILES = [0.25, 0.75]
 
 # Texts longer than this on average are counted by digest.
 LONG_TEXT_BYTES = 100
@@ -241,7 +242,7 @@ def fit_bounds(df: DataFrame, columns: list[str]) -> list[Bounds]:
     """Bounds of several columns, each over the whole table."""
     missing = count_missing(df.select(*[col(c) for c in columns]))
     known = {c: missing.known[c] for c in columns}
-    quartiles = exact_quantiles(df, {c: [0.25, 0.75] for c in columns}, known)
+    quartiles = exact_quantiles(df, {c: QUARTILES for c in columns}, known)
     return [Bounds(c, missing.rows, *quartiles[c], _is_whole(df, c)) for c in columns]
 
 
@@ -263,43 +264,80 @@ class OutlierFilter:
         return df
 
 
+@dataclass(frozen=True)
+class _Facts:
+    """What the fit needs to know of a column on some rows."""
+
+    rows: int
+    known: int
+    low: float | None
+    high: float | None
+    q1: float | None
+    q3: float | None
+
+
+def _facts(df: DataFrame, names: list[str], at_most: int, guesses: dict[str, list[Guess]]) -> dict[str, _Facts]:
+    direct = at_most <= DIRECT_ROWS
+    values = numbers(df, names)
+    basics: dict[str, tuple] = {}
+    quartiles: dict[str, list] = {}
+    counted: list[tuple[Guess, list[int]]] = []
+    for chunk in batches(names, per_item=4 if direct else 11):
+        aggregates = [F.count("*").alias("rows")]
+        for i, c in enumerate(chunk):
+            x = col(c)
+            aggregates += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"low{i}"), F.max(x).alias(f"high{i}")]
+            if direct:
+                aggregates.append(F.percentile(x, F.array(*[F.lit(p) for p in QUARTILES])).alias(f"q{i}"))
+            tests = [t for g in guesses.get(c, []) for t in g.tests()] if not direct else []
+            aggregates += [F.expr(f"count_if({t}) AS t{i}_{j}") for j, t in enumerate(tests)]
+        row = values.agg(*aggregates).first()
+        for i, c in enumerate(chunk):
+            basics[c] = (row["rows"], row[f"n{i}"], row[f"low{i}"], row[f"high{i}"])
+            if direct:
+                quartiles[c] = row[f"q{i}"]
+                continue
+            for k, g in enumerate(guesses.get(c, [])):
+                counted.append((g, [row[f"t{i}_{j}"] for j in range(4 * k, 4 * k + 4)]))
+    if not direct:
+        # A column with one value or none needs no quartiles.
+        varied = [c for c in names if basics[c][1] and basics[c][2] != basics[c][3]]
+        quartiles = exact_quantiles(
+            values, {c: QUARTILES for c in varied}, {c: basics[c][1] for c in varied}, counted=counted
+        )
+    return {c: _Facts(*basics[c], *(quartiles.get(c) or (None, None))) for c in names}
+
+
 def fit_outliers(df: DataFrame, columns: list[str] | None = None, rows: int | None = None) -> OutlierFilter:
     """Fit the bounds column by column in schema order.
 
-    One small aggregate per column is inherent: each column's quartiles depend
-    on what the earlier bounds kept. A job reads only the columns met so far.
+    Each column's quartiles depend on what the earlier bounds kept. All columns
+    are read together first; that is enough up to the first column whose bounds
+    remove a row. From there on, each column is read anew on the rows left,
+    with the first reading as a guess of where its quartiles are.
     """
     names = numeric_columns(df) if columns is None else columns
     at_most = df.count() if rows is None else rows
-    quartiles = [0.25, 0.75]
-    # Where to look for the quartiles, for all columns in one job; exact counts follow per column.
+    if not names:
+        return OutlierFilter([], at_most)
     guesses = {}
     if at_most > DIRECT_ROWS:
-        guesses = guess_quantiles(df, {c: quartiles for c in names}, {c: at_most for c in names})
-    kept = df
+        guesses = guess_quantiles(df, {c: QUARTILES for c in names}, {c: at_most for c in names})
+    together = _facts(df, names, at_most, guesses)
+    kept, left, complete = df, at_most, True
     bounds: list[Bounds] = []
     for name in names:
-        values = kept.select(number(kept, name).alias(name))
-        x = col(name)
-        aggregates = [F.count("*"), F.count(x), F.min(x), F.max(x)]
-        tried = guesses.get(name, []) if at_most > DIRECT_ROWS else []
-        aggregates += [F.expr(f"count_if({t})") for g in tried for t in g.tests()]
-        if at_most <= DIRECT_ROWS:
-            aggregates.append(F.percentile(x, F.array(*[F.lit(p) for p in quartiles])))
-        total, known, low, high, *more = values.agg(*aggregates).first()
-        if known == 0 or low == high:
-            bounds.append(Bounds(name, total))
+        facts = together[name] if complete else _facts(kept, [name], left, guesses)[name]
+        left = facts.rows
+        if facts.known == 0 or facts.low == facts.high:
+            bounds.append(Bounds(name, left))
             continue
-        if at_most <= DIRECT_ROWS:
-            q1, q3 = more[0]
-        else:
-            counted = [(g, more[4 * i : 4 * i + 4]) for i, g in enumerate(tried)]
-            q1, q3 = exact_quantiles(values, {name: quartiles}, {name: known}, counted=counted)[name]
-        at_most = total
-        bound = Bounds(name, total, q1, q3, _is_whole(kept, name))
+        bound = Bounds(name, left, facts.q1, facts.q3, _is_whole(df, name))
         bounds.append(bound)
-        kept = kept.filter(bound.inside())
-    return OutlierFilter(bounds, kept.count())
+        inside = facts.known == facts.rows and bound.lower <= facts.low and facts.high <= bound.upper
+        if not inside:
+            kept, complete = kept.filter(bound.inside()), False
+    return OutlierFilter(bounds, left if complete else kept.count())
 
 
 def remove_outliers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
