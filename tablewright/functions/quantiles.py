@@ -307,6 +307,7 @@ def exact_group_quantile(
         none.alias("found"),
     )
     ensure_checkpoint_dir(df.sparkSession)
+    state = state.checkpoint()
     seed = 0
     while largest > limit:
         seed += 1

@@ -7,6 +7,7 @@ that all of them see the same rows.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -35,8 +36,8 @@ KERNEL_REACH = 39.0
 def sample_rows(df: DataFrame, n: int = SAMPLE_ROWS, seed: int = 42, key: str | list[str] | None = None) -> DataFrame:
     """`n` rows without replacement, or all if there are fewer.
 
-    With a `key` the choice depends only on the key's values; without one, on
-    the order of the rows in their files.
+    With a `key` that identifies a row, the choice depends only on its values;
+    without one, on the order of the rows in their files.
     """
     if key is None:
         return df.orderBy(F.rand(seed)).limit(n)
@@ -234,7 +235,9 @@ def crosstab(df: DataFrame, x: str, y: str) -> DataFrame:
         raise ValueError(f"{x!r} and {y!r} have too many labels to fill with zeros; use crosstab_counts")
     if not labels:
         raise ValueError(f"{x!r} and {y!r} have no common rows")
-    cells = counts.select(other).distinct().select(other, F.explode(F.lit(labels)).alias(listed))
+    # One literal, whatever the number of labels.
+    all_labels = F.from_json(F.lit(json.dumps(labels)), "array<string>")
+    cells = counts.select(other).distinct().select(other, F.explode(all_labels).alias(listed))
     return cells.join(counts, ["x", "y"], "left").select("x", "y", F.coalesce("n", F.lit(0)).alias("n"))
 
 

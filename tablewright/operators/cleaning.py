@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import batches, col, field, is_numeric, is_text, number, numbers, numeric_columns, present
 from ..functions.quantiles import DIRECT_ROWS, Guess, exact_quantiles, guess_quantiles
+from ..sources.workspace import staged
 
 # Bounds lie this many interquartile ranges beyond the quartiles.
 IQR_FACTOR = 1.5
@@ -146,7 +147,7 @@ def most_frequent(df: DataFrame, columns: list[str], long: list[str] | None = No
 def _most_frequent_digest(df: DataFrame, column: str) -> DataFrame:
     texts = df.select(col(column).cast("string").alias("value")).dropna()
     digested = texts.withColumn("digest", F.unhex(F.sha2("value", 256)))
-    counts = digested.groupBy("digest").agg(F.count("*").alias("n"))
+    counts = staged(digested.groupBy("digest").agg(F.count("*").alias("n")), "digests")
     unique, freq = counts.agg(F.count("*"), F.max("n")).first()
     # The top value is the smallest text among the most frequent ones. If none
     # repeats, these are all texts; else few digests remain to look up.

@@ -45,26 +45,22 @@ def eval_classification(df: DataFrame, label: str = "label", prediction: str = "
         "support",
         "hits",
     )
-    rows = F.sum("support").alias("support")
     none = F.lit(None).cast("double")
-    accuracy = classes.agg(
-        F.lit("accuracy").alias("class"),
-        none.alias("precision"),
-        none.alias("recall"),
-        _share_of(F.sum("hits"), F.sum("support")).alias("f1"),
-        rows,
-    )
+    total = F.sum("support")
     scores = ["precision", "recall", "f1"]
-    macro = classes.agg(F.lit("macro avg").alias("class"), *[F.avg(c).alias(c) for c in scores], rows)
-    weighted = classes.agg(
-        F.lit("weighted avg").alias("class"),
-        *[_share_of(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c) for c in scores],
-        rows,
+
+    def row(name: str, precision: Column, recall: Column, f1: Column) -> Column:
+        values = zip(CLASS_REPORT, (F.lit(name), precision, recall, f1, total), strict=True)
+        return F.struct(*[v.alias(c) for c, v in values])
+
+    summary = classes.agg(
+        F.array(
+            row("accuracy", none, none, _share_of(F.sum("hits"), total)),
+            row("macro avg", *[F.avg(c) for c in scores]),
+            row("weighted avg", *[_share_of(F.sum(F.col(c) * F.col("support")), total) for c in scores]),
+        ).alias("rows")
     )
-    report = classes.select(*CLASS_REPORT)
-    for part in (accuracy, macro, weighted):
-        report = report.unionByName(part.select(*CLASS_REPORT))
-    return report
+    return classes.select(*CLASS_REPORT).unionByName(summary.select(F.inline("rows")))
 
 
 def _side(column: str, support: Column, predicted: Column, hits: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import batches, col, field, is_numeric, is_text, number, quoted
 from ..functions.quantiles import exact_quantiles
-from ..functions.ranking import sorted_codes
+from ..functions.ranking import LISTED_VALUES, sorted_codes
 
 # Fixed value: what a missing category becomes.
 MISSING = "missing"
@@ -50,6 +50,8 @@ def feature_types(df: DataFrame) -> FeatureTypes:
 
 def with_codes(df: DataFrame, column: str, codes: DataFrame, out: str) -> DataFrame:
     """Add the code of each value; null for a value without one."""
+    if codes.limit(LISTED_VALUES + 1).count() <= LISTED_VALUES:
+        codes = F.broadcast(codes)
     codes = codes.select(col("category").alias("tw_category"), col("code").alias(out))
     return df.join(codes, col(column) == F.col("tw_category"), "left").drop("tw_category")
 

@@ -13,13 +13,20 @@ from ..functions.moments import pearson
 from ..functions.quantiles import exact_group_quantile, exact_quantiles
 
 
+# Columns per block of pairs.
+BLOCK = 8
+
+
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(x, y, r) for every pair of numeric columns, strongest first; r is null if one is constant."""
     names = numeric_columns(df) if columns is None else columns
     values = numbers(df, names)
     scored = _standard_scores(values, names)
     parts = []
-    for chunk in batches(list(combinations(names, 2)), per_item=3):
+    # Pairs in blocks of 8 by 8 columns, so that a job reads few columns.
+    pairs_of = sorted(combinations(range(len(names)), 2), key=lambda p: (p[0] // BLOCK, p[1] // BLOCK))
+    named = [(names[i], names[j]) for i, j in pairs_of]
+    for chunk in batches(named, per_item=1 if len(scored.complete) == len(names) else 3):
         exprs = [
             F.avg(col(a) * col(b)) if a in scored.complete and b in scored.complete else pearson(col(a), col(b))
             for a, b in chunk

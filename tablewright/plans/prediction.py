@@ -89,7 +89,8 @@ def evaluate(predictor: Predictor, scored: DataFrame) -> DataFrame:
 
 def _decoded(predictor: Predictor, scored: DataFrame) -> DataFrame:
     names = predictor.codes.select(F.col("category").alias("decoded"), F.col("code").alias("tw_code"))
-    joined = scored.join(names, F.bround("prediction", 0).cast("bigint") == F.col("tw_code"), "left")
+    # At most MODEL_CLASSES names.
+    joined = scored.join(F.broadcast(names), F.bround("prediction", 0).cast("bigint") == F.col("tw_code"), "left")
     return joined.drop("tw_code")
 
 

@@ -54,34 +54,46 @@ _BROKEN = "tw_broken_record"
 
 
 def probe_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, encoding, lines, spans_lines) per file, in one splittable scan."""
+    """(path, encoding, lines, spans_lines, same_header) per file, in one splittable scan.
+
+    `same_header` compares the first line with that of one of the files. All
+    aggregates are numbers and truth values, so lines are neither sorted nor shuffled.
+    """
     try:
-        lines = spark.read.text(path)
+        texts = spark.read.text(path)
     except AnalysisException as e:
         raise ValueError(f"no files found at {path!r}") from e
-    lines = lines.select(
+    lines = texts.select(
         "value",
         F.expr("_metadata.file_path").alias("path"),
         F.expr("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
     )
+    one_header = lines.filter("block = 0").select(F.xxhash64("value")).first()
     quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
     start = F.hex(F.substring(F.col("value").cast("binary"), 1, 4))
+
+    def first_line(test: Column) -> Column:
+        return F.min(F.when((F.col("block") == 0) & test, F.col("line")))
+
     files = lines.groupBy("path").agg(
-        F.min_by(F.when(F.col("block") == 0, start), F.when(F.col("block") == 0, F.col("line"))).alias("start"),
+        first_line(F.lit(True)).alias("first"),
+        *[first_line(start.startswith(mark)).alias(f"mark{i}") for i, (mark, _) in enumerate(BYTE_ORDER_MARKS)],
+        first_line(F.xxhash64("value") == F.lit(one_header[0] if one_header else 0)).alias("header"),
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
         F.count("*").alias("lines"),
         F.bool_or(quotes % 2 == 1).alias("open_quote"),
     )
     encoding = F.when(F.lit(False), F.lit(None).cast("string"))
-    for mark, name in BYTE_ORDER_MARKS:
-        encoding = encoding.when(F.col("start").startswith(mark), name)
+    for i, (_, name) in enumerate(BYTE_ORDER_MARKS):
+        encoding = encoding.when(F.col(f"mark{i}") == F.col("first"), name)
     encoding = encoding.when(F.col("utf8"), "UTF-8").otherwise("ISO-8859-1")
     return files.select(
         "path",
         encoding.alias("encoding"),
         "lines",
         (F.col("open_quote") | encoding.isin("UTF-16", "UTF-32")).alias("spans_lines"),
+        F.coalesce(F.col("header") == F.col("first"), F.lit(False)).alias("same_header"),
     )
 
 
@@ -116,6 +128,7 @@ def scan_csv(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
             F.sort_array(F.collect_set("encoding")).alias("encodings"),
             F.bool_or("spans_lines").alias("spans_lines"),
             F.sum("lines").alias("lines"),
+            F.bool_and("same_header").alias("same_header"),
         )
         .first()
     )
@@ -125,6 +138,8 @@ def scan_csv(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
         if len(found.encodings) > 1:
             raise ValueError(f"files at {path!r} differ in encoding: {found.encodings}; scan them apart")
         encoding = found.encodings[0]
+    if not found.same_header:
+        raise ValueError(f"files at {path!r} have different headers; scan them apart")
     # A quoted field doubles its quotes; Spark's own default is a backslash.
     options = {
         "encoding": encoding,

@@ -107,6 +107,13 @@ def test_many_files_share_one_header(spark, tmp_path):
     assert sorted(rows(scan_csv(spark, str(tmp_path)))) == [(1, "x"), (2, "y")]
 
 
+def test_files_of_different_headers_are_refused(spark, tmp_path):
+    put(tmp_path, "a,b\n1,x\n", "one.csv")
+    put(tmp_path, "b,a\n2,y\n", "two.csv")
+    with pytest.raises(ValueError, match="different headers"):
+        scan_csv(spark, str(tmp_path))
+
+
 def test_missing_and_empty_files(spark, tmp_path):
     with pytest.raises(ValueError, match="no files"):
         scan_csv(spark, str(tmp_path / "nothing.csv"))
