@@ -98,7 +98,15 @@ def train_test_split(spark, sf):
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
-_CHOICES = """SELECT task, source, n AS rows, CASE WHEN n <= 1000 THEN small WHEN n <= 10000 THEN middle ELSE large END AS model
+@query("SELECT * FROM orders")
+def train_test_split_whole(spark, sf):
+    """The two parts together are the table, each row once."""
+    train, test = split(table(spark, sf, "orders"))
+    return train.unionByName(test)
+
+
+_CHOICES = """SELECT task, source, n AS rows,
+       CASE WHEN n <= 1000 THEN small WHEN n <= 10000 THEN middle ELSE large END AS model
     FROM (VALUES ('classification', 'LinearSVC', 'RandomForestClassifier', 'GBTClassifier'),
                  ('regression', 'LinearRegression', 'RandomForestRegressor', 'GBTRegressor'))
          AS t(task, small, middle, large),
@@ -207,7 +215,10 @@ def predict_rows(spark, sf):
     return P.predict_rows(predictor, _lines(labels, ["doc_id", "quality"]))
 
 
-@query("SELECT c_mktsegment AS category, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS code FROM (SELECT DISTINCT c_mktsegment FROM customer)")
+@query(
+    """SELECT c_mktsegment AS category, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS code
+       FROM (SELECT DISTINCT c_mktsegment FROM customer)"""
+)
 def label_mapping(spark, sf):
     from tablewright.functions.ranking import sorted_codes
 

@@ -32,9 +32,10 @@ SAMPLE_SHARE = 0.01
 GROUP_GRID = 256
 # Per-group state up to this many groups is broadcast (about 10 MB).
 BROADCAST_GROUPS = 100_000
+# Of more groups, those with over 1 / HOT_GROUPS of all rows are broadcast: at most this many.
+HOT_GROUPS = 10_000
 # Up to this many groups are searched side by side, each as a column.
 LISTED_GROUPS = 32
-SALTS = 32
 
 
 @dataclass
@@ -288,12 +289,12 @@ def exact_group_quantile(
     listed = sizes.limit(LISTED_GROUPS + 1).collect()
     if len(listed) <= LISTED_GROUPS:
         return _listed_groups(data, listed, group, probability, limit)
-    largest, groups = sizes.agg(F.max("rows"), F.count("*")).first()
+    largest, groups, total = sizes.agg(F.max("rows"), F.count("*"), F.sum("rows")).first()
     if largest <= limit:
         found = data.groupBy("g").agg(F.percentile("y", F.lit(float(probability))).alias("quantile"))
         return found.select(col("g").alias(group), "quantile")
 
-    small = groups <= BROADCAST_GROUPS
+    hot_rows = 0 if groups <= BROADCAST_GROUPS else total // HOT_GROUPS
     position = (F.col("rows") - 1) * F.lit(float(probability))
     none = F.lit(None).cast("double")
     state = sizes.select(
@@ -302,6 +303,7 @@ def exact_group_quantile(
         (position - F.floor(position)).alias("part"),
         F.floor(position).alias("wanted"),
         "rows",
+        F.col("rows").alias("size"),
         none.alias("low"),
         none.alias("high"),
         none.alias("found"),
@@ -311,22 +313,22 @@ def exact_group_quantile(
     seed = 0
     while largest > limit:
         seed += 1
-        state = _narrow_groups(data, state, limit, small, seed).checkpoint()
+        state = _narrow_groups(data, state, limit, hot_rows, seed).checkpoint()
         largest = state.filter("found IS NULL").agg(F.max("rows")).first()[0] or 0
 
     picked = (
-        _with_state(data, state.filter("found IS NULL"), small)
+        _with_state(data, state.filter("found IS NULL"), hot_rows)
         .filter(_INSIDE)
         .groupBy("g")
         .agg(F.sort_array(F.collect_list("y")).alias("ys"), F.first("wanted").alias("w"))
         .select("g", F.get("ys", F.col("w").cast("int")).alias("picked"))
     )
     lower = state.join(picked, "g", "left").select(
-        "g", "rank", "part", F.coalesce("found", "picked").alias("lower")
+        "g", "rank", "part", "size", F.coalesce("found", "picked").alias("lower")
     )
     # The next order statistic is the same value if it repeats, else the least greater one.
     upper = (
-        _with_state(data, lower, small)
+        _with_state(data, lower, hot_rows)
         .groupBy("g")
         .agg(
             F.count_if(F.col("y") <= F.col("lower")).alias("upto"),
@@ -366,21 +368,22 @@ def _listed_groups(
 _INSIDE = "(low IS NULL OR y > low) AND (high IS NULL OR y < high)"
 
 
-def _with_state(data: DataFrame, state: DataFrame, small: bool) -> DataFrame:
-    if small:
-        return data.join(F.broadcast(state), "g")
-    # Many groups: shuffle, with every group spread over SALTS partitions.
-    salted = state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = data.withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(SALTS)).cast("int"))
-    return spread.join(salted, ["g", "salt"]).drop("salt")
+def _with_state(data: DataFrame, state: DataFrame, hot_rows: int) -> DataFrame:
+    """The rows with their group's state; groups of more than `hot_rows` rows are not shuffled."""
+    hot = state.filter(F.col("size") > hot_rows)
+    joined = data.join(F.broadcast(hot), "g")
+    if hot_rows == 0:
+        return joined
+    cold = data.join(F.broadcast(hot.select("g")), "g", "left_anti")
+    return joined.unionByName(cold.join(state.filter(F.col("size") <= hot_rows), "g"))
 
 
-def _narrow_groups(data: DataFrame, state: DataFrame, limit: int, small: bool, seed: int) -> DataFrame:
+def _narrow_groups(data: DataFrame, state: DataFrame, limit: int, hot_rows: int, seed: int) -> DataFrame:
     wide = state.filter((F.col("rows") > limit) & F.col("found").isNull())
     grid = [i / GROUP_GRID for i in range(GROUP_GRID + 1)]
     share = F.least(F.lit(1.0), F.greatest(F.lit(SAMPLE_SHARE), F.lit(float(SAMPLE_ROWS)) / F.col("rows")))
     sketches = (
-        _with_state(data.withColumn("draw", F.rand(seed)), wide.withColumn("share", share), small)
+        _with_state(data.withColumn("draw", F.rand(seed)), wide.withColumn("share", share), hot_rows)
         .filter(_INSIDE)
         .filter("draw < share")
         .groupBy("g")
@@ -394,7 +397,7 @@ def _narrow_groups(data: DataFrame, state: DataFrame, limit: int, small: bool, s
         F.get("sketch", F.least(at + 2, F.lit(GROUP_GRID))).alias("b"),
     )
     counts = (
-        _with_state(data, guesses.select("g", "low", "high", "a", "b"), small)
+        _with_state(data, guesses.select("g", "size", "low", "high", "a", "b"), hot_rows)
         .filter(_INSIDE)
         .groupBy("g")
         .agg(
@@ -420,6 +423,7 @@ def _narrow_groups(data: DataFrame, state: DataFrame, limit: int, small: bool, s
             "g",
             "rank",
             "part",
+            "size",
             """CASE place WHEN 'middle' THEN wanted - to_middle WHEN 'above' THEN wanted - to_above
                           ELSE wanted END AS wanted""",
             """CASE place WHEN 'below' THEN n_below WHEN 'middle' THEN n_middle

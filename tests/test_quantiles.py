@@ -73,11 +73,11 @@ def test_wrong_guesses_cost_a_round_but_no_correctness(spark):
     assert got["x"] == [1249.75, 2499.5]
 
 
-@pytest.mark.parametrize(("listed", "broadcast"), [(50, 0), (5, 100_000), (5, 2)])
-@pytest.mark.parametrize("p", [0.5, 0.3])
+@pytest.mark.parametrize(("listed", "broadcast", "p"), [(50, 0, 0.5), (5, 100_000, 0.3), (5, 2, 0.5), (5, 2, 0.3)])
 def test_groups_with_a_hot_one(spark, monkeypatch, listed, broadcast, p):
     monkeypatch.setattr(Q, "LISTED_GROUPS", listed)
     monkeypatch.setattr(Q, "BROADCAST_GROUPS", broadcast)
+    monkeypatch.setattr(Q, "HOT_GROUPS", 10)  # only the hot group has over a tenth of the rows
     rng = np.random.default_rng(3)
     groups = np.where(rng.random(6000) < 0.4, "hot", rng.integers(0, 30, 6000).astype(str))
     values = np.where(rng.random(6000) < 0.3, 1.5, np.round(rng.exponential(10, 6000), 1))
