@@ -133,8 +133,8 @@ def one_hot(df: DataFrame, columns: list[str], fitted: dict[str, list[str]] | No
     return df.withColumns(flags).drop(*columns)
 
 
-def fit_features(df: DataFrame) -> PipelineModel:
-    """Fit the step from a table to a `features` vector of scaled numbers and one-hot categories."""
+def fit_features(df: DataFrame, out: str = "features") -> PipelineModel:
+    """Fit the step from a table to a vector `out` of scaled numbers and one-hot categories."""
     kinds = feature_types(df)
     if not kinds.numeric and not kinds.categorical:
         raise ValueError("there is no numeric or text column to learn from")
@@ -162,7 +162,7 @@ def fit_features(df: DataFrame) -> PipelineModel:
             )
         )
         stages.append(OneHotEncoder(inputCols=codes, outputCols=flags, dropLast=True))
-    stages.append(VectorAssembler(inputCols=numbers + flags, outputCol="features"))
+    stages.append(VectorAssembler(inputCols=numbers + flags, outputCol=out))
     return Pipeline(stages=stages).fit(df)
 
 

@@ -20,6 +20,8 @@ from ..sources.workspace import ensure_checkpoint_dir
 # A classifier keeps statistics per class on the driver.
 MODEL_CLASSES = 1_000
 
+VECTOR, LABEL = "tw_features", "tw_label"
+
 
 @dataclass(frozen=True)
 class Predictor:
@@ -34,8 +36,15 @@ class Predictor:
 
     def score(self, df: DataFrame) -> DataFrame:
         """The rows with the model's `prediction`."""
-        scored = self.model.transform(self.features.transform(df))
-        return scored.select(*[col(c) for c in df.columns], F.col("prediction").cast("double").alias("prediction"))
+        if "prediction" in df.columns:
+            raise ValueError("the rows already have a column 'prediction'")
+        return self._predicted(df).select(F.col("tw_row.*"), "prediction")
+
+    def _predicted(self, df: DataFrame) -> DataFrame:
+        # The row travels apart, so that no column of it can be taken for the model's own.
+        row = F.struct(*[col(c) for c in df.columns]).alias("tw_row")
+        ready = self.features.transform(df).select(row, F.col(VECTOR).alias("features"))
+        return self.model.transform(ready).select("tw_row", F.col("prediction").cast("double").alias("prediction"))
 
 
 @dataclass(frozen=True)
@@ -49,7 +58,7 @@ class Prediction:
 def fit_predict(
     df: DataFrame, target: str, task: str, key: str | list[str] | None = None
 ) -> tuple[Predictor, DataFrame]:
-    """Fit on the training part; (predictor, the test part with `label` and `prediction`)."""
+    """Fit on the training part; (predictor, `target`, `label` and `prediction` of the test part)."""
     select_model(task, 0)  # refuse an unknown task before any work
     ensure_checkpoint_dir(df.sparkSession)
     rows, known = df.agg(F.count("*"), F.count(col(target))).first()
@@ -65,25 +74,30 @@ def fit_predict(
         raise ValueError(f"target {target!r} has {classes} classes; a classifier needs 2 to {MODEL_CLASSES}")
 
     train, test = train_test_split(df, key=key)
-    features = fit_features(train.drop(target))
-    if codes is None:
-        labelled = train.withColumn("label", col(target).cast("double"))
-        answers = test.withColumn("label", col(target).cast("double"))
-    else:
-        labelled = with_codes(train, target, codes, "label").withColumn("label", F.col("label").cast("double"))
-        answers = with_codes(test, target, codes, "label").withColumn("label", F.col("label").cast("double"))
-    ready = features.transform(labelled).select("features", "label")
+    features = fit_features(train.drop(target), VECTOR)
+
+    def labelled(part: DataFrame) -> DataFrame:
+        if codes is None:
+            return part.withColumn(LABEL, col(target).cast("double"))
+        return with_codes(part, target, codes, LABEL).withColumn(LABEL, F.col(LABEL).cast("double"))
+
+    ready = features.transform(labelled(train)).select(F.col(VECTOR).alias("features"), F.col(LABEL).alias("label"))
     model = select_model(task, rows, classes).fit(ready)
     inputs = T.StructType([f for f in df.schema.fields if f.name != target])
     predictor = Predictor(target, task, inputs, features, model, codes)
-    return predictor, predictor.score(answers)
+    scored = predictor._predicted(labelled(test)).select(
+        F.col("tw_row").getField(target).alias("target"),
+        F.col("tw_row").getField(LABEL).alias("label"),
+        "prediction",
+    )
+    return predictor, scored
 
 
 def evaluate(predictor: Predictor, scored: DataFrame) -> DataFrame:
     """Metrics of scored test rows; classes appear by their own names."""
     if predictor.task == "regression":
         return eval_regression(scored)
-    predicted = _decoded(predictor, scored).select(col(predictor.target).alias("label"), "decoded")
+    predicted = _decoded(predictor, scored).select(F.col("target").alias("label"), "decoded")
     return eval_classification(predicted, "label", "decoded")
 
 
@@ -108,7 +122,7 @@ def predict_rows(predictor: Predictor, rows: DataFrame, column: str = "line", ro
     checked = F.when(F.size(parts) == len(names), parts).otherwise(F.raise_error(wrong))
     split = rows.select(col(column).alias("tw_line"), checked.alias("tw_parts"))
     typed = split.select("tw_line", *[_parsed(i, f) for i, f in enumerate(predictor.inputs.fields)])
-    scored = predictor.score(typed)
+    scored = predictor._predicted(typed).select(F.col("tw_row.tw_line").alias("tw_line"), "prediction")
     out = [F.col("tw_line").alias(column), F.col("prediction").alias("raw")]
     if round_output:
         out.append(F.bround("prediction", 0).cast("bigint").alias("rounded"))

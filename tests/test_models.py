@@ -171,6 +171,15 @@ def test_numeric_classes_keep_their_names(spark):
     assert [r["decoded"] for r in done.predictions.collect()] == [7, 42]
 
 
+def test_features_may_have_the_names_a_model_uses(spark, learnable):
+    table = learnable.select(F.col("x").alias("label"), F.col("c").alias("features"), F.col("y").alias("raw.y"))
+    predictor, scored = P.fit_predict(table, "raw.y", "regression")
+    assert P.evaluate(predictor, scored).first()["r2"] > 0.99
+    assert predictor.score(table).columns == ["label", "features", "raw.y", "prediction"]
+    with pytest.raises(ValueError, match="already have"):
+        predictor.score(table.withColumnRenamed("raw.y", "prediction"))
+
+
 def test_text_target_of_a_regression_is_encoded(spark, learnable):
     predictor, scored = P.fit_predict(learnable.drop("y"), "kind", "regression")
     assert P.evaluate(predictor, scored).first()["n"] == scored.count()
