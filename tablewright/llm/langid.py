@@ -17,8 +17,10 @@ UNKNOWN = "und"
 ROWS_PER_LANGUAGE = 2000
 #: Bytes of an n-gram of the letters-only text.
 GRAM = 5
-#: A language's filter takes the n-grams in at least this share of its sampled texts.
+#: A language's filter takes the n-grams in at least this share of its sampled texts,
 LEAST_SHARE = 0.001
+#: unless another language has them this many times more often: they stem from quoted passages.
+MOST_FOREIGN = 20.0
 #: Slots of the filter are 2 to this power; each holds one bit for each language.
 SLOT_BITS = 21
 PROBES = 2
@@ -99,33 +101,36 @@ def learn(docs: DataFrame, key: str, text: str, lang: str, rows_per_language: in
     masks = np.zeros((1 << SLOT_BITS, width), np.uint64)
     if languages:
         number = {name: i for i, name in enumerate(languages)}
+        above, low = np.uint64(8 * GRAM), np.uint64((1 << 8 * GRAM) - 1)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, at = flat(batch.column(1))
-                owner = np.array([number[x] for x in batch.column(0).to_pylist()], np.int32)
+                owner = np.array([number[x] for x in batch.column(0).to_pylist()], np.uint64)
+                times: list[np.ndarray] = []
                 for lo, hi in blocks(at):
                     part = _grams(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-                    # A text's number in its block fits above the 40 bits of an n-gram.
-                    once = [np.unique((texts.astype(np.uint64) << np.uint64(8 * GRAM)) | codes) for codes, texts in part]
+                    # A text's number in its block fits above the bits of an n-gram.
+                    once = [np.unique((texts.astype(np.uint64) << above) | codes) for codes, texts in part]
                     pairs = np.unique(np.concatenate(once)) if once else np.zeros(0, np.uint64)
-                    codes = pairs & np.uint64((1 << 8 * GRAM) - 1)
-                    rows = owner[lo:hi][(pairs >> np.uint64(8 * GRAM)).astype(np.int64)]
-                    slots = [pa.array(_slot(codes, p).astype(np.int32)) for p in range(PROBES)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows), pa.array(codes.view(np.int64)), *slots],
-                        ["language", "code", *(f"s{p}" for p in range(PROBES))],
-                    )
-
-        schema = "language int, code long, " + ", ".join(f"s{p} int" for p in range(PROBES))
+                    times.append((owner[lo:hi][(pairs >> above).astype(np.int64)] << above) | (pairs & low))
+                found, n = np.unique(np.concatenate(times), return_counts=True) if times else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                codes = found & low
+                columns = [(found >> above).astype(np.int32), codes.view(np.int64), n, *(_slot(codes, p).astype(np.int32) for p in range(PROBES))]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["language", "code", "n", *(f"s{p}" for p in range(PROBES))])
+
+        schema = "language int, code long, n long, " + ", ".join(f"s{p} int" for p in range(PROBES))
         # At most rows_per_language ids of each language, so the ids are small enough to broadcast.
         ids = F.broadcast(chosen.select("k", "lang"))
         texts = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), _letters(F.col(text)).alias("letters")).join(ids, ["k", "lang"])
         grams = texts.select("lang", "letters").mapInArrow(run, schema)
         slots = [f"s{p}" for p in range(PROBES)]
-        counted = grams.groupBy("language", "code", *slots).agg(F.count("*").alias("n"))
+        counted = grams.groupBy("language", "code", *slots).agg(F.sum("n").alias("n"))
         floor = F.element_at(F.array(*[F.lit(float(LEAST_SHARE * sizes[x])) for x in languages]), F.col("language") + 1)
-        kept = counted.filter(F.col("n") >= floor).select("language", F.explode(F.array(*slots)).alias("slot")).distinct()
+        rate = F.col("n") / F.element_at(F.array(*[F.lit(float(sizes[x])) for x in languages]), F.col("language") + 1)
+        top = F.max("rate").over(Window.partitionBy("code", *slots))
+        own = counted.filter(F.col("n") >= floor).withColumn("rate", rate).withColumn("top", top).filter(F.col("rate") * MOST_FOREIGN >= F.col("top"))
+        kept = own.select("language", F.explode(F.array(*slots)).alias("slot")).distinct()
         # One row for each slot and 64 languages: the size of the filter, whatever the input.
         planes = kept.groupBy("slot", (F.col("language") / 64).cast("int").alias("word")).agg(
             F.bit_or(F.expr("shiftleft(1L, language % 64)")).alias("mask")
@@ -152,8 +157,14 @@ def _grams(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
         codes = np.zeros(n, np.uint64)
         for i in range(GRAM):
             codes = (codes << np.uint64(8)) | window[i : i + n]
-        texts = np.searchsorted(at, np.arange(base, base + n), side="right") - 1
-        inside = np.arange(base, base + n) + GRAM <= at[texts + 1]
+        # An n-gram that begins in the last bytes of a text reaches into the next one.
+        inside = np.ones(n, bool)
+        ends = at[1:] - base
+        for i in range(1, GRAM):
+            over = ends - i
+            inside[over[(over >= 0) & (over < n)]] = False
+        edges = np.clip(at - base, 0, n)
+        texts = np.repeat(np.arange(len(at) - 1), np.diff(edges))
         yield codes[inside], texts[inside]
 
 

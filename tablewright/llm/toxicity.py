@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,25 +15,33 @@ from tablewright.llm.text import LETTERS_DIGITS, blocks, flat, mix, words
 
 #: Rows that the model is learned from: bounded samples, chosen by a hash of the id.
 LABELLED_ROWS, OTHER_ROWS = 20_000, 5_000
-#: Voters: words (the lexicon) and word beginnings (the patterns) that labelled toxic texts hold more often.
-VOTERS = 400
-#: A voter's toxic texts, at least, and how many times likelier they hold it than other texts.
-LEAST_TEXTS, LEAST_LIFT = 5, 4.0
-#: Bytes of the word beginnings.
+#: Bytes of the word beginnings that make the pattern voters.
 BEGINNINGS = (4, 5, 6)
+#: A word or beginning is one feature for each of these counts that a text reaches.
+LEVELS = (1, 2, 4)
+#: Features that the classifier may weigh: at most so many, with a log-likelihood ratio (against no
+#: connection with the label) of at least this.
+FEATURES, LEAST_TOLD = 20_000, 12.0
+#: Voters: at most so many features, likelier in toxic texts, with a ratio of at least this.
+VOTERS, LEAST_VOTE = 400, 24.0
 #: The given label votes too, and is right this often.
-LABEL_RIGHT = 0.98
-#: Voters of one class with a residual correlation above this count as related.
+LABEL_RIGHT = 0.995
+#: Voters whose correlation within the classes is above this count as related.
 RELATED = 0.1
-#: The classifier's weights: 2 to this power.
-WEIGHT_BITS = 18
 THRESHOLD = 0.3
 
+_FILTER_BITS = 22
+
 
 @dataclass(frozen=True)
 class Toxicity:
-    """Weights by hashed feature; `voters`, `fires` (in toxic and other texts) and `related` describe the label model."""
+    """`weights[i, j]` is for base feature `ids[i]` at count LEVELS[j]; the rest describes the label model.
+
+    `voters` are places in the flattened weights, `fires` how often each fires in
+    toxic and other texts, `related` their correlations.
+    """
 
+    ids: np.ndarray
     weights: np.ndarray
     bias: float
     voters: np.ndarray
@@ -50,25 +58,43 @@ class Toxicity:
         return self._scored(docs, text).filter(F.col("__score") < threshold).select(*docs.columns)
 
     def _scored(self, docs: DataFrame, text: str) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast((self.weights, self.bias))
+        shared = docs.sparkSession.sparkContext.broadcast((self.ids, np.cumsum(self.weights, axis=1), self.bias))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weights, bias = shared.value
+            ids, total, bias = shared.value
+            known = _Known(ids)
             for batch in batches:
-                data, at = flat(batch.column(batch.schema.get_field_index(text)))
-                z = np.zeros(len(at) - 1)
-                for lo, hi in blocks(at):
-                    ids, texts = _features(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-                    buckets = _bucket(ids)
-                    told = np.flatnonzero(weights[buckets])
-                    pairs = np.unique((texts[told].astype(np.int64) << WEIGHT_BITS) | buckets[told])
-                    z[lo:hi] = np.bincount(pairs >> WEIGHT_BITS, weights[pairs & ((1 << WEIGHT_BITS) - 1)], hi - lo)
-                p = 1 / (1 + np.exp(-np.clip(z + bias, -40, 40)))
+                z = []
+                for place, text_of, level, n in known.batch(batch.column(batch.schema.get_field_index(text))):
+                    z.append(np.bincount(text_of, total[place, level], n))
+                p = 1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *z]) + bias, -40, 40)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "__score"])
 
         return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
 
 
+class _Known:
+    """Finds the features of a sorted list in texts."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        self.ids = ids
+        self.maybe = np.zeros(1 << _FILTER_BITS, bool)
+        self.maybe[ids >> np.uint64(64 - _FILTER_BITS)] = True
+
+    def batch(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """For each block of texts: places in the list, the text's number, the level reached, and the number of texts."""
+        data, at = flat(texts)
+        for lo, hi in blocks(at):
+            ids, owner = _features(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+            some = self.maybe[ids >> np.uint64(64 - _FILTER_BITS)]
+            ids, owner = ids[some], owner[some]
+            place = np.searchsorted(self.ids, ids)
+            some = self.ids[np.minimum(place, len(self.ids) - 1)] == ids if len(self.ids) else np.zeros(len(ids), bool)
+            pairs, times = np.unique(owner[some] * max(1, len(self.ids)) + place[some], return_counts=True)
+            owner, place = np.divmod(pairs, max(1, len(self.ids)))
+            yield place, owner, np.searchsorted(LEVELS, times, side="right") - 1, hi - lo
+
+
 def learn(docs: DataFrame, labels: DataFrame, key: str, text: str) -> Toxicity:
     """From documents and labels (key, toxic 0/1), both only of rows that may be learned from.
 
@@ -77,10 +103,10 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str) -> Toxicity:
     of toxic labels (0 without labels) for every text.
     """
     given = labels.filter("toxic is not null").groupBy(F.col(key).alias("k")).agg(F.max("toxic").alias("toxic"))
-    # Both samples have a fixed number of rows at most, so their ids are small enough to broadcast.
     ids = docs.select(F.col(key).alias("k")).filter("k is not null").distinct()
     chosen = ids.join(given, "k").orderBy(F.xxhash64("k"), "k").limit(LABELLED_ROWS)
     others = ids.join(given, "k", "left_anti").orderBy(F.xxhash64("k"), "k").limit(OTHER_ROWS)
+    # Both samples have a fixed number of rows at most, so their ids are small enough to broadcast.
     picked = docs.sparkSession.createDataFrame(
         [(r["k"], r["toxic"]) for r in chosen.collect()] + [(r["k"], None) for r in others.collect()],
         f"k {docs.schema[key].dataType.simpleString()}, toxic int",
@@ -92,74 +118,99 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str) -> Toxicity:
         share = toxic / max(1, toxic + other)
         bias = float(np.log(share / (1 - share))) if 0 < share < 1 else (40.0 if share else -40.0)
         none = np.zeros(0)
-        return Toxicity(np.zeros(1 << WEIGHT_BITS), bias, none.astype(np.uint64), np.zeros((2, 0)), np.zeros((0, 0)))
-    voters = _voters(sample.filter("toxic is not null"), toxic, other)
-    votes, seen, starts, label = _gathered(sample, voters)
+        return Toxicity(none.astype(np.uint64), np.zeros((0, len(LEVELS))), bias, none.astype(int), np.zeros((2, 0)), np.zeros((0, 0)))
+    found, told, toward = _told(sample.filter("toxic is not null"), toxic, other)
+    place, starts, label = _gathered(sample, found)
+    strong = np.flatnonzero(((told >= LEAST_VOTE) & toward).ravel())
+    voters = np.sort(strong[np.argsort(-told.ravel()[strong], kind="stable")][:VOTERS])
+    votes = np.zeros((len(label), len(voters)), np.float32)
+    row = np.repeat(np.arange(len(label)), np.diff(starts))
+    number = np.full(told.size, -1)
+    number[voters] = np.arange(len(voters))
+    fired = number[place] >= 0
+    votes[row[fired], number[place[fired]]] = 1
     posterior, fires, related = label_model(votes, label)
-    weights, bias = _classifier(seen, starts, posterior)
-    return Toxicity(weights, bias, voters, fires, related)
+    weights, bias = _classifier(place, starts, posterior, told.ravel() >= LEAST_TOLD)
+    return Toxicity(found, weights.reshape(told.shape), bias, voters, fires, related)
 
 
-def _voters(labelled: DataFrame, toxic: int, other: int) -> np.ndarray:
-    """Features that tell most, by how many toxic texts they name and how much likelier those hold them."""
+def _told(labelled: DataFrame, toxic: int, other: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Base features that tell most, sorted; by level the log-likelihood ratio, and whether toxic texts have it more often."""
+    columns = [f"{c}{level}" for level in LEVELS for c in ("bad", "n")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = flat(batch.column(0))
-            y = batch.column(1).to_numpy(zero_copy_only=False)
+            y = batch.column(1).to_numpy(zero_copy_only=False) == 1
             for lo, hi in blocks(at):
-                ids, texts = _once(*_features(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]))
-                found, back = np.unique(ids, return_inverse=True)
-                bad = np.bincount(back, y[lo:hi][texts] == 1, len(found)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.view(np.int64)), pa.array(bad), pa.array(np.bincount(back, minlength=len(found)))], ["id", "bad", "n"]
-                )
-
-    counted = labelled.select("text", "toxic").mapInArrow(run, "id long, bad long, n long")
-    counted = counted.groupBy("id").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).filter(F.col("bad") >= LEAST_TEXTS)
-    lift = ((F.col("bad") + 0.5) / (toxic + 1)) / ((F.col("n") - F.col("bad") + 0.5) / (other + 1))
-    told = counted.withColumn("lift", lift).filter(F.col("lift") >= LEAST_LIFT).withColumn("worth", F.col("bad") * F.log("lift"))
-    best = told.orderBy(F.desc("worth"), "id").limit(VOTERS).select("id").collect()
-    return np.sort(np.array([r["id"] for r in best], np.int64).view(np.uint64))
-
-
-def _gathered(sample: DataFrame, voters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the bounded sample: votes (texts x voters), feature buckets one text after the other, their starts, labels (-1: none)."""
+                ids, owner = _features(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+                order = np.lexsort((ids, owner))
+                ids, owner = ids[order], owner[order]
+                head = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (owner[1:] != owner[:-1])])) if len(ids) else np.zeros(0, int)
+                times, bad = np.diff(np.append(head, len(ids))), y[lo:hi][owner[head]]
+                feature, back = np.unique(ids[head], return_inverse=True)
+                sums = [np.bincount(back, x & (times >= level), len(feature)).astype(np.int64) for level in LEVELS for x in (bad, np.ones_like(bad))]
+                yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), *map(pa.array, sums)], ["id", *columns])
+
+    counted = labelled.select("text", "toxic").mapInArrow(run, "id long, " + ", ".join(f"{c} long" for c in columns))
+    counted = counted.groupBy("id").agg(*[F.sum(c).alias(c) for c in columns]).filter("n1 >= 4")
+    ratios = [_ratio(F.col(f"bad{x}"), F.col(f"n{x}"), toxic, other).alias(f"g{x}") for x in LEVELS]
+    toward = [(F.col(f"bad{x}") * other > (F.col(f"n{x}") - F.col(f"bad{x}")) * toxic).alias(f"t{x}") for x in LEVELS]
+    rated = counted.select("id", *ratios, *toward).withColumn("worth", F.greatest(*[F.col(f"g{x}") for x in LEVELS]))
+    best = rated.filter(F.col("worth") >= LEAST_TOLD).orderBy(F.desc("worth"), "id").limit(FEATURES).toPandas()
+    ids = best["id"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(ids)
+    pick = lambda c: np.stack([best[f"{c}{x}"].to_numpy()[order] for x in LEVELS], axis=1)
+    return ids[order], pick("g").astype(float), pick("t").astype(bool)
+
+
+def _ratio(bad: Column, n: Column, toxic: int, other: int) -> Column:
+    """Log-likelihood ratio of a feature in `bad` of the toxic texts and n - bad of the others, against equal shares."""
+    share = n / (toxic + other)
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    good = n - bad
+    terms = part(bad, share * toxic) + part(good, share * other) + part(toxic - bad, (1 - share) * toxic) + part(other - good, (1 - share) * other)
+    return F.when((n > 0) & (n < toxic + other), 2 * terms).otherwise(0.0)
+
+
+def _gathered(sample: DataFrame, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the bounded sample: feature numbers (base feature x level) one text after the other, their starts, labels (-1: none)."""
+    width = len(LEVELS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(ids)
         for batch in batches:
-            data, at = flat(batch.column(0))
-            for lo, hi in blocks(at):
-                ids, texts = _once(*_features(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]))
-                place = np.minimum(np.searchsorted(voters, ids), max(0, len(voters) - 1))
-                fired = voters[place] == ids if len(voters) else np.zeros(len(ids), bool)
-                n = hi - lo
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1)[lo:hi], _lists(_bucket(ids), texts, n), _lists(place[fired], texts[fired], n)], ["toxic", "seen", "fired"]
-                )
-
-    got = sample.select("text", "toxic").mapInArrow(run, "toxic int, seen array<int>, fired array<int>").toArrow().combine_chunks()
+            at = 0
+            for place, owner, level, n in known.batch(batch.column(0)):
+                many = level + 1
+                base, text = np.repeat(place, many), np.repeat(owner, many)
+                step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array((base * width + step).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(1)[at : at + n], lists], ["toxic", "seen"])
+                at += n
+
+    got = sample.select("text", "toxic").mapInArrow(run, "toxic int, seen array<int>").toArrow()
     label = np.nan_to_num(got["toxic"].to_numpy().astype(float), nan=-1).astype(int)
-    seen, fired = (got[c].combine_chunks() for c in ("seen", "fired"))
-    seen, fired = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (seen, fired))
-    votes = np.zeros((len(label), len(voters)), np.float32)
-    votes[np.repeat(np.arange(len(label)), np.diff(fired.offsets.to_numpy())), fired.flatten().to_numpy()] = 1
-    return votes, seen.flatten().to_numpy(), seen.offsets.to_numpy() - seen.offsets[0].as_py(), label
-
-
-def _lists(values: np.ndarray, texts: np.ndarray, n: int) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(texts, minlength=n))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
+    seen = got["seen"].combine_chunks()
+    seen = seen.chunk(0) if isinstance(seen, pa.ChunkedArray) else seen
+    return seen.flatten().to_numpy(), seen.offsets.to_numpy() - seen.offsets[0].as_py(), label
 
 
 def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of label 1 for each text, how often each voter fires in texts of label 1 and 0, and their correlations.
 
     Expectation-maximisation over a model in which a voter fires at a rate of its own
-    in each class. Voters are not independent: what goes beyond the classes in common
-    is estimated in each round, and a voter's evidence is divided by the number of
-    voters that say the same. The given label (-1: none) is one more voter.
+    in each class. A voter that does not fire abstains, but a text on which all
+    abstain is told by one more voter, the last. Voters are not independent: what
+    they have in common beyond the classes is estimated along with the rates, and a
+    voter's evidence is divided by the number of voters that say the same. The given
+    label (-1: none) votes too.
     """
+    votes = np.column_stack([votes, votes.sum(axis=1) == 0]).astype(np.float32)
     known = label >= 0
     share = max(1e-3, min(0.999, (label == 1).sum() / max(1, known.sum())))
     own = np.where(known, np.where(label == 1, 1, -1) * np.log(LABEL_RIGHT / (1 - LABEL_RIGHT)), 0.0)
@@ -171,10 +222,9 @@ def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 20) -> tuple
         if step % 5 == 1:
             related = _correlations(votes, posterior, fires)
         alike = np.where(related > RELATED, related, 0).sum(axis=0)
-        heard = (np.log(fires[0] / fires[1]) - np.log((1 - fires[0]) / (1 - fires[1]))) / np.maximum(alike, 1)
-        silent = (np.log((1 - fires[0]) / (1 - fires[1])) / np.maximum(alike, 1)).sum()
+        heard = np.log(fires[0] / fires[1]) / np.maximum(alike, 1)
         prior = mass[0] / mass.sum()
-        z = np.log(prior / (1 - prior)) + own + silent + votes @ heard
+        z = np.log(prior / (1 - prior)) + own + votes @ heard
         posterior = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     return posterior, fires, related
 
@@ -190,11 +240,12 @@ def _correlations(votes: np.ndarray, posterior: np.ndarray, fires: np.ndarray) -
     return out
 
 
-def _classifier(seen: np.ndarray, starts: np.ndarray, posterior: np.ndarray, rounds: int = 8, batch: int = 128) -> tuple[np.ndarray, float]:
-    """Logistic regression on the posteriors, one weight a bucket, by adaptive gradient steps over small batches."""
-    n, size = len(posterior), 1 << WEIGHT_BITS
-    weights, squares, bias, bias_square = np.zeros(size), np.full(size, 1e-2), 0.0, 1e-2
-    common = np.bincount(seen, minlength=size) >= LEAST_TEXTS
+def _classifier(seen: np.ndarray, starts: np.ndarray, posterior: np.ndarray, used: np.ndarray, rounds: int = 30, batch: int = 128) -> tuple[np.ndarray, float]:
+    """Logistic regression on the posteriors over the features in use, by adaptive gradient steps over small batches."""
+    n, size = len(posterior), len(used)
+    weights, squares = np.zeros(size), np.full(size, 1e-2)
+    share = np.clip(posterior.mean(), 1e-3, 0.999)
+    bias, bias_square = float(np.log(share / (1 - share))), 1e-2
     order = np.random.default_rng(5)
     for _ in range(rounds):
         turn = order.permutation(n)
@@ -203,19 +254,35 @@ def _classifier(seen: np.ndarray, starts: np.ndarray, posterior: np.ndarray, rou
             lengths = starts[rows + 1] - starts[rows]
             row = np.repeat(np.arange(len(rows)), lengths)
             place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts[rows], lengths)
-            bucket = seen[place]
-            keep = common[bucket]
-            row, bucket = row[keep], bucket[keep]
-            z = np.bincount(row, weights[bucket], len(rows)) + bias
+            number = seen[place]
+            keep = used[number]
+            row, number = row[keep], number[keep]
+            z = np.bincount(row, weights[number], len(rows)) + bias
             error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - posterior[rows]
-            touched, back = np.unique(bucket, return_inverse=True)
-            step = np.bincount(back, error[row], len(touched)) / len(rows) + 1e-5 * weights[touched]
+            touched, back = np.unique(number, return_inverse=True)
+            step = np.bincount(back, error[row], len(touched)) / len(rows) + 3e-5 * weights[touched]
             squares[touched] += step**2
-            weights[touched] -= 0.3 * step / np.sqrt(squares[touched])
+            weights[touched] -= 0.2 * step / np.sqrt(squares[touched])
             bias_square += error.mean() ** 2
-            bias -= 0.3 * error.mean() / np.sqrt(bias_square)
-    weights[np.abs(weights) < 1e-3] = 0
-    return weights, float(bias)
+            bias -= 0.2 * error.mean() / np.sqrt(bias_square)
+    # The penalty pulls scores together; a line through them, fitted last, gives probabilities again.
+    row = np.repeat(np.arange(n), np.diff(starts))
+    keep = used[seen]
+    slope, shift = _line(np.bincount(row[keep], weights[seen[keep]], n) + bias, posterior)
+    return slope * weights, float(slope * bias + shift)
+
+
+def _line(z: np.ndarray, posterior: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and shift of z under which the logistic function fits the posteriors best (Newton's method, slightly held back)."""
+    a, b = 1.0, 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
+        w = p * (1 - p)
+        gradient = np.array([((p - posterior) * z).sum() + 1e-2 * (a - 1), (p - posterior).sum() + 1e-2 * b])
+        curve = np.array([[(w * z * z).sum() + 1e-2, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-2]])
+        step = np.clip(np.linalg.solve(curve, gradient), -1, 1)
+        a, b = max(0.1, a - step[0]), b - step[1]
+    return float(a), float(b)
 
 
 def _features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,16 +299,3 @@ def _features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         ids.append(mix(code))
         owners.append(texts[long])
     return np.concatenate(ids), np.concatenate(owners)
-
-
-def _once(ids: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's ids once, texts in order."""
-    order = np.lexsort((ids, texts))
-    ids, texts = ids[order], texts[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1])
-    return ids[new], texts[new]
-
-
-def _bucket(ids: np.ndarray) -> np.ndarray:
-    return (ids >> np.uint64(64 - WEIGHT_BITS)).astype(np.int64)
