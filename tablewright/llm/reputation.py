@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.sources.workspace import staged
+
 #: A host is blocked if the lower bound of its share of bad pages is above this.
 BLOCK_ABOVE = 0.5
 #: Posterior standard deviations below the mean that make the bound (one-sided 95 %).
@@ -85,9 +87,10 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule]) -> DataFrame
     cut = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     known = outcomes.groupBy("page_id").agg(F.max("bad").alias("bad"))
     marked = cut.select("page_id", "host").join(known, "page_id", "left")
-    hosts = marked.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    # Every level reads the hosts; written once, they are also a side of their own in the last join.
+    hosts = staged(marked.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "hosts")
     judged = reputations(hosts).select("host", F.when(F.col("bound") > BLOCK_ABOVE, "block").otherwise("allow").alias("own"))
-    table = _fitting(hosts.select("host"), rules).join(judged, "host")
+    table = staged(_fitting(hosts.select("host"), rules).join(judged, "host"), "verdicts")
     chosen = F.expr("filter(rules, r -> startswith(path, r.path))")
     best = F.array_max(F.transform(chosen, lambda r: F.struct(F.length(r["rule"]).alias("size"), r["action"].alias("action"), r["rule"].alias("rule"))))
     out = cut.join(table, "host").withColumn("best", best)
