@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.text import flat
+from tablewright.sources.workspace import staged
 
 #: A chunk ends, on average, after 2 to this power bytes.
 CUT_BITS = 5
@@ -105,7 +106,8 @@ def repeated_spans(docs: DataFrame, key: str, text: str, least_run: int = LEAST_
 
     Digests are counted with partial aggregation. Only the repeated ones meet the
     chunks again, in a sort-merge join whose large partitions Spark splits, so a
-    passage that a third of all documents share burdens no single task.
+    passage that a third of all documents share burdens no single task. The spans are
+    written to the shared folder.
     """
     pieces = chunked(docs, key, text)
     known = pieces.groupBy("d1", "d2").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").drop("last")
@@ -121,7 +123,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, least_run: int = LEAST_
 
     kind = docs.schema[key].dataType.simpleString()
     found = each.mapInArrow(run, f"key {kind}, spans array<struct<start:int,stop:int>>").filter(F.size("spans") > 0)
-    return found.withColumnRenamed("key", key)
+    return staged(found.withColumnRenamed("key", key), "spans")
 
 
 def _runs(chunks: list[dict], least_run: int) -> list[dict]:
@@ -135,26 +137,33 @@ def _runs(chunks: list[dict], least_run: int) -> list[dict]:
     return [x for x in out if x["stop"] - x["start"] >= least_run]
 
 
-def without_spans(docs: DataFrame, key: str, text: str, spans: DataFrame) -> DataFrame:
+def without_spans(docs: DataFrame, key: str, text: str, spans: DataFrame, keep: bool = False) -> DataFrame:
     """`docs` with the texts' spans (start, stop in bytes) taken out, all columns and other texts as they were.
 
     Spans end where words do: a word cut in two stays. What is left on both sides
-    is joined by a single space unless white space is there already.
+    is joined by a single space unless white space is there already. `keep` leaves the
+    spans as the last column, null for untouched texts.
     """
-    joined = docs.join(spans.select(F.col(key), F.col("spans").alias("__spans")), key, "left")
+    joined = docs.join(spans.select(F.col(key), F.col("spans").alias("__spans")), key, "left").select(*docs.columns, "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i = batch.schema.get_field_index(text)
-            j = batch.schema.get_field_index("__spans")
+            i, last = batch.schema.get_field_index(text), batch.num_columns - 1
             texts = batch.column(i)
-            new = [t if s is None else _left(t, s) for t, s in zip(texts.to_pylist(), batch.column(j).to_pylist(), strict=True)]
-            columns = [pa.array(new, texts.type) if k == i else c for k, c in enumerate(batch.columns) if k != j]
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in batch.schema if f.name != "__spans"])
-
-    order = docs.columns
-    touched = joined.filter("__spans is not null").select(*order, "__spans").mapInArrow(run, docs.schema)
-    return joined.filter("__spans is null").select(*order).unionByName(touched)
+            touched = np.flatnonzero(batch.column(last).is_valid().to_numpy(zero_copy_only=False))
+            if len(touched):
+                new = texts.to_pylist()
+                for row in touched.tolist():
+                    if new[row] is not None:
+                        new[row] = _left(new[row], batch.column(last)[row].as_py())
+                texts = pa.array(new, texts.type)
+            columns = [texts if k == i else c for k, c in enumerate(batch.columns)]
+            out = pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            yield out if keep else out.select(batch.schema.names[:last])
+
+    schema = joined.schema if keep else docs.schema
+    out = joined.mapInArrow(run, schema)
+    return out.withColumnRenamed("__spans", "spans") if keep else out
 
 
 def _left(text: str, spans: list[dict]) -> str:
