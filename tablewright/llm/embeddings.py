@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.graph import components
-from tablewright.sources.workspace import scratch_path
+from tablewright.sources.workspace import staged
 
 THRESHOLD = 0.93
 #: Vectors of a cell, about; the number of cells follows the number of vectors.
@@ -48,8 +48,8 @@ def near_duplicates(rows: DataFrame, key: str, vector: str, label: str, threshol
     same = good.groupBy("label", "h1", "h2").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
     reps = good.withColumnRenamed("key", "rep").join(same, ["rep", "label", "h1", "h2"])
     reps = reps.groupBy("rep", "label", F.size("v").alias("width")).agg(F.first("v").alias("v"), F.first("copies").alias("copies"))
-    reps = _stored(reps, "vectors")
-    compared = _stored(_compared(_cells(reps), threshold), "compared")
+    reps = staged(reps, "vectors")
+    compared = staged(_compared(_cells(reps), threshold), "compared")
     # Copies link with each other whatever the threshold.
     counts = compared.groupBy("rep").agg(F.sum("n").alias("n"))
     reached = components(compared.select(F.col("rep").alias("a"), F.col("root").alias("b")))
@@ -61,12 +61,6 @@ def near_duplicates(rows: DataFrame, key: str, vector: str, label: str, threshol
     return out.withColumnRenamed("key", key)
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _unit(vectors: pd.Series) -> np.ndarray:
     m = np.array(vectors.tolist(), float).reshape(len(vectors), -1)
     m /= np.abs(m).max(axis=1, keepdims=True)  # no overflow or underflow in the squares
@@ -132,7 +126,7 @@ def _cells(reps: DataFrame) -> DataFrame:
 
 def _compared(cells: DataFrame, threshold: float) -> DataFrame:
     """(rep, n, root) from each task: linked vectors counted with their copies, and the smallest one reached inside the task."""
-    cells = _stored(cells, "cells")
+    cells = staged(cells, "cells")
     size = cells.groupBy("label", "width", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = cells.join(size, ["label", "width", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(4)), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

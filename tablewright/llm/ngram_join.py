@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.graph import components
 from tablewright.llm.text import BETWEEN_SPACES, blocks, flat, shingles, words
-from tablewright.sources.workspace import scratch_path
+from tablewright.sources.workspace import staged
 
 #: Sets of one group, about.
 GROUP_SETS = 16
 #: Texts that tell which shingles are common: a bounded sample. It decides in which order shingles are
 #: looked at, and so the cost, never the result.
 ORDER_SAMPLE = 8000
+#: Shingles that come first, as a multiple of the share of a set that may differ.
+AHEAD = 1.5
 #: Times a shingle occurs in the sample to count as common, and common shingles at most.
 COMMON_TIMES, COMMON_MOST = 4, 400_000
 
@@ -35,7 +37,10 @@ def linked(docs: DataFrame, key: str, text: str, n: int = 5, percent: int = 80)
 
     1. Equal sets become one, by digest, with partial aggregation.
     2. A pair that is similar enough shares a shingle among the first few of either
-       set, in an order that looks at rare shingles first; only those are shuffled.
+       set, in any order that is the same for all sets. The order puts a share of all
+       shingles, by their hashes, before the others, and within it those of fewest sets;
+       so only that share is shuffled, and a set with enough shingles of its own needs
+       no comparison. Shingles that a sample finds common come last.
     3. Of the sets that share such a shingle each is compared with the smallest one;
        sets found similar form groups. So thousands of near copies cost
        one comparison each, not one for each pair.
@@ -45,31 +50,26 @@ def linked(docs: DataFrame, key: str, text: str, n: int = 5, percent: int = 80)
        the union; only then is the block opened and its sets are compared.
     5. Components of all links.
     """
-    spark = docs.sparkSession
     common = _common(docs, key, text, n)
-    path = scratch_path(spark, "sets")
-    _described(docs, key, text, n, percent, common).write.parquet(path)
-    described = spark.read.parquet(path)
+    described = staged(_described(docs, key, text, n, percent, common), "sets")
     full = described.filter("n > 0 and key is not null")
     same = full.groupBy("d1", "d2").agg(F.min("key").alias("rep"))
     reps = same.select("rep").distinct()
-    first = full.join(reps, full["key"] == reps["rep"]).select(
-        "rep", "n", F.posexplode("tokens").alias("place", "token")
-    )
-    # The smaller of two sets shows a shared shingle among still fewer of its own.
-    short = F.col("place") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent) - F.lit(1e-9))
-    first = first.select("token", "rep", "n", short.alias("short")).distinct()
-    shared = first.groupBy("token").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").drop("last")
-    postings = _stored(first.join(shared, "token"), "postings")
-    arrays = _stored(_arrays(docs, key, text, n, postings.select(F.col("rep").alias("key")).distinct()), "shingles")
-
-    pairs = postings.filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    links = _stored(_similar(pairs, arrays, percent), "links")
+    first = _first(full.join(reps, full["key"] == reps["rep"]), percent)
+    least = F.min(F.struct("rep", "n")).alias("least")
+    shared = first.groupBy("token").agg(least, F.max("rep").alias("last")).filter("least.rep < last")
+    shared = shared.select("token", F.col("least.rep").alias("leader"), F.col("least.n").alias("leader_n"))
+    postings = staged(first.join(shared, "token"), "postings")
+    arrays = staged(_arrays(docs, key, text, n, postings.select(F.col("rep").alias("key")).distinct()), "shingles")
+
+    near = postings.filter((F.col("rep") != F.col("leader")) & _close(F.col("n"), F.col("leader_n"), percent))
+    pairs = near.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("leader").alias("b"), F.col("leader_n").alias("nb")).distinct()
+    links = staged(_similar(pairs, arrays, percent), "links")
     group = components(links).withColumnsRenamed({"node": "rep", "component": "grp"})
     placed = postings.join(group, "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
     apart = placed.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x < y").select("token")
-    placed = _stored(_blocks(placed).join(apart, "token"), "placed")
-    links = links.unionByName(_stored(_opened(placed, arrays, percent), "links"))
+    placed = staged(_blocks(placed).join(apart, "token"), "placed")
+    links = links.unionByName(staged(_opened(placed, arrays, percent), "links"))
     found = components(links).withColumnsRenamed({"node": "rep", "component": "component"})
 
     owner = same.join(found, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
@@ -80,6 +80,27 @@ def linked(docs: DataFrame, key: str, text: str, n: int = 5, percent: int = 80)
     return out.withColumnRenamed("key", key)
 
 
+def _first(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, rep, n, short): the first shingles of each set that other sets have too."""
+    rows = sets.select("rep", "n", "ahead", F.posexplode("tokens").alias("place", "token"))
+    # One row for each set and shingle of the share; common shingles are not among them, so no list is a large part of all sets.
+    rows = rows.withColumn("sets", F.count("*").over(Window.partitionBy("token"))).filter("sets > 1")
+    # At most the shingles of one set: those of the share by rarity, then the others as they come.
+    inside = F.col("place") < F.col("ahead")
+    each = rows.groupBy("rep", "n", "ahead").agg(
+        F.array_sort(F.collect_set(F.when(inside, F.struct("sets", "token")))).alias("rare"),
+        F.collect_set(F.when(~inside, F.struct("place", "token"))).alias("rest"),
+    )
+    need = F.col("n") + F.floor(-percent * F.col("n") / 100) + 1
+    alone = F.col("ahead") - F.size("rare")
+    room = F.when(F.col("ahead") >= need, F.greatest(F.lit(0), F.least(F.size("rare").cast("long"), need - alone))).otherwise(F.size("rare"))
+    rare = F.transform(F.slice("rare", 1, room.cast("int")), lambda x, i: F.struct((alone + i).alias("place"), x["token"].alias("token")))
+    rest = F.transform("rest", lambda x: F.struct(x["place"].alias("place"), x["token"].alias("token")))
+    # The smaller of two sets shows a shared shingle among still fewer of its own.
+    short = F.col("x.place") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent) - F.lit(1e-9))
+    return each.select("rep", "n", F.explode(F.concat(rare, rest)).alias("x")).select(F.col("x.token").alias("token"), "rep", "n", short.alias("short"))
+
+
 def first_of_each(docs: DataFrame, key: str, text: str, n: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one document of each component, the one with the smallest key; rows without a key stay."""
     kept = linked(docs, key, text, n, percent).filter(F.col(key) == F.col("component")).select(key).distinct()
@@ -88,12 +109,6 @@ def first_of_each(docs: DataFrame, key: str, text: str, n: int = 5, percent: int
     return once.select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
     data, at = flat(batch.column(1))
     for lo, hi in blocks(at):
@@ -122,35 +137,42 @@ def _common(docs: DataFrame, key: str, text: str, n: int) -> np.ndarray:
 
 
 def _described(docs: DataFrame, key: str, text: str, n: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(key, n, d1, d2, tokens): size, digest, and the first shingles of each set: rare ones by hash, then common ones."""
+    """(key, n, d1, d2, ahead, tokens): size and digest of each set and the shingles that can be among its first.
+
+    Those are the `ahead` shingles whose hashes are in the share that comes first, then, if
+    they are too few, others by hash, common ones last.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON_MOST numbers
     kind = docs.schema[key].dataType.simpleString()
+    limit = np.uint64(min(1.0, AHEAD * (100 - percent) / 100) * ((1 << 64) - 1025))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            sizes, digests, kept = [], [], []
+            sizes, digests, ahead, kept = [], [], [], []
             for own in _sets(batch, n):
                 size = len(own)
                 sizes.append(size)
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 need = size + (-percent * size // 100) + 1 if size else 0
-                if len(often) and size:
+                known = np.zeros(size, bool)
+                if len(often):
                     known = often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own
-                    rare = own[~known][:need]
-                    kept.append(np.concatenate([rare, own[known][: need - len(rare)]]))
-                else:
-                    kept.append(own[:need])
+                rare = own[~known]
+                cut = int(np.searchsorted(rare, limit))
+                ahead.append(cut)
+                more = max(0, need - cut)
+                kept += [rare[: cut + more], own[known][: max(0, need - len(rare))]]
             halves = np.frombuffer(b"".join(digests), np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
+            lengths = np.array([len(x) for x in kept], np.int64).reshape(-1, 2).sum(axis=1)
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             values = np.concatenate(kept).view(np.int64) if kept else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(halves[::2]), pa.array(halves[1::2]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                ["key", "n", "d1", "d2", "tokens"],
-            )
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(halves[::2]), pa.array(halves[1::2]), pa.array(ahead, pa.int64())]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            yield pa.RecordBatch.from_arrays([*columns, lists], ["key", "n", "d1", "d2", "ahead", "tokens"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text))
-    return rows.mapInArrow(run, f"key {kind}, n long, d1 long, d2 long, tokens array<long>")
+    return rows.mapInArrow(run, f"key {kind}, n long, d1 long, d2 long, ahead long, tokens array<long>")
 
 
 def _arrays(docs: DataFrame, key: str, text: str, n: int, wanted: DataFrame) -> DataFrame:
@@ -167,10 +189,10 @@ def _arrays(docs: DataFrame, key: str, text: str, n: int, wanted: DataFrame) ->
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["key", "n", "tokens"]
             )
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text)).join(wanted, "key", "left_semi")
-    found = rows.select("key", text).mapInArrow(run, f"key {kind}, n long, tokens array<long>")
-    order = Window.partitionBy("key").orderBy("n")
-    return found.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted, "key", "left_semi")
+    order = Window.partitionBy("key").orderBy("key")
+    once = rows.withColumn("r", F.row_number().over(order)).filter("r = 1").select("key", "text")
+    return once.mapInArrow(run, f"key {kind}, n long, tokens array<long>")
 
 
 def _close(n: Column, m: Column, percent: int) -> Column:
@@ -179,12 +201,11 @@ def _close(n: Column, m: Column, percent: int) -> Column:
 
 
 def _similar(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough, by their whole sets."""
-    x = arrays.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    y = arrays.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    size = pairs.join(x.select("a", "na"), "a").join(y.select("b", "nb"), "b").filter(_close(F.col("na"), F.col("nb"), percent))
-    met = size.join(x.select("a", "ta"), "a").join(y.select("b", "tb"), "b")
+    """Of the pairs (a, na, b, nb) those that are similar enough, by their whole sets."""
+    x = arrays.select(F.col("key").alias("a"), F.col("tokens").alias("ta"))
+    y = arrays.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
+    met = pairs.join(x, "a").join(y, "b")
     return met.filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
@@ -205,7 +226,7 @@ def _opened(placed: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     # The query is the larger set of a pair, so each pair is met once.
     smaller = (F.col("n") < F.col("nq")) | ((F.col("n") == F.col("nq")) & (F.col("s") < F.col("q")))
     met = q.join(s, "token").filter((F.col("grp") != F.col("own")) & smaller & _close(F.col("n"), F.col("nq"), percent))
-    asked = _stored(met.select("q", "nq", "grp", "block").distinct(), "asked")
+    asked = staged(met.select("q", "nq", "grp", "block").distinct(), "asked")
     blocks_used = asked.select("grp", "block").distinct()
     members = placed.select("grp", "block", F.col("rep").alias("key")).distinct().join(blocks_used, ["grp", "block"])
     sets = members.join(arrays, "key")
@@ -215,5 +236,6 @@ def _opened(placed: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     bound = F.size(F.array_intersect("tq", "union")) * 100 >= percent * F.col("nq")
     open_ = asked.join(mine, "q").join(union, ["grp", "block"]).filter(bound).select("q", "nq", "grp", "block")
     inside = open_.join(members.join(arrays.select("key", "n"), "key"), ["grp", "block"])
-    pairs = inside.filter(_close(F.col("n"), F.col("nq"), percent)).select(F.col("q").alias("a"), F.col("key").alias("b")).distinct()
+    close = inside.filter(_close(F.col("n"), F.col("nq"), percent))
+    pairs = close.select(F.col("q").alias("a"), F.col("nq").alias("na"), F.col("key").alias("b"), F.col("n").alias("nb")).distinct()
     return _similar(pairs, arrays, percent)
