@@ -44,10 +44,11 @@ def linked(docs: DataFrame, key: str, text: str, n: int = 5, percent: int = 80)
     3. Of the sets that share such a shingle each is compared with the smallest one;
        sets found similar form groups. So thousands of near copies cost
        one comparison each, not one for each pair.
-    4. Groups are split into blocks of about 16 sets. A block's column of the
-       token-group matrix is the union of its sets' shingles. A set that shares a first
-       shingle with a block of another group must share enough of its shingles with
-       the union; only then is the block opened and its sets are compared.
+    4. Sets that met the same smallest set are dealt into blocks of about 16. A block's
+       column of the token-group matrix is the union of its sets' shingles. Blocks that
+       share a first shingle are compared: a set of one must share enough of its
+       shingles with the union of the other; only then is that block opened, and its sets
+       that are not linked yet are compared with it.
     5. Components of all links.
     """
     common = _common(docs, key, text, n)
@@ -66,9 +67,7 @@ def linked(docs: DataFrame, key: str, text: str, n: int = 5, percent: int = 80)
     pairs = near.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("leader").alias("b"), F.col("leader_n").alias("nb")).distinct()
     links = staged(_similar(pairs, arrays, percent), "links")
     group = components(links).withColumnsRenamed({"node": "rep", "component": "grp"})
-    placed = postings.join(group, "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
-    apart = placed.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x < y").select("token")
-    placed = staged(_blocks(placed).join(apart, "token"), "placed")
+    placed = staged(_blocks(postings.join(group, "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))), "placed")
     links = links.unionByName(staged(_opened(placed, arrays, percent), "links"))
     found = components(links).withColumnsRenamed({"node": "rep", "component": "component"})
 
@@ -81,24 +80,21 @@ def linked(docs: DataFrame, key: str, text: str, n: int = 5, percent: int = 80)
 
 
 def _first(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, rep, n, short): the first shingles of each set that other sets have too."""
+    """(token, rep, n): the first shingles of each set that other sets have too."""
     rows = sets.select("rep", "n", "ahead", F.posexplode("tokens").alias("place", "token"))
     # One row for each set and shingle of the share; common shingles are not among them, so no list is a large part of all sets.
     rows = rows.withColumn("sets", F.count("*").over(Window.partitionBy("token"))).filter("sets > 1")
-    # At most the shingles of one set: those of the share by rarity, then the others as they come.
+    # At most the shingles of one set: those of the share by rarity, then the others, which are few.
     inside = F.col("place") < F.col("ahead")
     each = rows.groupBy("rep", "n", "ahead").agg(
         F.array_sort(F.collect_set(F.when(inside, F.struct("sets", "token")))).alias("rare"),
-        F.collect_set(F.when(~inside, F.struct("place", "token"))).alias("rest"),
+        F.collect_set(F.when(~inside, F.col("token"))).alias("rest"),
     )
     need = F.col("n") + F.floor(-percent * F.col("n") / 100) + 1
     alone = F.col("ahead") - F.size("rare")
     room = F.when(F.col("ahead") >= need, F.greatest(F.lit(0), F.least(F.size("rare").cast("long"), need - alone))).otherwise(F.size("rare"))
-    rare = F.transform(F.slice("rare", 1, room.cast("int")), lambda x, i: F.struct((alone + i).alias("place"), x["token"].alias("token")))
-    rest = F.transform("rest", lambda x: F.struct(x["place"].alias("place"), x["token"].alias("token")))
-    # The smaller of two sets shows a shared shingle among still fewer of its own.
-    short = F.col("x.place") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent) - F.lit(1e-9))
-    return each.select("rep", "n", F.explode(F.concat(rare, rest)).alias("x")).select(F.col("x.token").alias("token"), "rep", "n", short.alias("short"))
+    rare = F.transform(F.slice("rare", 1, room.cast("int")), lambda x: x["token"])
+    return each.select(F.explode(F.concat(rare, "rest")).alias("token"), "rep", "n")
 
 
 def first_of_each(docs: DataFrame, key: str, text: str, n: int = 5, percent: int = 80) -> DataFrame:
@@ -210,32 +206,37 @@ def _similar(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(placed: DataFrame) -> DataFrame:
-    """Adds the block of each set: groups are dealt into blocks of about GROUP_SETS sets by a hash."""
-    members = placed.select("grp", "rep").distinct()
-    size = members.groupBy("grp").agg(F.count("*").alias("sets"))
-    dealt = members.join(size, "grp").select(
-        "rep", F.pmod(F.xxhash64("rep"), F.ceil(F.col("sets") / GROUP_SETS).cast("long")).alias("block")
-    )
-    return placed.join(dealt, "rep")
+    """Adds the block (home, block) of each set: sets with the same smallest leader, dealt out by a hash."""
+    homes = placed.groupBy("rep").agg(F.min("leader").alias("home"))
+    size = homes.groupBy("home").agg(F.count("*").alias("sets"))
+    number = F.pmod(F.xxhash64("rep"), F.ceil(F.col("sets") / GROUP_SETS).cast("long"))
+    return placed.join(homes.join(size, "home").select("rep", "home", number.alias("block")), "rep")
 
 
 def _opened(placed: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     """Links between sets of different groups."""
-    q = placed.select("token", F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("grp").alias("own"))
-    s = placed.filter("short").select("token", "grp", "block", F.col("rep").alias("s"), "n")
-    # The query is the larger set of a pair, so each pair is met once.
-    smaller = (F.col("n") < F.col("nq")) | ((F.col("n") == F.col("nq")) & (F.col("s") < F.col("q")))
-    met = q.join(s, "token").filter((F.col("grp") != F.col("own")) & smaller & _close(F.col("n"), F.col("nq"), percent))
-    asked = staged(met.select("q", "nq", "grp", "block").distinct(), "asked")
-    blocks_used = asked.select("grp", "block").distinct()
-    members = placed.select("grp", "block", F.col("rep").alias("key")).distinct().join(blocks_used, ["grp", "block"])
-    sets = members.join(arrays, "key")
+    apart = placed.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x < y").select("token")
+    blocks_of = placed.join(apart, "token").select("token", "home", "block").distinct()
+    other = blocks_of.select("token", F.col("home").alias("home2"), F.col("block").alias("block2"))
+    later = (F.col("home") < F.col("home2")) | ((F.col("home") == F.col("home2")) & (F.col("block") <= F.col("block2")))
+    met = staged(blocks_of.join(other, "token").filter(later).drop("token").distinct(), "met")
+    members = placed.select("home", "block", "rep", "n", "grp").distinct()
     # About GROUP_SETS sets a block.
-    union = sets.groupBy("grp", "block").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
-    mine = arrays.select(F.col("key").alias("q"), F.col("tokens").alias("tq"))
+    used = met.select(F.col("home2").alias("home"), F.col("block2").alias("block")).distinct()
+    sets = members.join(used, ["home", "block"]).join(arrays.select(F.col("key").alias("rep"), "tokens"), "rep")
+    matrix = sets.groupBy(F.col("home").alias("home2"), F.col("block").alias("block2")).agg(
+        F.collect_list(F.struct("rep", "n", "grp", "tokens")).alias("sets"), F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union")
+    )
+    query = members.select("home", "block", F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("grp").alias("own"))
+    asked = met.join(query, ["home", "block"]).join(arrays.select(F.col("key").alias("q"), F.col("tokens").alias("tq")), "q")
     bound = F.size(F.array_intersect("tq", "union")) * 100 >= percent * F.col("nq")
-    open_ = asked.join(mine, "q").join(union, ["grp", "block"]).filter(bound).select("q", "nq", "grp", "block")
-    inside = open_.join(members.join(arrays.select("key", "n"), "key"), ["grp", "block"])
-    close = inside.filter(_close(F.col("n"), F.col("nq"), percent))
-    pairs = close.select(F.col("q").alias("a"), F.col("nq").alias("na"), F.col("key").alias("b"), F.col("n").alias("nb")).distinct()
-    return _similar(pairs, arrays, percent)
+    twice = (F.col("home") == F.col("home2")) & (F.col("block") == F.col("block2"))
+
+    def similar(s: Column) -> Column:
+        both = F.size(F.array_intersect(F.col("tq"), s["tokens"]))
+        new = (s["grp"] != F.col("own")) & (~twice | (s["rep"] < F.col("q")))
+        return new & _close(s["n"], F.col("nq"), percent) & (100 * both >= percent * (s["n"] + F.col("nq") - both))
+
+    opened = asked.join(matrix, ["home2", "block2"]).filter(bound)
+    found = opened.select(F.col("q").alias("a"), F.transform(F.filter("sets", similar), lambda s: s["rep"]).alias("b"))
+    return found.select("a", F.explode("b").alias("b"))
