@@ -45,10 +45,9 @@ def linked(docs: DataFrame, key: str, text: str, n: int = 5, percent: int = 80)
        sets found similar form groups. So thousands of near copies cost
        one comparison each, not one for each pair.
     4. Sets that met the same smallest set are dealt into blocks of about 16. A block's
-       column of the token-group matrix is the union of its sets' shingles. Blocks that
-       share a first shingle are compared: a set of one must share enough of its
-       shingles with the union of the other; only then is that block opened, and its sets
-       that are not linked yet are compared with it.
+       column of the token-group matrix is the union of its sets' shingles. A set that shares a first
+       shingle with a block must share enough of its shingles with the union; only
+       then is the block opened, and its sets that are not linked yet are compared.
     5. Components of all links.
     """
     common = _common(docs, key, text, n)
@@ -215,27 +214,26 @@ def _blocks(placed: DataFrame) -> DataFrame:
 
 def _opened(placed: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     """Links between sets of different groups."""
-    apart = placed.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x < y").select("token")
-    blocks_of = placed.join(apart, "token").select("token", "home", "block").distinct()
-    other = blocks_of.select("token", F.col("home").alias("home2"), F.col("block").alias("block2"))
-    later = (F.col("home") < F.col("home2")) | ((F.col("home") == F.col("home2")) & (F.col("block") <= F.col("block2")))
-    met = staged(blocks_of.join(other, "token").filter(later).drop("token").distinct(), "met")
-    members = placed.select("home", "block", "rep", "n", "grp").distinct()
+    range_of = [F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("grp").alias("x"), F.max("grp").alias("y")]
+    column = placed.groupBy("token", F.col("home").alias("home2"), F.col("block").alias("block2")).agg(*range_of)
+    query = placed.select("token", F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("grp").alias("own"))
+    # The query is the larger set of a pair, so each pair is compared once.
+    fits = (F.col("lo") <= F.col("nq")) & (100 * F.col("hi") >= percent * F.col("nq")) & ((F.col("x") != F.col("own")) | (F.col("y") != F.col("own")))
+    asked = staged(query.join(column, "token").filter(fits).select("q", "nq", "own", "home2", "block2").distinct(), "asked")
+    members = placed.select(F.col("home").alias("home2"), F.col("block").alias("block2"), "rep", "n", "grp").distinct()
     # About GROUP_SETS sets a block.
-    used = met.select(F.col("home2").alias("home"), F.col("block2").alias("block")).distinct()
-    sets = members.join(used, ["home", "block"]).join(arrays.select(F.col("key").alias("rep"), "tokens"), "rep")
-    matrix = sets.groupBy(F.col("home").alias("home2"), F.col("block").alias("block2")).agg(
+    used = asked.select("home2", "block2").distinct()
+    sets = members.join(used, ["home2", "block2"]).join(arrays.select(F.col("key").alias("rep"), "tokens"), "rep")
+    matrix = sets.groupBy("home2", "block2").agg(
         F.collect_list(F.struct("rep", "n", "grp", "tokens")).alias("sets"), F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union")
     )
-    query = members.select("home", "block", F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("grp").alias("own"))
-    asked = met.join(query, ["home", "block"]).join(arrays.select(F.col("key").alias("q"), F.col("tokens").alias("tq")), "q")
+    asked = asked.join(arrays.select(F.col("key").alias("q"), F.col("tokens").alias("tq")), "q")
     bound = F.size(F.array_intersect("tq", "union")) * 100 >= percent * F.col("nq")
-    twice = (F.col("home") == F.col("home2")) & (F.col("block") == F.col("block2"))
 
     def similar(s: Column) -> Column:
         both = F.size(F.array_intersect(F.col("tq"), s["tokens"]))
-        new = (s["grp"] != F.col("own")) & (~twice | (s["rep"] < F.col("q")))
-        return new & _close(s["n"], F.col("nq"), percent) & (100 * both >= percent * (s["n"] + F.col("nq") - both))
+        smaller = (s["n"] < F.col("nq")) | ((s["n"] == F.col("nq")) & (s["rep"] < F.col("q")))
+        return smaller & (s["grp"] != F.col("own")) & _close(s["n"], F.col("nq"), percent) & (100 * both >= percent * (s["n"] + F.col("nq") - both))
 
     opened = asked.join(matrix, ["home2", "block2"]).filter(bound)
     found = opened.select(F.col("q").alias("a"), F.transform(F.filter("sets", similar), lambda s: s["rep"]).alias("b"))
