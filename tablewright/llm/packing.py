@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
-import unicodedata
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +51,7 @@ class WordIds:
     """Ids of texts by a word-level BPE of the `tokenizers` library, remembered by pre-token.
 
     The tokenizer splits a text into pre-tokens and encodes each by itself. Texts
-    of characters up to U+024F are split here by the same rule; all others are
+    whose lower-case characters are all up to U+024F are split here by the same rule; all others are
     given to the tokenizer whole. `encode_special_tokens` makes the special tokens'
     strings in a text ordinary text.
     """
@@ -71,19 +71,29 @@ class WordIds:
 
     def __call__(self, text: str) -> bytes:
         """The ids as unsigned 32-bit little-endian numbers."""
-        if self.odd.search(text):
+        lower = text.lower()
+        if self.odd.search(lower):
             return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        found = self.split.findall(text.lower())
+        found = self.split.findall(lower)
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, found))
-        except KeyError:
+        new = list(set(found).difference(known))
+        if new:
             if len(known) > REMEMBERED:
                 known.clear()
-            new = list({w for w in found if w not in known})
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = self._packed(e.ids)
-            return b"".join(map(known.__getitem__, found))
+                new = list(set(found))
+            for at in range(0, len(new), 4096):
+                self._learn(new[at : at + 4096])
+        return b"".join(map(known.__getitem__, found))
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes many pre-tokens as one text; the tokenizer tells which ids belong to which."""
+        e = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        ids, owner = np.array(e.ids, "<u4"), np.array(e.word_ids)
+        starts = np.searchsorted(owner, np.arange(len(new) + 1)) if len(owner) else np.zeros(1, int)
+        if len(owner) == 0 or owner[-1] != len(new) - 1 or (np.diff(starts) == 0).any():
+            raise ValueError("the tokenizer splits a text differently")
+        data, cut_at = ids.tobytes(), (4 * starts).tolist()
+        self.known.update(zip(new, [data[a:b] for a, b in zip(cut_at[:-1], cut_at[1:], strict=True)], strict=True))
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
