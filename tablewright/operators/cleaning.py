@@ -313,9 +313,9 @@ def fit_outliers(df: DataFrame, columns: list[str] | None = None, rows: int | No
     """Fit the bounds column by column in schema order.
 
     Each column's quartiles depend on what the earlier bounds kept. All columns
-    are read together first; that is enough up to the first column whose bounds
-    remove a row. From there on, each column is read anew on the rows left,
-    with the first reading as a guess of where its quartiles are.
+    are read together; that is enough up to the first column whose bounds remove
+    a row. After it the columns left are read together on the rows left, and so
+    on: the readings grow with the columns that remove rows, not with all columns.
     """
     names = numeric_columns(df) if columns is None else columns
     at_most = df.count() if rows is None else rows
@@ -327,8 +327,10 @@ def fit_outliers(df: DataFrame, columns: list[str] | None = None, rows: int | No
     together = _facts(df, names, at_most, guesses)
     kept, left, complete = df, at_most, True
     bounds: list[Bounds] = []
-    for name in names:
-        facts = together[name] if complete else _facts(kept, [name], left, guesses)[name]
+    for at, name in enumerate(names):
+        if not complete:
+            together, complete = _facts(kept, names[at:], left, guesses), True
+        facts = together[name]
         left = facts.rows
         if facts.known == 0 or facts.low == facts.high:
             bounds.append(Bounds(name, left))
