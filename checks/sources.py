@@ -54,6 +54,15 @@ def infer_types_orders(spark, sf):
     return infer_types(texts)
 
 
+@query("SELECT c_custkey, c_name, '€ ' || c_mktsegment AS segment FROM customer")
+def scan_csv_windows1252(spark, sf):
+    """Written as windows-1252, whose euro sign is the one byte 0x80."""
+    texts = table(spark, sf, "customer").select("c_custkey", "c_name", F.concat(F.lit("\x80 "), "c_mktsegment").alias("segment"))
+    path = scratch_path(spark, "csv")
+    texts.write.csv(path, header=True, encoding="ISO-8859-1")
+    return scan_csv(spark, path)
+
+
 @query(
     """SELECT * FROM (VALUES (0, 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'), (2, 'o_orderstatus', 'string'),
               (3, 'o_totalprice', 'double'), (4, 'o_orderdate', 'string'), (5, 'o_orderpriority', 'string'))

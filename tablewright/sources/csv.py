@@ -50,11 +50,18 @@ BYTE_ORDER_MARKS = [
     ("FEFF", "UTF-16"),
 ]
 
+# What bytes 0x80 to 0x9F mean in Windows-1252; five of them mean nothing.
+WINDOWS_1252 = {
+    0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†", 0x87: "‡", 0x88: "ˆ", 0x89: "‰",
+    0x8A: "Š", 0x8B: "‹", 0x8C: "Œ", 0x8E: "Ž", 0x91: "‘", 0x92: "’", 0x93: "“", 0x94: "”", 0x95: "•",
+    0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›", 0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ",
+}
+
 _BROKEN = "tw_broken_record"
 
 
 def probe_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, encoding, lines, spans_lines, same_header) per file, in one splittable scan.
+    """(path, encoding, ascii, lines, spans_lines, same_header) per file, in one splittable scan.
 
     `same_header` compares the first line with that of one of the files. All
     aggregates are numbers and truth values, so lines are neither sorted nor shuffled.
@@ -81,16 +88,19 @@ def probe_files(spark: SparkSession, path: str) -> DataFrame:
         *[first_line(start.startswith(mark)).alias(f"mark{i}") for i, (mark, _) in enumerate(BYTE_ORDER_MARKS)],
         first_line(F.xxhash64("value") == F.lit(one_header[0] if one_header else 0)).alias("header"),
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.bool_or(F.decode(F.col("value").cast("binary"), "ISO-8859-1").rlike(r"[\x80-\x9F]")).alias("controls"),
+        F.bool_and(~F.col("value").rlike(r"[^\x00-\x7F]")).alias("ascii"),
         F.count("*").alias("lines"),
         F.bool_or(quotes % 2 == 1).alias("open_quote"),
     )
     encoding = F.when(F.lit(False), F.lit(None).cast("string"))
     for i, (_, name) in enumerate(BYTE_ORDER_MARKS):
         encoding = encoding.when(F.col(f"mark{i}") == F.col("first"), name)
-    encoding = encoding.when(F.col("utf8"), "UTF-8").otherwise("ISO-8859-1")
+    encoding = encoding.when(F.col("utf8"), "UTF-8").when(F.col("controls"), "windows-1252").otherwise("ISO-8859-1")
     return files.select(
         "path",
         encoding.alias("encoding"),
+        (F.col("ascii") & (encoding == "UTF-8")).alias("ascii"),
         "lines",
         (F.col("open_quote") | encoding.isin("UTF-16", "UTF-32")).alias("spans_lines"),
         F.coalesce(F.col("header") == F.col("first"), F.lit(False)).alias("same_header"),
@@ -98,7 +108,7 @@ def probe_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
-    """(path, encoding): byte order mark, else valid UTF-8, else ISO-8859-1."""
+    """(path, encoding): byte order mark, else valid UTF-8, else windows-1252 if bytes 0x80 to 0x9F occur, else ISO-8859-1."""
     return probe_files(spark, path).select("path", "encoding")
 
 
@@ -125,7 +135,9 @@ def scan_csv(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
     found = (
         probe_files(spark, path)
         .agg(
-            F.sort_array(F.collect_set("encoding")).alias("encodings"),
+            # Files of ASCII only are valid in each of the others' encodings that contains it.
+            F.sort_array(F.collect_set(F.when(~F.col("ascii"), F.col("encoding")))).alias("encodings"),
+            F.bool_or("ascii").alias("ascii"),
             F.bool_or("spans_lines").alias("spans_lines"),
             F.sum("lines").alias("lines"),
             F.bool_and("same_header").alias("same_header"),
@@ -135,27 +147,39 @@ def scan_csv(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
     if not found.lines:
         raise ValueError(f"the files at {path!r} are empty")
     if encoding is None:
-        if len(found.encodings) > 1:
-            raise ValueError(f"files at {path!r} differ in encoding: {found.encodings}; scan them apart")
-        encoding = found.encodings[0]
+        encodings = set(found.encodings)
+        if "windows-1252" in encodings:
+            encodings.discard("ISO-8859-1")  # such files hold none of the bytes that differ
+        if found.ascii and not encodings & {"UTF-8", "ISO-8859-1", "windows-1252"}:
+            encodings.add("UTF-8")
+        if len(encodings) > 1:
+            raise ValueError(f"files at {path!r} differ in encoding: {sorted(encodings)}; scan them apart")
+        encoding = encodings.pop()
     if not found.same_header:
         raise ValueError(f"files at {path!r} have different headers; scan them apart")
+    # Spark's reader does not take windows-1252; it differs from ISO-8859-1 in 27 characters only.
+    windows = encoding == "windows-1252"
     # A quoted field doubles its quotes; Spark's own default is a backslash.
     options = {
-        "encoding": encoding,
+        "encoding": "ISO-8859-1" if windows else encoding,
         "multiLine": bool(found.spans_lines),
         "quote": '"',
         "escape": '"',
         "columnNameOfCorruptRecord": _BROKEN,
     }
-    names = header_names(list(spark.read.options(header=False, **options).csv(path).first()))
+    header = list(spark.read.options(header=False, **options).csv(path).first())
+    names = header_names([h and h.translate(WINDOWS_1252) for h in header] if windows else header)
     fields = [T.StructField(n, T.StringType()) for n in names]
     reader = spark.read.options(header=True, **options)
     strict = reader.schema(T.StructType([*fields, T.StructField(_BROKEN, T.StringType())])).csv(path)
     types, too_long = _inferred(strict, names, _is_too_long(len(names)))
     if too_long:
         raise ValueError(f"{too_long} record(s) at {path!r} have more than {len(names)} fields")
-    return _typed(reader.schema(T.StructType(fields)).csv(path), types)
+    rows = reader.schema(T.StructType(fields)).csv(path)
+    if windows:
+        old, new = "".join(map(chr, WINDOWS_1252)), "".join(WINDOWS_1252.values())
+        rows = rows.select(*[F.translate(col(n), old, new).alias(n) for n in names])
+    return _typed(rows, types)
 
 
 def infer_types(df: DataFrame) -> DataFrame:

@@ -79,6 +79,7 @@ def test_short_rows_are_filled_with_nulls(spark, tmp_path):
     ("content", "encoding"),
     [
         ("a,b\ncafé,1\n".encode("latin1"), "ISO-8859-1"),
+        ("a,b\ncafé,1\n".encode("cp1252"), "ISO-8859-1"),
         ("a,b\ncafé,1\n".encode(), "UTF-8"),
         ("﻿a,b\ncafé,1\n".encode(), "UTF-8"),
         ("a,b\ncafé,1\n".encode("utf-16"), "UTF-16"),
@@ -94,6 +95,22 @@ def test_encodings(spark, tmp_path, content, encoding):
     assert rows(df) == [("café", 1)]
 
 
+def test_windows_1252(spark, tmp_path):
+    path = put(tmp_path, "preis €,b\n€5 “ok” – été,1\n", encoding="cp1252")
+    assert [r["encoding"] for r in detect_encoding(spark, path).collect()] == ["windows-1252"]
+    df = scan_csv(spark, path)
+    assert df.columns == ["preis €", "b"]
+    assert rows(df) == [("€5 “ok” – été", 1)]
+
+
+def test_ascii_files_go_with_any_encoding_of_ascii(spark, tmp_path):
+    put(tmp_path, "a,b\nplain,1\n", "one.csv")
+    put(tmp_path, "a,b\ncafé,2\n", "two.csv", "latin1")
+    assert sorted(rows(scan_csv(spark, str(tmp_path)))) == [("café", 2), ("plain", 1)]
+    put(tmp_path, "a,b\n€,3\n", "three.csv", "cp1252")
+    assert sorted(rows(scan_csv(spark, str(tmp_path)))) == [("café", 2), ("plain", 1), ("€", 3)]
+
+
 def test_files_of_different_encodings_are_refused(spark, tmp_path):
     put(tmp_path, "a\ncafé\n", "one.csv")
     put(tmp_path, "a\ncafé\n", "two.csv", "latin1")
