@@ -44,11 +44,14 @@ def linked(docs: DataFrame, key: str, text: str, n: int = 5, percent: int = 80)
     3. Of the sets that share such a shingle each is compared with the smallest one;
        sets found similar form groups. So thousands of near copies cost
        one comparison each, not one for each pair.
-    4. Sets that met the same smallest set are dealt into blocks of about 16. A block's
-       column of the token-group matrix is the union of its sets' shingles. A set that shares a first
-       shingle with a block must share enough of its shingles with the union; only
-       then is the block opened, and its sets that are not linked yet are compared.
-    5. Components of all links.
+    4. Sets whose first shingles lead to another group go on, unless the union of all other
+       such sets holds too few of their shingles: then no link is possible.
+    5. Of those, sets that met the same smallest set are dealt into blocks of about 16, large
+       groups into blocks of their own. A block's column of the token-group matrix is the union of
+       its sets' shingles. Where two blocks share a first shingle, each set of the one must share
+       enough of its shingles with the union of the other; only then is that block opened,
+       and its sets that are not linked yet are compared.
+    6. Components of all links.
     """
     common = _common(docs, key, text, n)
     described = staged(_described(docs, key, text, n, percent, common), "sets")
@@ -66,7 +69,8 @@ def linked(docs: DataFrame, key: str, text: str, n: int = 5, percent: int = 80)
     pairs = near.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("leader").alias("b"), F.col("leader_n").alias("nb")).distinct()
     links = staged(_similar(pairs, arrays, percent), "links")
     group = components(links).withColumnsRenamed({"node": "rep", "component": "grp"})
-    placed = staged(_blocks(postings.join(group, "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))), "placed")
+    grouped = postings.join(group, "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
+    placed = staged(_blocks(staged(_linkable(staged(grouped, "grouped"), arrays, percent), "linkable")), "placed")
     links = links.unionByName(staged(_opened(placed, arrays, percent), "links"))
     found = components(links).withColumnsRenamed({"node": "rep", "component": "component"})
 
@@ -204,22 +208,47 @@ def _similar(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return met.filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
+def _linkable(grouped: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """The rows of `grouped` that can lead to a link between groups.
+
+    Only sets that meet another group at a first shingle can have one, and its partner is such a
+    set too. A shingle that just one of these sets holds is shared with none of them, so what
+    is left bounds the overlap with every other set.
+    """
+    mixed = grouped.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x <> y").select("token")
+    rows = grouped.join(mixed, "token")
+    sets = rows.select(F.col("rep").alias("key")).distinct()
+    held = arrays.join(sets, "key", "left_semi").select("key", F.explode("tokens").alias("token"))
+    single = held.groupBy("token").agg(F.min("key").alias("rep"), F.max("key").alias("last")).filter("rep = last")
+    rows = rows.join(single.groupBy("rep").agg(F.count("*").alias("single")), "rep", "left")
+    return rows.filter(100 * (F.col("n") - F.coalesce("single", F.lit(0))) >= percent * F.col("n")).drop("single")
+
+
 def _blocks(placed: DataFrame) -> DataFrame:
-    """Adds the block (home, block) of each set: sets with the same smallest leader, dealt out by a hash."""
-    homes = placed.groupBy("rep").agg(F.min("leader").alias("home"))
-    size = homes.groupBy("home").agg(F.count("*").alias("sets"))
-    number = F.pmod(F.xxhash64("rep"), F.ceil(F.col("sets") / GROUP_SETS).cast("long"))
-    return placed.join(homes.join(size, "home").select("rep", "home", number.alias("block")), "rep")
+    """Adds the block (home, block) of each set: sets with the same smallest leader, dealt out by a hash; large groups apart."""
+    homes = placed.groupBy("rep", "grp").agg(F.min("leader").alias("home"))
+    size = homes.groupBy("home", "grp").agg(F.count("*").alias("sets"))
+    small = size.filter(F.col("sets") < GROUP_SETS).groupBy("home").agg(F.sum("sets").alias("rest"))
+    apart = F.xxhash64("grp", F.pmod(F.xxhash64("rep"), F.ceil(F.col("sets") / GROUP_SETS).cast("long")))
+    mixed = F.pmod(F.xxhash64("grp"), F.ceil(F.col("rest") / GROUP_SETS).cast("long"))
+    number = F.when(F.col("sets") < GROUP_SETS, mixed).otherwise(apart)
+    sized = homes.join(size.join(small, "home", "left"), ["home", "grp"])
+    return placed.join(sized.select("rep", "home", number.alias("block")), "rep")
 
 
 def _opened(placed: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     """Links between sets of different groups."""
     range_of = [F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("grp").alias("x"), F.max("grp").alias("y")]
     column = placed.groupBy("token", F.col("home").alias("home2"), F.col("block").alias("block2")).agg(*range_of)
-    query = placed.select("token", F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("grp").alias("own"))
-    # The query is the larger set of a pair, so each pair is compared once.
+    asking = column.select("token", F.col("home2").alias("home"), F.col("block2").alias("block"), *[F.col(c).alias(f"{c}1") for c in ("lo", "hi", "x", "y")])
+    # The query is the larger set of a pair, so each pair is compared once. Blocks meet first, then their sets ask.
+    meet = (F.col("lo") <= F.col("hi1")) & (100 * F.col("hi") >= percent * F.col("lo1"))
+    differ = (F.col("x") != F.col("y")) | (F.col("x1") != F.col("y1")) | (F.col("x") != F.col("x1"))
+    range_of = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("x").alias("x"), F.max("y").alias("y")]
+    met = asking.join(column, "token").filter(meet & differ).groupBy("home", "block", "home2", "block2").agg(*range_of)
+    query = placed.select("home", "block", F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("grp").alias("own")).distinct()
     fits = (F.col("lo") <= F.col("nq")) & (100 * F.col("hi") >= percent * F.col("nq")) & ((F.col("x") != F.col("own")) | (F.col("y") != F.col("own")))
-    asked = staged(query.join(column, "token").filter(fits).select("q", "nq", "own", "home2", "block2").distinct(), "asked")
+    asked = staged(met.join(query, ["home", "block"]).filter(fits).select("q", "nq", "own", "home2", "block2"), "asked")
     members = placed.select(F.col("home").alias("home2"), F.col("block").alias("block2"), "rep", "n", "grp").distinct()
     # About GROUP_SETS sets a block.
     used = asked.select("home2", "block2").distinct()
