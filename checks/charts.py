@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tablewright.operators import charts as C
 from tablewright.plans.charting import ChartSpec, write_charts
+from tablewright.plans.charting import charts as make_charts
 from tablewright.sources.workspace import scratch_path
 
 from . import query, rounded, table
@@ -188,10 +189,11 @@ SPECS = [
          (3, 'event_type', NULL, 'Pie Chart', 'done', 'shares', (SELECT least(10, count(DISTINCT event_type)) FROM events)),
          (4, 'value', NULL, 'Pie Chart', 'skipped', NULL, NULL),
          (5, 'event_type', 'props', 'Heatmap', 'done', 'cells',
-             (SELECT count(DISTINCT event_type) * count(DISTINCT props) FROM events)),
+             (SELECT count(*) FROM (SELECT DISTINCT event_type, props FROM events
+                                    WHERE event_type IS NOT NULL AND props IS NOT NULL))),
          (6, 'user_id', 'value', 'Heatmap', 'done', 'cells', 4),
          (7, 'user_id', 'event_type', 'Heatmap', 'skipped', NULL, NULL),
-         (8, 'user_id', 'value', 'Area Chart', 'done', 'area', (SELECT least(1000, count(*)) FROM events)),
+         (8, 'user_id', 'value', 'Area Chart', 'done', 'area', (SELECT count(*) FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL)),
          (9, 'value', NULL, 'Line Chart', 'skipped', NULL, NULL),
          (10, 'value', NULL, 'Violin Plot', 'skipped', NULL, NULL),
          (11, 'price', NULL, 'Histogram', 'skipped', NULL, NULL))
@@ -205,11 +207,52 @@ def charts(spark, sf):
 @query()
 def charts_sampled(spark, sf):
     specs = [
-        ChartSpec("value", None, "Histogram"),
-        ChartSpec("event_type", None, "Histogram"),
-        ChartSpec("value", None, "Box Plot"),
-        ChartSpec("user_id", "value", "Line Chart"),
+        ChartSpec("value", None, "Histogram", sample=C.SAMPLE_ROWS),
+        ChartSpec("event_type", None, "Histogram", sample=C.SAMPLE_ROWS),
+        ChartSpec("value", None, "Box Plot", sample=C.SAMPLE_ROWS),
+        ChartSpec("user_id", "value", "Line Chart", sample=C.SAMPLE_ROWS),
         ChartSpec("value", None, "Bar Chart"),
     ]
     status = write_charts(table(spark, sf, "events"), specs, scratch_path(spark, "charts"), key="event_id")
     return status.drop("path", "reason")
+
+
+def _chart(spark, sf, name, part, *spec):
+    (chart,) = make_charts(table(spark, sf, name), [ChartSpec(*spec)])
+    return chart.data[part]
+
+
+@query(HISTOGRAM.format(bins=_bins("o_totalprice", "orders"), column="o_totalprice", source="orders"))
+def charts_histogram(spark, sf):
+    bins = _chart(spark, sf, "orders", "bars", "o_totalprice", None, "Histogram")
+    return bins.withColumns({"left": rounded("left"), "right": rounded("right")})
+
+
+@query(
+    """WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b FROM lineitem)
+       SELECT l_extendedprice AS x FROM lineitem, q
+       WHERE l_extendedprice NOT BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)"""
+)
+def charts_box(spark, sf):
+    return _chart(spark, sf, "lineitem", "fliers", "l_extendedprice", None, "Box Plot")
+
+
+@query(
+    """SELECT l_quantity::DOUBLE AS x, round(avg(l_extendedprice), 4) AS mean_y,
+              round(avg(l_extendedprice) - 1.96 * stddev_samp(l_extendedprice) / sqrt(count(*)), 4) AS low,
+              round(avg(l_extendedprice) + 1.96 * stddev_samp(l_extendedprice) / sqrt(count(*)), 4) AS high,
+              count(*) AS n FROM lineitem GROUP BY l_quantity"""
+)
+def charts_line(spark, sf):
+    line = _chart(spark, sf, "lineitem", "line", "l_quantity", "l_extendedprice", "Line Chart")
+    return line.withColumns({c: rounded(c, 4) for c in ("mean_y", "low", "high")})
+
+
+@query("SELECT user_id::DOUBLE AS x, value AS y FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL")
+def charts_area(spark, sf):
+    return _chart(spark, sf, "events", "area", "user_id", "value", "Area Chart")
+
+
+@query("SELECT event_type AS x, props AS y, count(*) AS n FROM events WHERE event_type IS NOT NULL AND props IS NOT NULL GROUP BY 1, 2")
+def charts_heatmap(spark, sf):
+    return _chart(spark, sf, "events", "cells", "event_type", "props", "Heatmap")

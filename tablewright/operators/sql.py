@@ -14,6 +14,7 @@ from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 VIEW = "db"
+WIDTH = "spark.sql.debug.maxToStringFields"
 
 # Functions that call arbitrary Java methods.
 FORBIDDEN = re.compile(r"\b(java_method|reflect|try_reflect)\b", re.IGNORECASE)
@@ -40,6 +41,8 @@ def sql_select(spark: SparkSession, query: str, view: str = VIEW) -> DataFrame:
     _, allowed = _plans(spark, f"SELECT * FROM {view}")
     if "ScriptTransformation" in parsed:
         raise ValueError("the query runs a script")
+    if "'UnresolvedTableValuedFunction [" in parsed:
+        raise ValueError(f"the query reads a table function; only {view!r} is available")
     named = set(_RELATION.findall(parsed))
     named -= {name.strip() for names in _WITH.findall(parsed) for name in names.split(",")}
     used = set(_VIEW_NODE.findall(analysed)) | set(_TABLE_NODE.findall(analysed))
@@ -51,10 +54,14 @@ def sql_select(spark: SparkSession, query: str, view: str = VIEW) -> DataFrame:
 
 
 def _plans(spark: SparkSession, query: str) -> tuple[str, str]:
+    width = spark.conf.get(WIDTH)
+    spark.conf.set(WIDTH, 1_000_000)  # no list of names is abbreviated
     try:
         text = spark.sql(f"EXPLAIN EXTENDED {query}").first()[0]
     except ParseException as e:
         raise ValueError(f"not a SELECT: {e}") from e
+    finally:
+        spark.conf.set(WIDTH, width)
     parsed, _, rest = text.partition("== Analyzed Logical Plan ==")
     analysed, _, _ = rest.partition("== Optimized Logical Plan ==")
     if not analysed.strip():

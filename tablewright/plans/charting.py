@@ -32,6 +32,10 @@ class ChartSpec:
     y_axis: str | None
     chart_type: str
     info: str | None = None
+    # Rows of a sample to read instead of the whole table; a scatter plot has its own number of points.
+    sample: int | None = None
+    # Bars or shares at most; None takes the chart's own number.
+    k: int | None = None
 
 
 @dataclass(frozen=True)
@@ -79,8 +83,9 @@ def check_chart(schema: T.StructType, spec: ChartSpec) -> str | None:
 def charts(df: DataFrame, specs: list[ChartSpec], key: str | list[str] | None = None) -> list[Chart]:
     """The data of every chart; one that cannot be made never stops the rest.
 
-    Counts, means, shares and heatmaps cover the whole table. Points and
-    distributions use a sample, chosen by `key` if one is given.
+    All charts but single points cover the whole table, unless the specification asks
+    for a sample, which is chosen by `key` if one is given. `done` means that the data
+    is described; it is computed when it is read, as `write_charts` does.
     """
     out = []
     for spec in specs:
@@ -101,32 +106,29 @@ def _data(df: DataFrame, spec: ChartSpec, key) -> dict[str, DataFrame]:
     keys = [] if key is None else [key] if isinstance(key, str) else key
     used = df.select(*[col(c) for c in dict.fromkeys([x, *([y] if y else []), *keys])])
 
-    def sample() -> DataFrame:
-        return C.pinned_sample(used, key=key)
-
     if kind == SCATTER:
-        return {"points": C.scatter(used, x, y, key=key)}
+        return {"points": C.scatter(used, x, y, spec.sample or C.SCATTER_ROWS, key=key)}
+    if spec.sample is not None:
+        used = C.pinned_sample(used, spec.sample, key=key)
     if kind == BAR and text:
-        return {"bars": C.bar_count(used, x)}
+        return {"bars": C.bar_count(used, x, spec.k or C.BAR_CATEGORIES)}
     if kind == BAR and y:
-        return {"bars": C.bar_mean(used, x, y)}
-    if kind == BAR:
-        return dict(zip(("bars", "density"), C.bar_numeric(used, x), strict=True))
+        return {"bars": C.bar_mean(used, x, y, spec.k or C.BAR_CATEGORIES)}
     if kind == HISTOGRAM and text:
-        return {"bars": C.bar_count(sample(), x, None)}
-    if kind == HISTOGRAM:
-        return dict(zip(("bars", "density"), C.bar_numeric(sample(), x), strict=True))
+        return {"bars": C.bar_count(used, x, spec.k)}
+    if kind in (BAR, HISTOGRAM):
+        return dict(zip(("bars", "density"), C.bar_numeric(used, x), strict=True))
     if kind == PIE:
-        return {"shares": C.pie_share(used, x)}
+        return {"shares": C.pie_share(used, x, spec.k or C.PIE_CATEGORIES)}
     if kind == BOX:
-        rows = sample()
-        summary = C.summarize(rows, x)
-        return {"box": C.box_stats(rows, x, summary), "fliers": C.box_fliers(rows, x, summary)}
+        summary = C.summarize(used, x)
+        return {"box": C.box_stats(used, x, summary), "fliers": C.box_fliers(used, x, summary)}
     if kind == HEATMAP:
-        return {"cells": C.crosstab(used, x, y) if text else C.corr_pair(used, x, y)}
+        # Pairs that do not occur are left out, so that any number of labels will do.
+        return {"cells": C.crosstab_counts(used, x, y) if text else C.corr_pair(used, x, y)}
     if kind == LINE:
-        return {"line": C.line_series(sample(), x, y)}
-    return {"area": C.area_series(sample(), x, y)}
+        return {"line": C.line_series(used, x, y)}
+    return {"area": C.area_series(used, x, y)}
 
 
 STATUS = (

@@ -6,11 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Model
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col, field, is_text
+from ..functions.columns import col, field, is_numeric, is_text
 from ..functions.ranking import sorted_codes
 from ..operators.evaluation import eval_classification, eval_regression
 from ..operators.features import fit_features, with_codes
@@ -111,34 +111,54 @@ def _decoded(predictor: Predictor, scored: DataFrame) -> DataFrame:
 def predict_rows(predictor: Predictor, rows: DataFrame, column: str = "line", round_output: bool = True) -> DataFrame:
     """Predict from comma-separated texts that hold the features in table order.
 
-    Adds `raw`, `rounded` (half to even) and, for a classifier, `decoded`. An empty
-    field is a missing value.
+    Adds `raw`, `rounded` (half to even) and, for a classifier, `decoded`, then `error`. An
+    empty field is a missing value. A line with another number of fields, or with a
+    text where a number belongs, gets no prediction; its `error` says why. Columns that
+    are no features, such as arrays, have no field.
     """
-    names = [f.name for f in predictor.inputs.fields]
+    fields = [f for f in predictor.inputs.fields if _is_feature(f)]
+    names = [f.name for f in fields]
+    parts = F.split(col(column), ",", -1)
+    split = rows.select(col(column).alias("tw_line"), parts.alias("tw_parts"))
     wrong = F.concat(
-        F.lit(f"expected {len(names)} fields ({', '.join(names)}), got: "), F.coalesce(col(column), F.lit(""))
+        F.lit(f"expected {len(names)} fields ({', '.join(names)}), got: "), F.coalesce("tw_line", F.lit(""))
+    )
+    error = F.when(F.coalesce(F.size("tw_parts") != len(names), F.lit(True)), wrong)
+    for i, f in enumerate(fields):
+        if not is_text(f.dataType):
+            text = _field(i)
+            bad = text.isNotNull() & text.try_cast(f.dataType).isNull()
+            error = error.when(bad, F.concat(F.lit(f"{f.name}: not a number: "), text))
+    ignored = [F.lit(None).cast(f.dataType).alias(f.name) for f in predictor.inputs.fields if not _is_feature(f)]
+    typed = split.select("tw_line", error.alias("tw_error"), *[_parsed(i, f) for i, f in enumerate(fields)], *ignored)
+    scored = predictor._predicted(typed).select(
+        F.col("tw_row.tw_line").alias("tw_line"),
+        F.col("tw_row.tw_error").alias("tw_error"),
+        F.when(F.col("tw_row.tw_error").isNull(), F.col("prediction")).alias("prediction"),
     )
-    parts = F.split(col(column), ",", -1)
-    checked = F.when(F.size(parts) == len(names), parts).otherwise(F.raise_error(wrong))
-    split = rows.select(col(column).alias("tw_line"), checked.alias("tw_parts"))
-    typed = split.select("tw_line", *[_parsed(i, f) for i, f in enumerate(predictor.inputs.fields)])
-    scored = predictor._predicted(typed).select(F.col("tw_row.tw_line").alias("tw_line"), "prediction")
     out = [F.col("tw_line").alias(column), F.col("prediction").alias("raw")]
     if round_output:
         out.append(F.bround("prediction", 0).cast("bigint").alias("rounded"))
     if predictor.task == "classification":
         scored = _decoded(predictor, scored)
         out.append(F.col("decoded"))
-    return scored.select(*out)
+    return scored.select(*out, F.col("tw_error").alias("error"))
+
+
+def _is_feature(f: T.StructField) -> bool:
+    return is_numeric(f.dataType) or is_text(f.dataType)
+
+
+def _field(i: int) -> Column:
+    text = F.trim(F.get("tw_parts", F.lit(i)))
+    return F.when(text != "", text)
 
 
-def _parsed(i: int, f: T.StructField):
-    text = F.get("tw_parts", F.lit(i))
+def _parsed(i: int, f: T.StructField) -> Column:
     if is_text(f.dataType):
-        value = F.when(text != "", text)
-    else:
-        value = F.when(F.trim(text) != "", F.trim(text)).cast(f.dataType)
-    return value.alias(f.name)
+        text = F.get("tw_parts", F.lit(i))
+        return F.when(text != "", text).alias(f.name)
+    return _field(i).try_cast(f.dataType).alias(f.name)
 
 
 def label_mapping(predictor: Predictor) -> DataFrame | None:

@@ -143,6 +143,13 @@ def test_regression_end_to_end(spark, learnable):
     assert all(r["rounded"] == np.round(r["raw"]) for r in got)
 
 
+def test_columns_that_are_no_features_have_no_field(spark, learnable):
+    table = learnable.select(F.array("x").alias("xs"), "x", F.lit(True).alias("flag"), "c", "y")
+    predictor, _ = P.fit_predict(table, "y", "regression")
+    got = P.predict_rows(predictor, lines(spark, "1.0,u")).first()
+    assert (got["rounded"], got["error"]) == (13, None)
+
+
 def test_classification_end_to_end(spark, learnable):
     table = learnable.drop("y").filter("kind <> 'mid'")
     done = P.prediction(table, "kind", "classification", lines(spark, "2.0,u", "-2.0,v"))
@@ -193,10 +200,10 @@ def test_half_is_rounded_to_even(spark):
 
 def test_bad_input_is_refused(spark, learnable):
     predictor, _ = P.fit_predict(learnable.drop("kind"), "y", "regression")
-    with pytest.raises(Exception, match="expected 2 fields"):
-        P.predict_rows(predictor, lines(spark, "1,u,extra")).collect()
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
-        P.predict_rows(predictor, lines(spark, "abc,u")).collect()
+    got = P.predict_rows(predictor, lines(spark, "1,u,extra", "abc,u", None, "1.0,u")).collect()
+    assert [r["raw"] is None for r in got] == [True, True, True, False]
+    assert "expected 2 fields" in got[0]["error"] and "expected 2 fields" in got[2]["error"]
+    assert got[1]["error"] == "x: not a number: abc" and got[3]["error"] is None
     with pytest.raises(ValueError, match="unknown task"):
         P.fit_predict(learnable, "y", "clustering")
     with pytest.raises(ValueError, match="classes"):

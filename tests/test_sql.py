@@ -23,6 +23,8 @@ def db(spark):
         ("SELECT id FROM db UNION ALL SELECT id FROM db", 6),
         ("SELECT transform(array(id), x -> x + 1) AS xs FROM db", 3),
         ("SELECT 1 AS one", 1),
+        ("WITH " + ", ".join(f"t{i} AS (SELECT id FROM db)" for i in range(40)) + " SELECT * FROM t30 JOIN t39 USING (id)", 3),
+        ("SELECT id, x FROM db LATERAL VIEW explode(array(1, 2)) v AS x", 6),
     ],
 )
 def test_selects_run(db, query, rows):
@@ -47,6 +49,7 @@ def test_order_is_kept(db):
         "SELECT reflect('java.lang.Math', 'abs', id) FROM db",
         "SELECT `java_method`('java.lang.Math', 'abs', id) FROM db",
         "SELECT TRANSFORM(id) USING 'cat' AS (z) FROM db",
+        "SELECT count(*) FROM range(5)",
         "SELECT 1) a, (SELECT 2",
         "",
     ],
