@@ -13,14 +13,16 @@ from tablewright.sources.workspace import staged
 THRESHOLD = 0.93
 #: Vectors of a cell, about; the number of cells follows the number of vectors.
 CELL = 1000
+#: Smaller labels have so many cells too, if their vectors are ten times as many.
+LEAST_CELLS = 4
 #: Rows of a label that its cells are fitted on: a bounded sample by a hash of the id. Every vector is assigned.
 FIT_ROWS = 10_000
-#: A vector is compared in its own cell and, as a guest, in so many next ones.
-GUEST_CELLS = 2
 #: Rows of a block; a task compares two blocks of a cell.
 BLOCK = 1024
 #: Vectors that are assigned to cells by one task.
 ASSIGN_ROWS = 20_000
+#: Vectors whose distances from all cells are held together.
+STEP = 2_000
 
 
 def near_duplicates(rows: DataFrame, key: str, vector: str, label: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -33,11 +35,11 @@ def near_duplicates(rows: DataFrame, key: str, vector: str, label: str, threshol
     of their own that link with each other.
 
     Equal vectors become one first. Cells are fitted by spherical k-means on a bounded
-    sample of each label; each vector goes to its nearest cell and as a guest to the
-    next two. All pairs of a cell that are not both guests are compared, so pairs found
-    have exact cosines, and pairs on both sides of a cell's edge are found too unless
-    neither vector has the other's cell among its nearest three. A large cell is cut
-    into blocks, and each two blocks are a task, so no cell has to fit one.
+    sample of each label; each vector goes to its nearest cell and as a guest to all
+    that a vector linked with it may be in, so no link is lost whatever the centres.
+    Pairs of a cell that are not both guests are compared. A cell is cut into blocks,
+    and each two blocks are a task, so no cell has to fit one. Where vectors do not
+    cluster, few cells can be ruled out, and the work is that of comparing all pairs.
     """
     own = rows.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -49,7 +51,7 @@ def near_duplicates(rows: DataFrame, key: str, vector: str, label: str, threshol
     reps = good.withColumnRenamed("key", "rep").join(same, ["rep", "label", "h1", "h2"])
     reps = reps.groupBy("rep", "label", F.size("v").alias("width")).agg(F.first("v").alias("v"), F.first("copies").alias("copies"))
     reps = staged(reps, "vectors")
-    compared = staged(_compared(_cells(reps), threshold), "compared")
+    compared = staged(_compared(_cells(reps, threshold), threshold), "compared")
     # Copies link with each other whatever the threshold.
     counts = compared.groupBy("rep").agg(F.sum("n").alias("n"))
     reached = components(compared.select(F.col("rep").alias("a"), F.col("root").alias("b")))
@@ -79,81 +81,94 @@ def fit(unit: np.ndarray, cells: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def _cells(reps: DataFrame) -> DataFrame:
-    """One row for each vector and cell it is compared in: its own (`home`) and as a guest."""
+def may_meet(unit: np.ndarray, centres: np.ndarray, home: np.ndarray, threshold: float) -> np.ndarray:
+    """For each vector, the cells that a vector at least `threshold` similar to it may have as its home.
+
+    A vector at home in cell c lies on c's side of the plane halfway between c and any
+    other centre. From the other side, the sine of the angle to that plane is at most
+    the sine of the angle between the two vectors. The allowance for rounding only adds cells.
+    """
+    apart = np.stack([np.linalg.norm(c - centres, axis=1) for c in centres])
+    reach = np.sqrt(max(0.0, 1 - threshold * threshold)) if threshold > 0 else np.inf
+    to = unit @ centres.T
+    lead = to[np.arange(len(unit)), home][:, None] - to
+    return (lead <= reach * apart[home] + 1e-9) | (reach == np.inf)
+
+
+def _cells(reps: DataFrame, threshold: float) -> DataFrame:
+    """Each vector with its own cell (`home`) and those it is compared in as a guest.
+
+    Two cells that may hold linked vectors visit each other one way only: the smaller
+    one is the host if their sum is even, else the larger one. So each pair meets once.
+    """
     sizes = reps.groupBy("label", "width").agg(F.count("*").alias("total"))
     sizes = sizes.withColumn("salts", F.ceil(F.col("total") / ASSIGN_ROWS).cast("int"))
     sized = reps.join(sizes, ["label", "width"])
     share = FIT_ROWS / F.col("total")
-    sample = sized.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < share * (1 << 20)).filter(F.col("total") > CELL)
+    sample = sized.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < share * (1 << 20))
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rep", ignore_index=True)
         # The sample is bounded, so this many cells are all that it can tell apart.
-        cells = int(min(-(-rows["total"].iloc[0] // CELL), max(1, len(rows) // 10)))
+        cells = int(min(max(LEAST_CELLS, -(-rows["total"].iloc[0] // CELL)), max(1, len(rows) // 10)))
         centres = fit(_unit(rows["v"]), cells)
-        salts = int(rows["salts"].iloc[0])
         first = rows.iloc[0]
-        return pd.DataFrame(
-            {"label": first["label"], "width": first["width"], "salt": np.arange(salts, dtype=np.int32), "centres": [centres.ravel().tolist()] * salts}
-        )
+        return pd.DataFrame({"label": [first["label"]], "width": [first["width"]], "salts": [first["salts"]], "centres": [centres.ravel().tolist()]})
 
     label = reps.schema["label"].dataType.simpleString()
-    centres = sample.groupBy("label", "width").applyInPandas(fitted, f"label {label}, width int, salt int, centres array<double>")
+    # Written, so that all tasks see the same centres.
+    centres = staged(sample.groupBy("label", "width").applyInPandas(fitted, f"label {label}, width int, salts int, centres array<double>"), "centres")
+    centres = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     salted = sized.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(2)), "salts").cast("int"))
 
     def assigned(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
-            return pd.DataFrame(columns=["label", "width", "cell", "home", "near", "rep", "copies", "v"])
-        unit = _unit(rows["v"])
+            return pd.DataFrame(columns=columns)
+        homes, guests = np.zeros(len(rows), np.int32), [[] for _ in range(len(rows))]
         if len(found):
-            near = np.argsort(-(unit @ np.array(found["centres"].iloc[0]).reshape(-1, unit.shape[1]).T), axis=1, kind="stable")[:, : GUEST_CELLS + 1]
-        else:
-            near = np.zeros((len(rows), 1), int)
-        n = near.shape[1]
-        every = rows.loc[rows.index.repeat(n), ["label", "width", "rep", "copies"]]
-        return every.assign(
-            v=[x for x in rows["v"] for _ in range(n)],
-            cell=near.ravel().astype(np.int32),
-            home=np.repeat(near[:, 0], n).astype(np.int32),
-            near=[x for x in near.tolist() for _ in range(n)],
-        )
-
-    schema = f"label {label}, width int, cell int, home int, near array<int>, rep long, copies long, v array<double>"
+            centres = np.array(found["centres"].iloc[0]).reshape(-1, rows["width"].iloc[0])
+            cell = np.arange(len(centres))
+            host = (cell[:, None] > cell) == ((cell[:, None] + cell) % 2 == 0)
+            host[cell, cell] = False
+            for lo in range(0, len(rows), STEP):
+                unit = _unit(rows["v"].iloc[lo : lo + STEP])
+                home = np.argmax(unit @ centres.T, axis=1)
+                homes[lo : lo + STEP] = home
+                visits = may_meet(unit, centres, home, threshold) & host[home]
+                guests[lo : lo + STEP] = [np.flatnonzero(x).astype(np.int32).tolist() for x in visits]
+        return rows[["label", "width", "rep", "copies", "v"]].assign(home=homes, guests=guests)[columns]
+
+    schema = f"label {label}, width int, home int, guests array<int>, rep long, copies long, v array<double>"
     keys = ["label", "width", "salt"]
     columns = [c.split()[0] for c in schema.split(", ")]
-    return salted.groupBy(*keys).cogroup(centres.groupBy(*keys)).applyInPandas(lambda a, b: assigned(a, b)[columns], schema)
+    return salted.groupBy(*keys).cogroup(centres.groupBy(*keys)).applyInPandas(assigned, schema)
 
 
 def _compared(cells: DataFrame, threshold: float) -> DataFrame:
     """(rep, n, root) from each task: linked vectors counted with their copies, and the smallest one reached inside the task."""
     cells = staged(cells, "cells")
-    size = cells.groupBy("label", "width", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = cells.join(size, ["label", "width", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(4)), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = dealt.withColumn("other", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    visits = cells.withColumn("cell", F.explode(F.concat(F.array("home"), "guests"))).withColumn("here", F.col("cell") == F.col("home"))
+    blocks = [F.ceil(F.count(F.when(x, 1)) / BLOCK).cast("int") for x in (F.col("here"), ~F.col("here"))]
+    size = visits.groupBy("label", "width", "cell").agg(blocks[0].alias("own"), blocks[1].alias("guest"))
+    dealt = visits.join(size, ["label", "width", "cell"])
+    # The cell's own blocks come first. They meet all blocks, guests only those.
+    drawn = F.xxhash64("rep", F.lit(4))
+    block = F.when(F.col("here"), F.pmod(drawn, F.greatest("own", F.lit(1)))).otherwise(F.col("own") + F.pmod(drawn, F.greatest("guest", F.lit(1))))
+    met = F.col("own") + F.when(F.col("here"), F.col("guest")).otherwise(0)
+    dealt = dealt.filter("own > 0").withColumns({"block": block.cast("int"), "other": F.explode(F.sequence(F.lit(0), met - 1))})
+    tasks = dealt.select("label", "width", "cell", "block", "rep", "copies", "v", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep", ignore_index=True)
         unit = _unit(rows["v"])
         low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
-        block, home, rep = rows["block"].to_numpy(), rows["home"].to_numpy(), rows["rep"].to_numpy()
-        cell = int(rows["cell"].iloc[0])
-        here = home == cell
-        width = max(map(len, rows["near"]))
-        near = np.array([list(x) + [-1] * (width - len(x)) for x in rows["near"]])
+        block, rep = rows["block"].to_numpy(), rows["rep"].to_numpy()
         a, b = (np.flatnonzero(block == x) for x in (low, high))
-        cosine = unit[a] @ unit[b].T
-        met = (cosine >= threshold) & (here[a][:, None] | here[b][None, :]) & (a[:, None] != b[None, :])
-        # A pair of two homes that each visit the other's is counted in the smaller cell.
-        i, j = np.nonzero(met)
+        i, j = np.nonzero(unit[a] @ unit[b].T >= threshold)
         p, q = a[i], b[j]
         if low == high:
             once = p < q
             p, q = p[once], q[once]
-        there = np.where(here[p], home[q], home[p])
-        visits = np.where(here[p], (near[p] == home[q][:, None]).any(axis=1), (near[q] == home[p][:, None]).any(axis=1))
-        good = (here[p] & here[q]) | ~visits | (cell < there)
-        p, q = p[good], q[good]
         copies = rows["copies"].to_numpy()
         n = np.bincount(p, copies[q], len(rows)) + np.bincount(q, copies[p], len(rows))
         root = np.arange(len(rows))

@@ -270,3 +270,21 @@ def test_embeddings(frame, monkeypatch):
     assert (got.kept == (got.component == got.index)).all() and (got.component <= got.index).all()
     empty = frame([], "vec_id long, v array<float>, label int")
     assert embeddings.near_duplicates(empty, "vec_id", "v", "label").count() == 0
+
+
+def test_embeddings_lose_no_link_among_many_cells(frame, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL", 20)
+    monkeypatch.setattr(embeddings, "BLOCK", 30)
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(400, 24))
+    # Each second vector lies just inside the threshold, in any direction, from the one before it.
+    side = rng.normal(size=base.shape)
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    side -= (side * unit).sum(axis=1, keepdims=True) * unit
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    vectors = np.stack([unit, 0.931 * unit + np.sqrt(1 - 0.931**2) * side], axis=1).reshape(-1, 24)
+    got = embeddings.near_duplicates(frame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, v array<double>, label int"), "vec_id", "v", "label")
+    got = got.toPandas().set_index("vec_id").loc[range(800)]
+    met = (vectors @ vectors.T >= 0.93) & ~np.eye(800, dtype=bool)
+    assert got.n_links.tolist() == met.sum(axis=1).tolist() and met.sum() >= 800
+    assert got.component.tolist() == brute_components(800, np.argwhere(met).tolist())
