@@ -1,8 +1,7 @@
-"""Substring deduplication by content-defined chunks cut with a gear rolling hash."""
+"""Substring deduplication: anchors chosen by a gear rolling hash say where passages may repeat, hashes of windows of 50 words where they do."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,139 +9,170 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.text import flat
+from tablewright.llm.text import BETWEEN_SPACES, _powers, flat, mix
 from tablewright.sources.workspace import staged
 
-#: A chunk ends, on average, after 2 to this power bytes.
-CUT_BITS = 5
-#: Bytes that decide about a cut: 2 to this power before it. Whatever stands further off has no influence.
-WINDOW_BITS = 4
-#: Cuts nearer than this to the one before are left out, and runs without any are cut at this distance.
-LEAST_CHUNK, MOST_CHUNK = 8, 256
-#: Consecutive repeated chunks are removed if they hold at least this many bytes: what is sure to be
-#: left of a passage of 50 words once the chunks that reach over its ends are taken off.
-LEAST_RUN = 96
-#: Bytes of text that are looked at together.
-STEP = 1 << 20
+#: An anchor is the hash of 2 to this power bytes, the least one among 2 to the second power places.
+ANCHOR_BITS, PLACE_BITS = 5, 6
+#: Bytes that surely hold a whole anchor, whatever stands around them.
+SURE = (1 << ANCHOR_BITS) + (1 << PLACE_BITS) - 1
+#: A passage counts from so many words and so many bytes on. 50 words have 99 bytes, so the bytes
+#: bind only where there are no spaces.
+LEAST_WORDS, LEAST_RUN = 50, 96
+#: Longer runs without white space are taken apart into characters, as are scripts written without spaces.
+LONG_WORD = 50
+#: Bytes of text whose anchors are looked for together, and rows that are handed on together.
+STEP, ROWS = 1 << 20, 200_000
 
 _GEAR = np.random.default_rng(23).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_NAMES = np.random.default_rng(29).integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Where the chunks of one text end, by its bytes: increasing, the last one its length.
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor of every `SURE` bytes of one text, as the places where another one begins to hold, and the hashes.
 
-    The gear hash of a place is the sum of the last bytes' random numbers, each
-    shifted by its distance, so equal bytes before two places give equal cuts there.
+    It depends on these bytes only, so equal passages of that length have equal anchors wherever they stand.
     """
-    n, found = len(data), []
-    reach = 1 << WINDOW_BITS
-    for lo in range(0, n, STEP):
-        first = max(0, lo - reach)
-        h = _GEAR[data[first : lo + STEP]]
-        for i in range(WINDOW_BITS):
-            step = 1 << i
-            h[step:] = h[step:] + (h[:-step] << np.uint64(step)) if len(h) > step else h[step:]
-        # The bits just below the window's size depend on all of its bytes.
-        here = np.flatnonzero(((h >> np.uint64(reach - CUT_BITS)) & np.uint64((1 << CUT_BITS) - 1)) == 0) + first + 1
-        found.append(here[here > lo])
-    places = np.concatenate(found) if found else np.zeros(0, np.int64)
-    # Both rules look only at the cuts found, so they too are the same in every copy.
-    places = places[np.diff(places, prepend=-LEAST_CHUNK) >= LEAST_CHUNK]
-    edges = np.concatenate([[0], places[places < n], [n]])
-    wide = np.flatnonzero(np.diff(edges) > MOST_CHUNK)
-    if len(wide):
-        more = [np.arange(edges[i] + MOST_CHUNK, edges[i + 1], MOST_CHUNK) for i in wide]
-        edges = np.unique(np.concatenate([edges, *more]))
-    return edges[1:] if n else np.zeros(0, np.int64)
-
-
-def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, start, length, d1, d2): every chunk of every text by its place in bytes and its 128-bit digest."""
-    kind = docs.schema[key].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = flat(batch.column(1))
-            view = memoryview(data)
-            rows, starts, lengths, digests, size = [], [], [], [], 0
-
-            def out(rows=rows, starts=starts, lengths=lengths, digests=digests, keys=batch.column(0)) -> pa.RecordBatch:
-                halves = np.frombuffer(b"".join(digests), np.int64)
-                owner = keys.take(pa.array(np.concatenate(rows)))
-                return pa.RecordBatch.from_arrays(
-                    [owner, pa.array(np.concatenate(starts)), pa.array(np.concatenate(lengths)), pa.array(halves[::2]), pa.array(halves[1::2])],
-                    ["key", "start", "length", "d1", "d2"],
-                )
-
-            for i in range(len(at) - 1):
-                end = cuts(data[at[i] : at[i + 1]])
-                if not len(end):
-                    continue
-                start = np.concatenate([[0], end[:-1]])
-                text_view = view[at[i] : at[i + 1]]
-                digests.extend(hashlib.blake2b(text_view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True))
-                rows.append(np.full(len(end), i))
-                starts.append(start.astype(np.int32))
-                lengths.append((end - start).astype(np.int32))
-                size += len(end)
-                if size >= 200_000:
-                    yield out()
-                    for x in (rows, starts, lengths, digests):
-                        x.clear()
-                    size = 0
-            if size:
-                yield out()
-
-    rows = docs.select(F.col(key).alias("key"), F.col(text)).filter(F.col("key").isNotNull() & (F.length(text) > 0))
-    return rows.mapInArrow(run, f"key {kind.simpleString()}, start int, length int, d1 long, d2 long")
-
-
-def repeated_spans(docs: DataFrame, key: str, text: str, least_run: int = LEAST_RUN) -> DataFrame:
+    found, values = [], []
+    for lo in range(0, len(data) - SURE + 1, STEP):
+        h = _GEAR[data[lo : lo + STEP + SURE - 1]]
+        for i in range(ANCHOR_BITS):
+            h[1 << i :] = h[1 << i :] + (h[: -(1 << i)] << np.uint64(1 << i))
+        # 40 bits fill less of the shuffle. Two anchors with one hash only let more windows be looked at.
+        h = mix(h[(1 << ANCHOR_BITS) - 1 :]) >> np.uint64(24)
+        for i in range(PLACE_BITS):
+            h = np.minimum(h[: -(1 << i)], h[1 << i :])
+        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        found.append(new + lo)
+        values.append(h[new].view(np.int64))
+    return (np.concatenate(found), np.concatenate(values)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def units(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word of one text. Where there are no spaces, every character counts as a word."""
+    inside = BETWEEN_SPACES[data]
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
+    first, last = edges[::2], edges[1::2]
+    if not len(first):
+        return first, last
+    places = np.flatnonzero(((data & 0xC0) != 0x80) & inside)
+    owner = np.searchsorted(first, places, side="right") - 1
+    a, b = data[places], data[np.minimum(places + 1, len(data) - 1)]
+    # Thai, Lao, Tibetan; Burmese, Khmer; kana and Han; full width; further Han.
+    apart = ((a == 0xE0) & (b >= 0xB8)) | ((a == 0xE1) & ((b <= 0x82) | (b == 0x9E) | (b == 0x9F)))
+    apart |= ((a >= 0xE3) & (a <= 0xE9)) | ((a == 0xEF) & (b >= 0xBC)) | ((a == 0xF0) & (b >= 0xA0))
+    apart |= (last - first >= LONG_WORD)[owner]
+    begins = apart | (places == first[owner])
+    begins[1:] |= apart[:-1]
+    start, owner = places[begins], owner[begins]
+    return start, np.minimum(np.append(start[1:], len(data)), last[owner])
+
+
+def windows(data: np.ndarray, known: np.ndarray, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, ...]:
+    """Start, stop and two hashes of each window of `least_words` words of one text whose anchors are all `known`."""
+    start, end = units(data)
+    at, value = anchors(data)
+    none = np.zeros(0, np.int64)
+    if len(start) < least_words or not len(at):
+        return none, none, none, none
+    n = len(start)
+    last = np.maximum(np.arange(n) + least_words - 1, np.searchsorted(end, start + LEAST_RUN))
+    start, stop = start[last < n], end[last[last < n]]
+    unknown = np.concatenate([[0], np.cumsum(~np.isin(value, known))])
+    a, b = (np.searchsorted(at, x, side="right") for x in (start, stop - SURE))
+    whole = unknown[b] == unknown[a - 1]
+    start, stop = start[whole], stop[whole]
+    if not len(start):
+        return none, none, none, none
+    up, down = _powers(1 << max(20, len(data).bit_length()))
+    names = []
+    for table in _NAMES:
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[data] * up[: len(data)], dtype=np.uint64)])
+        names.append(mix((total[stop] - total[start]) * down[start] ^ ((stop - start).astype(np.uint64) << np.uint64(40))).view(np.int64))
+    return start, stop, names[0], (names[1] >> 32).astype(np.int32)
+
+
+def _each(batches: Iterator[pa.RecordBatch], columns: list[str], values) -> Iterator[pa.RecordBatch]:
+    """The key of each text and, as rows, the arrays that `values` (batch, row, bytes) makes of it."""
+    for batch in batches:
+        data, at = flat(batch.column(1))
+        owners, found, size = [], [], 0
+        for i in range(len(at) - 1):
+            own = values(batch, i, data[at[i] : at[i + 1]])
+            if len(own[0]):
+                owners.append(np.full(len(own[0]), i))
+                found.append(own)
+                size += len(own[0])
+            if size >= ROWS or (size and i == len(at) - 2):
+                arrays = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(owners))), *arrays], columns)
+                owners, found, size = [], [], 0
+
+
+def _repeated(rows: DataFrame, *by: str) -> DataFrame:
+    """What stands under more than one key, with the smallest one. Counted with partial aggregation."""
+    return rows.groupBy(*by).agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").drop("last")
+
+
+def repeated_spans(docs: DataFrame, key: str, text: str, least_words: int = LEAST_WORDS) -> DataFrame:
     """(key, spans): the bytes (start, stop) of each text that stand in a document with a smaller key.
 
-    A chunk is a repetition if its digest is found under a smaller key; runs of
-    consecutive repetitions count from `least_run` bytes on. Repetitions within one
-    document are its own affair and stay. Keys that repeat count as one document.
+    A word is repeated if it lies in a window of `least_words` consecutive words that
+    one document with a smaller key holds byte for byte. Spans are unions of such
+    windows, so they begin and end with words. Repetitions within one document are its
+    own affair and stay. Keys that repeat count as one document.
 
-    Digests are counted with partial aggregation. Only the repeated ones meet the
-    chunks again, in a sort-merge join whose large partitions Spark splits, so a
-    passage that a third of all documents share burdens no single task. The spans are
-    written to the shared folder.
+    Every window has anchors that are the same in all its copies. Only windows whose
+    anchors all stand in several documents are hashed (96 bits) and counted. What is
+    repeated meets its texts in sort-merge joins whose large partitions Spark splits,
+    so a passage that a third of all documents share burdens no single task. The spans
+    are written to the shared folder.
     """
-    pieces = chunked(docs, key, text)
-    known = pieces.groupBy("d1", "d2").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").drop("last")
-    met = pieces.join(known, ["d1", "d2"]).filter("first < key")
-    # One row a document: at most the chunks of its own text.
-    each = met.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("chunks"))
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull() & (F.octet_length(text) >= LEAST_RUN))
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _each(batches, ["key", "h"], lambda _, i, data: (np.unique(anchors(data)[1]),))
+
+    marked = rows.mapInArrow(marks, f"key {kind}, h long")
+    # One row a document: at most the anchors of its own text.
+    known = marked.join(_repeated(marked, "h"), "h").groupBy("key").agg(F.collect_set("h").alias("known"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(batch: pa.RecordBatch, i: int, data: np.ndarray) -> tuple[np.ndarray, ...]:
+            start, stop, h1, h2 = windows(data, batch.column(2)[i].values.to_numpy(), least_words)
+            return start.astype(np.int32), stop.astype(np.int32), h1, h2
+
+        return _each(batches, ["key", "start", "stop", "h1", "h2"], of)
+
+    pieces = staged(rows.join(known, "key").select("key", "text", "known").mapInArrow(hashed, f"key {kind}, start int, stop int, h1 long, h2 int"), "windows")
+    met = pieces.join(_repeated(pieces, "h1", "h2"), ["h1", "h2"]).filter("first < key")
+    each = met.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [_runs(x, least_run) for x in batch.column(1).to_pylist()]
+            spans = [_union(x.values.field("start").to_numpy(), x.values.field("stop").to_numpy()) for x in batch.column(1)]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["key", "spans"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    found = each.mapInArrow(run, f"key {kind}, spans array<struct<start:int,stop:int>>").filter(F.size("spans") > 0)
+    found = each.mapInArrow(run, f"key {kind}, spans array<struct<start:int,stop:int>>")
     return staged(found.withColumnRenamed("key", key), "spans")
 
 
-def _runs(chunks: list[dict], least_run: int) -> list[dict]:
-    """Consecutive chunks as one span each, short spans left out."""
-    out: list[dict] = []
-    for c in chunks:
-        if out and c["start"] <= out[-1]["stop"]:
-            out[-1]["stop"] = max(out[-1]["stop"], c["start"] + c["length"])
-        else:
-            out.append({"start": c["start"], "stop": c["start"] + c["length"]})
-    return [x for x in out if x["stop"] - x["start"] >= least_run]
+def _union(start: np.ndarray, stop: np.ndarray) -> list[dict]:
+    """Overlapping and adjoining windows as one span each."""
+    order = np.argsort(start, kind="stable")
+    start, stop = start[order], np.maximum.accumulate(stop[order])
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > stop[:-1]]))
+    return [{"start": a, "stop": b} for a, b in zip(start[new].tolist(), stop[np.append(new[1:], len(start)) - 1].tolist(), strict=True)]
 
 
 def without_spans(docs: DataFrame, key: str, text: str, spans: DataFrame, keep: bool = False) -> DataFrame:
     """`docs` with the texts' spans (start, stop in bytes) taken out, all columns and other texts as they were.
 
-    Spans end where words do: a word cut in two stays. What is left on both sides
-    is joined by a single space unless white space is there already. `keep` leaves the
-    spans as the last column, null for untouched texts.
+    Spans end where words or characters do, and exactly their bytes go. What is left on
+    both sides is joined by a single space unless white space is there already. `keep`
+    leaves the spans as the last column, null for untouched texts.
     """
     joined = docs.join(spans.select(F.col(key), F.col("spans").alias("__spans")), key, "left").select(*docs.columns, "__spans")
 
@@ -171,13 +201,6 @@ def _left(text: str, spans: list[dict]) -> str:
     out, at = bytearray(), 0
     for s in spans:
         a, b = s["start"], s["stop"]
-        # Back to word ends, so that neither side keeps a torn word.
-        while 0 < a < b and data[a - 1 : a] not in _SPACES and data[a : a + 1] not in _SPACES:
-            a += 1
-        while a < b < len(data) and data[b - 1 : b] not in _SPACES and data[b : b + 1] not in _SPACES:
-            b -= 1
-        if b <= a:
-            continue
         out += data[at:a]
         if out and bytes(out[-1:]) not in _SPACES and b < len(data) and data[b : b + 1] not in _SPACES:
             out += b" "

@@ -288,3 +288,16 @@ def test_embeddings_lose_no_link_among_many_cells(frame, monkeypatch):
     met = (vectors @ vectors.T >= 0.93) & ~np.eye(800, dtype=bool)
     assert got.n_links.tolist() == met.sum(axis=1).tolist() and met.sum() >= 800
     assert got.component.tolist() == brute_components(800, np.argwhere(met).tolist())
+
+
+def test_chunks_remove_whole_passages(frame):
+    rng = random.Random(12)
+    shared = [prose(rng, n) for n in (51, 60, 80, 120) for _ in range(25)] + [" ".join(rng.choices("abcdefghij", k=51)) for _ in range(20)]
+    texts = [(i, prose(rng, 30) + " " + p + " " + prose(rng, 30)) for i, p in enumerate(shared)]
+    around = [(prose(rng, 20) + " ", " " + prose(rng, 40)) for _ in shared]
+    texts += [(1000 + i, a + p + b) for i, (p, (a, b)) in enumerate(zip(shared, around, strict=True))]
+    short = [(2000 + i, prose(rng, 20) + " " + " ".join(p.split()[:49]) + " " + prose(rng, 20)) for i, p in enumerate(shared)]
+    got = {r["doc_id"]: r["text"] for r in chunks.deduplicate(frame(rows(texts + short), DOCS), "doc_id", "text").collect()}
+    for i, (a, b) in enumerate(around):
+        assert got[1000 + i] == a + b and got[i] == texts[i][1]
+    assert [got[i] for i, _ in short] == [t for _, t in short]
