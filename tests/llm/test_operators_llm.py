@@ -301,3 +301,14 @@ def test_chunks_remove_whole_passages(frame):
     for i, (a, b) in enumerate(around):
         assert got[1000 + i] == a + b and got[i] == texts[i][1]
     assert [got[i] for i, _ in short] == [t for _, t in short]
+
+
+def test_chunks_keep_what_no_single_document_holds(frame):
+    rng = random.Random(13)
+    parts = [prose(rng, 20) for _ in range(3)]
+    texts = [(i, prose(rng, 60) + " " + p + " " + prose(rng, 60)) for i, p in enumerate(parts)] + [(9, prose(rng, 9) + " " + " ".join(parts) + " " + prose(rng, 9))]
+    # The first 30 words and the last 30 are known from two documents; only the third holds all 51.
+    whole = prose(rng, 51).split()
+    texts += [(20, prose(rng, 9) + " " + " ".join(whole[:30])), (21, " ".join(whole[21:]) + " " + prose(rng, 9)), (22, " ".join(whole)), (23, "x " + " ".join(whole) + " y")]
+    got = {r["doc_id"]: r["text"] for r in chunks.deduplicate(frame(rows(texts), DOCS), "doc_id", "text").collect()}
+    assert got == dict(texts) | {23: "x  y"}
