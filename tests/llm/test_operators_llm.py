@@ -312,3 +312,19 @@ def test_chunks_keep_what_no_single_document_holds(frame):
     texts += [(20, prose(rng, 9) + " " + " ".join(whole[:30])), (21, " ".join(whole[21:]) + " " + prose(rng, 9)), (22, " ".join(whole)), (23, "x " + " ".join(whole) + " y")]
     got = {r["doc_id"]: r["text"] for r in chunks.deduplicate(frame(rows(texts), DOCS), "doc_id", "text").collect()}
     assert got == dict(texts) | {23: "x  y"}
+
+
+def test_chunks_without_spaces(frame):
+    rng = random.Random(14)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    thai = lambda n: "".join(chr(rng.randrange(0xE01, 0xE2F)) for _ in range(n))
+    token = lambda n: "".join(rng.choice("abcdefghij0123456789") for _ in range(n))
+    texts, want = [], {}
+    for k, make in enumerate((han, thai, token)):
+        shared, a, b = make(150), make(80), make(90)
+        texts += [(10 * k, make(70) + shared + make(60)), (10 * k + 1, a + shared + b)]
+        want |= {10 * k: texts[-2][1], 10 * k + 1: a + " " + b}
+    docs = frame(rows(texts), DOCS)
+    spans = chunks.repeated_spans(docs, "doc_id", "text")
+    assert {r["doc_id"]: r["text"] for r in chunks.without_spans(docs, "doc_id", "text", spans).collect()} == want
+    assert {r["doc_id"]: [s["stop"] - s["start"] for s in r["spans"]] for r in spans.collect()} == {1: [450], 11: [450], 21: [150]}
