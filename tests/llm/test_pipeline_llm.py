@@ -51,3 +51,11 @@ def test_stages_follow_each_other(spark, sf):
     assert set(packed.doc_id) == set(before)
     assert packed.groupby("sequence_id").length.sum().max() <= 2048
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_cutting_passages_drops_only_what_it_emptied(spark, frame):
+    passage = " ".join(f"word{i}" for i in range(70))
+    texts = [(1, passage), (2, passage), (3, "\n" + passage + "\n"), (4, ""), (5, "   "), (6, "\n\t"), (7, None), (8, "few words")]
+    got = corpus_pipeline.cut_repeated_passages(spark, frame(texts, "doc_id long, text string"), "")
+    assert got.columns == ["doc_id", "text"]
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {i: t for i, t in texts if i not in (2, 3)}
