@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import chunks, decontaminate, embeddings, langid, ngram_join, packing, reputation, sharding, toxicity, warc
+from tablewright.llm import ann, chunks, decontaminate, divergence, embeddings, langid, ngram_join, packing, reputation, sharding, toxicity, warc, whitening
 from tablewright.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -112,6 +112,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
 
 
+def op11_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "vec_id % 50 = 0")
+
+
+def op12_divergence_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), "text", "lang", "source")
+
+
+def op13_bit_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.learn(rows, "embedding").transform(rows, "vec_id", "embedding")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -131,6 +144,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_lpt_shards,
         op9_decontaminate,
         op10_embedding_dedup,
+        op11_kmeans_tree,
+        op12_divergence_cube,
+        op13_bit_whitening,
         pipeline,
     )
 }

@@ -113,10 +113,37 @@ SELECT c.id AS vec_id, coalesce(n, 0) AS n_links, c.component_id, c.id = c.compo
 FROM (SELECT id, min(other) AS component_id FROM reach GROUP BY id) c LEFT JOIN counts USING (id)
 """.replace("{components}", _COMPONENTS)
 
+_DIVERGENCE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), terms AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM terms GROUP BY ALL),
+kept AS (SELECT lang, term, count(*) AS total FROM terms GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+sizes AS (SELECT lang, source, sum(n) AS n FROM counts JOIN kept USING (lang, term) GROUP BY ALL),
+grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (coalesce(s.n, 0) + l.v) AS p, 1 + (1000000000::hugeint * (k.total + 1)) // (l.n + l.v) AS q
+  FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM grid WHERE n > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k FROM found)
+SELECT lang, source, part, item, value::bigint AS value, k::integer AS rank FROM ranked WHERE part = 'pair' OR k <= 200
+"""
+
 ORACLES: dict[str, str] = {
     "op2_warc_revisits": _WARC,
     "op3_host_reputation": _REPUTATION,
     "op7_ngram_join": _JOIN,
     "op9_decontaminate": _LEAKS,
     "op10_embedding_dedup": _EMBEDDINGS,
+    "op12_divergence_cube": _DIVERGENCE,
 }

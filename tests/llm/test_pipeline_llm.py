@@ -22,7 +22,7 @@ def test_query_gives_the_rows_of_its_sql(spark, sf, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     want = con.execute(queries.ORACLES[name]).df()
     got = queries.QUERIES[name](spark, sf).toPandas()[list(want.columns)]
-    key = want.columns[0]
+    key = list(want.columns)
     want, got = (x.sort_values(key).reset_index(drop=True).astype(object).where(x.sort_values(key).reset_index(drop=True).notna(), None) for x in (want, got))
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
 
