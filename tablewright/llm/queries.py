@@ -61,7 +61,7 @@ def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = chunks.repeated_spans(docs, "doc_id", "text")
-    left = chunks.without_spans(docs, "doc_id", "text", spans, keep=True)
+    left = chunks.without_spans(docs, "doc_id", "text", spans, into="spans")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return left.select("doc_id", "text", F.coalesce(removed, F.lit(0)).alias("repeated_bytes"), "spans")
 

@@ -46,17 +46,31 @@ def test_fm_index_finds_what_a_scan_finds():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
-def test_cuts_do_not_depend_on_what_stands_far_before():
-    rng = np.random.default_rng(1)
-    passage = rng.integers(97, 123, 600).astype(np.uint8)
-    a = np.concatenate([rng.integers(97, 123, 777).astype(np.uint8), passage])
-    ends = [set((chunks.cuts(x) - (len(x) - 600)).tolist()) for x in (passage, a)]
-    common = {e for e in ends[0] if e > 40}
-    assert len(common) > 5 and common <= ends[1]
-    assert chunks.cuts(np.zeros(0, np.uint8)).tolist() == []
-    assert np.diff(chunks.cuts(np.zeros(5000, np.uint8)), prepend=0).max() <= chunks.MOST_CHUNK
-    whole = chunks.cuts(a)
-    assert whole[-1] == len(a) and (np.diff(whole) > 0).all()
+def test_cuts_do_not_depend_on_what_stands_far_before(monkeypatch):
+    rng = random.Random(1)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(n)).encode()
+    find = lambda raw: chunks.cuts(np.frombuffer(raw, np.uint8), chunks.units(np.frombuffer(raw, np.uint8))[0])
+    passage = words(200)
+    copies = [passage, words(90) + b" " + passage, b"x\n" + passage + b" " + words(40)]
+    at = [len(c) - len(passage) if k < 2 else 2 for k, c in enumerate(copies)]
+    ends = [{e - a for e in find(c).tolist() if 0 <= e - a < len(passage)} for c, a in zip(copies, at, strict=True)]
+    for other in ends[1:]:
+        common = {e for e in ends[0] if e > 100}
+        assert len(common) > 8 and common == {e for e in other if e > 100}
+    for raw in (b"", b" ", b"one", passage, b"a" * 5000, b"a " * 3000, "é日本".encode() * 900, copies[1]):
+        whole = find(raw)
+        assert (whole[-1] if len(whole) else 0) == len(raw) and (np.diff(whole, prepend=0) > 0).all()
+        assert np.diff(whole, prepend=0).max(initial=0) <= chunks.MOST_CHUNK
+    before = find(copies[1]).tolist()
+    monkeypatch.setattr(chunks, "STEP", 64)
+    assert find(copies[1]).tolist() == before
+
+
+def test_words_of_scripts_with_and_without_spaces():
+    found = lambda t: [t.encode()[a:b].decode() for a, b in zip(*chunks.units(np.frombuffer(t.encode(), np.uint8)), strict=True)]
+    assert found("ab é–“x”  c\n") == ["ab", "é–“x”", "c"]
+    assert found("a日本b c") == ["a", "日", "本", "b", "c"]
+    assert found("x " + "y" * 50) == ["x", *"y" * 50] and found("y" * 49) == ["y" * 49]
 
 
 def test_pieces_of_every_length_fill_their_class():
