@@ -31,8 +31,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller doc_id holds are taken out; documents that this leaves without any text go."""
-    left = chunks.without_spans(docs, "doc_id", "text", chunks.repeated_spans(docs, "doc_id", "text"), keep=True)
-    return left.filter(F.col("spans").isNull() | F.col("text").rlike(r"\S")).select(*docs.columns)
+    cut = "_".join(["cut", *docs.columns])  # a name that no column has
+    left = chunks.without_spans(docs, "doc_id", "text", chunks.repeated_spans(docs, "doc_id", "text"), into=cut)
+    return left.filter(F.col(cut).isNull() | F.col("text").rlike(r"\S")).select(*docs.columns)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
