@@ -33,7 +33,9 @@ BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 1 << 25
 
 _GEAR = np.random.default_rng(23).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CUT = np.uint64((1 << CUT_BITS) - 1) << np.uint64(64 - CUT_BITS)
-_SIZE_BITS = 10
+#: A chunk's place as one number: its start, its size, and the words (at most MANY) of the SETTLED + 1 chunks before, its own, and those of the chunk after.
+_SIZE_BITS, _WORD_BITS = 10, 6
+MANY = (1 << _WORD_BITS) - 1
 #: First bytes of characters that may belong to scripts without spaces.
 _APART = np.isin(np.arange(256), [0xE0, 0xE1, *range(0xE3, 0xEA), 0xEF, *range(0xF0, 0xF5)])
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -89,6 +91,16 @@ def units(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.minimum(np.append(start[1:], len(data)), last[owner])
 
 
+def _places(begins: np.ndarray, ends: np.ndarray, start: np.ndarray) -> np.ndarray:
+    words = np.minimum(np.diff(np.searchsorted(start, np.append(begins, ends[-1:]))), MANY)
+    out = begins << _SIZE_BITS | (ends - begins)
+    total = np.append(0, np.cumsum(words))
+    before = total[:-1] - total[np.maximum(np.arange(len(words)) - SETTLED - 1, 0)]
+    for w in (np.minimum(before, MANY), words, np.append(words[1:], 0)):
+        out = out << _WORD_BITS | w
+    return out
+
+
 def _digests(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """96 bits of BLAKE2b of each."""
     whole = b"".join([hashlib.blake2b(p, digest_size=12).digest() for p in pieces])
@@ -97,20 +109,21 @@ def _digests(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, twin, text) to (key, twin, h1, h2, at): a row a chunk; `at` holds its start and size."""
-    columns = ["key", "twin", "h1", "h2", "at"]
+    """(key, twin, text) to (key, twin, h, at): a row a chunk."""
+    columns = ["key", "twin", "h", "at"]
     for batch in batches:
         data, at = flat(batch.column(2))
         owners, found, size = [], [], 0
         for i in range(len(at) - 1):
             own = data[at[i] : at[i + 1]]
-            ends = cuts(own, units(own)[0]).tolist()
-            raw, begins = own.tobytes(), [0, *ends[:-1]]
+            start = units(own)[0]
+            ends = cuts(own, start)
+            begins = np.append(0, ends[:-1])
+            raw, places = own.tobytes(), _places(begins, ends, start)
             for lo in range(0, len(ends), ROWS):
-                a, b = begins[lo : lo + ROWS], ends[lo : lo + ROWS]
-                h1, h2 = _digests([raw[x:y] for x, y in zip(a, b, strict=True)])
-                place = np.array(a, np.int64)
-                found.append((h1, h2, place << _SIZE_BITS | (np.array(b) - place)))
+                a, b = (x[lo : lo + ROWS].tolist() for x in (begins, ends))
+                # What a chunk says is confirmed by the bytes around it, so 64 bits are enough here.
+                found.append((_digests([raw[x:y] for x, y in zip(a, b, strict=True)])[0], places[lo : lo + ROWS]))
                 owners.append(np.full(len(a), i))
                 size += len(a)
                 if size >= ROWS:
@@ -137,31 +150,48 @@ def _sent(df: DataFrame, size: Column) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS and total <= BROADCAST_BYTES else df
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, twin, met) to a row for each run of chunks that stand one after the other in one source."""
-    for batch in batches:
-        owners, found = [], []
-        for i, met in enumerate(batch.column(2)):
-            v = met.values
-            at, source, twin, there = (v.field(k) for k in ("at", "s_key", "s_twin", "s_at"))
-            at, there, twin = at.to_numpy(), there.to_numpy(), twin.to_numpy()
-            order = np.argsort(at, kind="stable")
-            at, there, twin = at[order], there[order], twin[order]
-            codes = source.dictionary_encode().indices.to_numpy(zero_copy_only=False)[order]
-            size = at & ((1 << _SIZE_BITS) - 1)
-            start, origin = at >> _SIZE_BITS, there >> _SIZE_BITS
-            new = np.ones(len(at), bool)
-            new[1:] = (codes[1:] != codes[:-1]) | (twin[1:] != twin[:-1]) | (start[1:] != start[:-1] + size[:-1]) | (origin[1:] != origin[:-1] + size[:-1])
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(at)) - 1
-            stop = (start + size)[last]
-            owners.append(np.full(len(first), i))
-            found.append((start[first], stop, source.take(pa.array(order[first])), twin[first], origin[first]))
-        if owners:
-            rows = pa.array(np.concatenate(owners))
-            start, stop, twin, origin = (pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1, 3, 4))
-            source = pa.concat_arrays([f[2] for f in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), start, stop, source, twin, origin], ["key", "twin", "start", "stop", "s_key", "s_twin", "s_start"])
+def _runs(least_words: int):
+    """(key, twin, met) to a row for each run of chunks that stand one after the other in one source.
+
+    Known chunks that follow each other, from whatever sources, with the few before in which
+    cuts settle and the one after are all that a match can cover: were further ones in
+    it, they would be known as well. Where these hold too few words, there is no run.
+    """
+    names = ["key", "twin", "start", "stop", "s_key", "s_twin", "s_start"]
+
+    def of(met: pa.StructArray) -> tuple:
+        at, source, twin, there = (met.field(k) for k in ("at", "s_key", "s_twin", "s_at"))
+        order = np.unique(at.to_numpy(), return_index=True)[1]  # rows may repeat
+        at, there, twin = (x.to_numpy()[order] for x in (at, there, twin))
+        codes = source.dictionary_encode().indices.to_numpy(zero_copy_only=False)[order]
+        before, own, after = (at >> k * _WORD_BITS & MANY for k in (2, 1, 0))
+        at, there = at >> 3 * _WORD_BITS, there >> 3 * _WORD_BITS
+        size = at & ((1 << _SIZE_BITS) - 1)
+        start, origin = at >> _SIZE_BITS, there >> _SIZE_BITS
+        apart = np.ones(len(at), bool)
+        apart[1:] = start[1:] != start[:-1] + size[:-1]
+        head = np.flatnonzero(apart)
+        tail = np.append(head[1:], len(at)) - 1
+        words = np.add.reduceat(np.where(own == MANY, 1 << 30, own), head)
+        words += np.where(before[head] == MANY, 1 << 30, before[head]) + np.where(after[tail] == MANY, 1 << 30, after[tail])
+        enough = np.repeat(words >= least_words, tail - head + 1)
+        new = apart.copy()
+        new[1:] |= (codes[1:] != codes[:-1]) | (twin[1:] != twin[:-1]) | (origin[1:] != origin[:-1] + size[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1
+        first, last = first[enough[first]], last[enough[first]]
+        return start[first], (start + size)[last], source.take(pa.array(order[first])), twin[first], origin[first]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [of(met.values) for met in batch.column(2)]
+            if found:
+                rows = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+                start, stop, twin, origin = (pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1, 3, 4))
+                source = pa.concat_arrays([f[2] for f in found])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), start, stop, source, twin, origin], names)
+
+    return run
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +300,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, least_words: int = LEAS
     no spans. Keys may be of any type with an order; other columns are not read.
 
     Chunks are cut where a gear hash of the last bytes says so, so an insertion moves
-    only the cuts near it. Each digest (96 bits) keeps the first document that holds it, with the
+    only the cuts near it. Each digest keeps the first document that holds it, with the
     place there; this table is aggregated in every task first, written, and joined to
     the chunks in a sort-merge join whose large partitions Spark splits, so a passage that a third of all documents
     share burdens no single task. Chunks that follow each other here and in one source are a run;
@@ -282,11 +312,11 @@ def repeated_spans(docs: DataFrame, key: str, text: str, least_words: int = LEAS
     own = docs.select(F.col(key).alias("key"), _twin(docs, key, text).alias("twin"), F.col(text).alias("text"))
     own = own.filter(F.col("key").isNotNull() & (F.octet_length("text") >= LEAST_RUN))
     kind = docs.schema[key].dataType.simpleString()
-    pieces = own.mapInArrow(_pieces, f"key {kind}, twin long, h1 long, h2 int, at long")
-    first = pieces.groupBy("h1", "h2").agg(F.min(F.struct("key", "twin", "at")).alias("s"), F.max("key").alias("last")).filter("s.key < last")
-    first = staged(first.select("h1", "h2", F.col("s.key").alias("s_key"), F.col("s.twin").alias("s_twin"), F.col("s.at").alias("s_at")), "first-chunks")
-    met = pieces.join(first, ["h1", "h2"]).filter("s_key < key").groupBy("key", "twin").agg(F.collect_list(F.struct("at", "s_key", "s_twin", "s_at")).alias("met"))
-    runs = staged(met.mapInArrow(_runs, f"key {kind}, twin long, start long, stop long, s_key {kind}, s_twin long, s_start long"), "runs")
+    pieces = own.mapInArrow(_pieces, f"key {kind}, twin long, h long, at long")
+    first = pieces.groupBy("h").agg(F.min(F.struct("key", "twin", "at")).alias("s"), F.max("key").alias("last")).filter("s.key < last")
+    first = staged(first.select("h", F.col("s.key").alias("s_key"), F.col("s.twin").alias("s_twin"), F.col("s.at").alias("s_at")), "first-chunks")
+    met = pieces.join(first, "h").filter("s_key < key").groupBy("key", "twin").agg(F.collect_list(F.struct("at", "s_key", "s_twin", "s_at")).alias("met"))
+    runs = staged(met.mapInArrow(_runs(least_words), f"key {kind}, twin long, start long, stop long, s_key {kind}, s_twin long, s_start long"), "runs")
 
     s_stop = F.col("s_start") + F.col("stop") - F.col("start")
     wanted = runs.select("s_key", "s_twin", F.explode(F.array(F.col("s_start") * 2, s_stop * 2 + 1)).alias("code"))
