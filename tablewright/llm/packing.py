@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablewright.llm.text import release
 from tablewright.sources.workspace import scratch_path
 
 CAPACITY = 2048
@@ -21,8 +22,8 @@ CAPACITY = 2048
 END_ID = 1
 #: A rest of at most CAPACITY / 32 ids is not cut any more: at least 32 of its class share a sequence, so little is lost.
 LAST_CLASS = 32
-#: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 1 << 20
+#: Pre-tokens whose ids a task remembers.
+REMEMBERED = 1 << 18
 #: Pieces of a class are numbered in parts of about this many, side by side.
 PIECES_PER_PART = 200_000
 
@@ -51,17 +52,18 @@ class WordIds:
     """Ids of texts by a word-level BPE of the `tokenizers` library, remembered by pre-token.
 
     The tokenizer splits a text into pre-tokens and encodes each by itself. Texts
-    whose lower-case characters are all up to U+024F are split here by the same rule; all others are
-    given to the tokenizer whole. `encode_special_tokens` makes the special tokens'
-    strings in a text ordinary text.
+    whose lower-case characters are all up to U+024F are split here by the same rule; all others,
+    and texts that hold the string of a token added to the vocabulary, are given to the
+    tokenizer whole, which makes such a string that token.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
         self.known: dict[str, bytes] = {}
         letters = "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == "L")
         numbers = "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == "N")
@@ -72,7 +74,7 @@ class WordIds:
     def __call__(self, text: str) -> bytes:
         """The ids as unsigned 32-bit little-endian numbers."""
         lower = text.lower()
-        if self.odd.search(lower):
+        if self.odd.search(lower) or self.added.search(text):
             return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         found = self.split.findall(lower)
         known = self.known
@@ -138,6 +140,8 @@ def tokenized(docs: DataFrame, key: str, text: str, path: str, ids: bool = True)
                     size = 0
             if row:
                 yield out()
+        encode.known.clear()
+        release()
 
     schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
     return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, schema)

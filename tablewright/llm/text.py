@@ -7,6 +7,8 @@ a character. Hashes are of the bytes with A-Z lower-cased.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from functools import cache
 
@@ -57,6 +59,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def release() -> None:
+    """Hands free memory back when a task ends; Spark keeps its Python processes for the next ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and where each begins, with one more offset for the end. Null is empty."""
     if column.null_count:

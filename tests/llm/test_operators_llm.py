@@ -122,7 +122,6 @@ def test_packing(odd, none):
 
     path = queries.tokenizer_path()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     got = packing.pack(odd, "doc_id", "text", path).toPandas()
     texts = {r["doc_id"]: r["text"] for r in odd.collect()}
     assert len(got[(got.doc_id == 6) & (got.start == 0)]) == 2
@@ -141,12 +140,14 @@ def test_word_ids_equal_the_tokenizer():
 
     path = queries.tokenizer_path()
     words, tokenizer = packing.WordIds(path), Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rng = random.Random(7)
     kinds = ["".join(map(chr, range(32, 127))), "".join(map(chr, range(0xA0, 0x250))), "\t\n\r\x0b\x0c \xa0'sdlmtrv", "".join(map(chr, range(0x250, 0x3000)))]
     for k in range(600):
         t = "".join(rng.choice(rng.choice(kinds[: 3 + (k % 3 == 0)])) for _ in range(40))
         assert words(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+    for t in ("abc <|endoftext|> def", "<|startoftext|>x<|endoftext|>", "<|EndOfText|> <|endoftext", "<| endoftext |>"):
+        assert words(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    assert 49407 in np.frombuffer(words("abc <|endoftext|> def"), "<u4")
 
 
 def brute_components(n, links):
