@@ -1,19 +1,22 @@
 """CSV scan: encoding, header, record shape and column types.
 
 Files are probed as plain lines first. That scan is splittable and tells per
-file how it is encoded and whether any line leaves a quote open. Only files
-with records that span lines need Spark's whole-file CSV mode; all others are
-read in splits.
+file how it is encoded and whether any line leaves a quote open. All files are
+read in splits, those with records that span lines by way of `records`; only UTF-16 and UTF-32 need
+Spark's whole-file CSV mode.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import batches, col, is_text, quoted
+from .records import read_records
 
 # The texts that mean "missing" in a CSV field.
 NA_TOKENS = [
@@ -157,29 +160,61 @@ def scan_csv(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
         encoding = encodings.pop()
     if not found.same_header:
         raise ValueError(f"files at {path!r} have different headers; scan them apart")
+    if found.spans_lines and encoding not in ("UTF-16", "UTF-32"):
+        names, strict, rows = _read_spanning(spark, path, encoding)
+    else:
+        names, strict, rows = _read_lines(spark, path, encoding)
+    types, too_long = _inferred(strict, names, _is_too_long(len(names)))
+    if too_long:
+        raise ValueError(f"{too_long} record(s) at {path!r} have more than {len(names)} fields")
+    return _typed(rows, types)
+
+
+# A quoted field doubles its quotes; Spark's own default is a backslash.
+_OPTIONS = {"quote": '"', "escape": '"', "columnNameOfCorruptRecord": _BROKEN}
+
+
+def _read_lines(spark: SparkSession, path: str, encoding: str) -> tuple[list[str], DataFrame, DataFrame]:
+    """Column names, the rows as texts with their broken records, and the rows as texts, by Spark's CSV reader."""
     # Spark's reader does not take windows-1252; it differs from ISO-8859-1 in 27 characters only.
     windows = encoding == "windows-1252"
-    # A quoted field doubles its quotes; Spark's own default is a backslash.
-    options = {
-        "encoding": "ISO-8859-1" if windows else encoding,
-        "multiLine": bool(found.spans_lines),
-        "quote": '"',
-        "escape": '"',
-        "columnNameOfCorruptRecord": _BROKEN,
-    }
+    options = _OPTIONS | {"encoding": "ISO-8859-1" if windows else encoding, "multiLine": encoding in ("UTF-16", "UTF-32")}
     header = list(spark.read.options(header=False, **options).csv(path).first())
     names = header_names([h and h.translate(WINDOWS_1252) for h in header] if windows else header)
     fields = [T.StructField(n, T.StringType()) for n in names]
     reader = spark.read.options(header=True, **options)
     strict = reader.schema(T.StructType([*fields, T.StructField(_BROKEN, T.StringType())])).csv(path)
-    types, too_long = _inferred(strict, names, _is_too_long(len(names)))
-    if too_long:
-        raise ValueError(f"{too_long} record(s) at {path!r} have more than {len(names)} fields")
     rows = reader.schema(T.StructType(fields)).csv(path)
     if windows:
         old, new = "".join(map(chr, WINDOWS_1252)), "".join(WINDOWS_1252.values())
         rows = rows.select(*[F.translate(col(n), old, new).alias(n) for n in names])
-    return _typed(rows, types)
+    return names, strict, rows
+
+
+def _read_spanning(spark: SparkSession, path: str, encoding: str) -> tuple[list[str], DataFrame, DataFrame]:
+    """The same for records that span lines."""
+
+    def windows(raw: bytes) -> str:
+        return raw.decode("ISO-8859-1").translate(WINDOWS_1252)
+
+    records = read_records(spark, path, encoding, windows if encoding == "windows-1252" else None)
+    first = records.filter("first").select("record").distinct().limit(2).collect()
+    if len(first) != 1:
+        raise ValueError(f"files at {path!r} have different headers; scan them apart")
+    line = spark.createDataFrame(first)
+    width = first[0]["record"].count(",") + 1  # no more, as some commas may be quoted
+    texts = ", ".join(f"c{i} string" for i in range(width))
+    found = line.select(F.from_csv("record", texts, _OPTIONS | {"mode": "PERMISSIVE"}).alias("r")).select("r.*").first()
+    size = _fields(first[0]["record"])
+    names = header_names(list(found)[:size])
+    kinds = ", ".join(f"c{i} string" for i in range(size))
+    parsed = records.filter("not first").select(F.from_csv("record", f"{kinds}, {_BROKEN} string", _OPTIONS).alias("r"))
+    values = [F.col("r").getField(f"c{i}").alias(n) for i, n in enumerate(names)]
+    return names, parsed.select(*values, F.col("r").getField(_BROKEN).alias(_BROKEN)), parsed.select(*values)
+
+
+def _fields(record: str) -> int:
+    return len(re.sub(r'"(?:[^"]|"")*"', "", record).split(","))
 
 
 def infer_types(df: DataFrame) -> DataFrame:
