@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tablewright.operators import features as X
+from tablewright.operators import kernels as K
 from tablewright.operators.evaluation import eval_classification as report
 from tablewright.operators.evaluation import eval_regression as errors
 from tablewright.operators.models import select_model as choose
@@ -154,6 +155,33 @@ def eval_regression(spark, sf):
     return errors(pairs).withColumns({c: rounded(c) for c in ("mae", "mse", "r2")})
 
 
+_WEIGHTS, _PHASES = K.draw(2, 0.5, 3)
+_FOURIER = ", ".join(
+    f"round(sqrt(2.0 / 3) * cos({float(w[0])!r} * a + {float(w[1])!r} * b + {float(p)!r}), 6) + 0.0 AS z{i}"
+    for i, (w, p) in enumerate(zip(_WEIGHTS.T, _PHASES, strict=True))
+)
+
+
+@query(f"SELECT p_partkey, {_FOURIER} FROM (SELECT p_partkey, p_size / 50.0 AS a, p_retailprice / 1000.0 AS b FROM part)")
+def fourier_features(spark, sf):
+    """Features of a radial basis kernel with gamma 0.5 for two columns."""
+    parts = table(spark, sf, "part").select("p_partkey", F.array(F.col("p_size") / 50.0, F.col("p_retailprice") / 1000.0).alias("v"))
+    mapped = K.fourier_features(parts.withColumn("v", array_to_vector("v")), "v", gamma=0.5, features=3).transform(
+        parts.withColumn("v", array_to_vector("v"))
+    )
+    values = mapped.withColumn("v", vector_to_array("v"))
+    return values.select("p_partkey", *[rounded(F.get("v", F.lit(i))).alias(f"z{i}") for i in range(3)])
+
+
+@query()
+def class_probabilities(spark, sf):
+    """The chance of each quality for every labelled document, by the small classifier."""
+    labels = _labels(spark, sf)
+    predictor, _ = P.fit_predict(labels, "quality", "classification", model="small")
+    found = P.probabilities(predictor, labels.drop("quality"))
+    return found.select("doc_id", F.explode("probabilities").alias("p")).select("doc_id", "p.class", rounded("p.probability").alias("probability"))
+
+
 def _lines(df, columns):
     """The table's own feature columns as comma-separated texts."""
     fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
@@ -180,12 +208,12 @@ def _lineitems(spark, sf):
 
 @query()
 def model_small_classifier(spark, sf):
-    return P.evaluate(*P.fit_predict(_labels(spark, sf), "quality", "classification"))
+    return P.evaluate(*P.fit_predict(_labels(spark, sf), "quality", "classification", model="small"))
 
 
 @query()
 def model_small_regressor(spark, sf):
-    return P.evaluate(*P.fit_predict(_labels(spark, sf), "quality", "regression"))
+    return P.evaluate(*P.fit_predict(_labels(spark, sf), "quality", "regression", model="small"))
 
 
 @query()
@@ -220,9 +248,9 @@ def predict_rows(spark, sf):
        FROM (SELECT DISTINCT c_mktsegment FROM customer)"""
 )
 def label_mapping(spark, sf):
-    from tablewright.functions.ranking import sorted_codes
-
-    return sorted_codes(table(spark, sf, "customer"), "c_mktsegment")
+    customers = table(spark, sf, "customer").select("c_acctbal", "c_mktsegment")
+    predictor, _ = P.fit_predict(customers, "c_mktsegment", "classification", model="small", kernel="linear")
+    return P.label_mapping(predictor)
 
 
 @query()

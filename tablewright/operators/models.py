@@ -23,11 +23,27 @@ BOOSTING = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3, "seed": SEED}
 _BUCKETS = 1_000_000
 
 
+# The tiers that a caller may name.
+TIERS = ("large", "middle", "small")
+
+
+def tier_rows(rows: int, model: str | None) -> int:
+    """The number of rows that decides the model: that of the table, or one of the tier that the caller names."""
+    if model is None:
+        return rows
+    if model not in TIERS:
+        raise ValueError(f"unknown model {model!r}; use one of {TIERS}")
+    return min(rows, SMALL_ROWS) if model == "small" else max(SMALL_ROWS + 1, min(rows, MIDDLE_ROWS)) if model == "middle" else max(rows, MIDDLE_ROWS + 1)
+
+
 def select_classifier(rows: int, classes: int = 2) -> Estimator:
-    """Linear support vectors, a random forest or boosted trees, by the number of rows."""
+    """Support vectors, a random forest or boosted trees, by the number of rows.
+
+    The support vectors are linear in the features that they are given; see `kernels` for a radial basis.
+    """
     if rows <= SMALL_ROWS:
         # The usual penalty C = 1 on the sum of losses is 1 / rows on their mean.
-        model = LinearSVC(regParam=1.0 / max(rows, 1), tol=1e-3)
+        model = LinearSVC(regParam=1.0 / max(rows, 1), tol=1e-2, maxIter=20)
     elif rows <= MIDDLE_ROWS:
         return RandomForestClassifier(**FOREST)
     else:

@@ -6,15 +6,18 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Model
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col, field, is_numeric, is_text
 from ..functions.ranking import sorted_codes
+from ..operators import models
 from ..operators.evaluation import eval_classification, eval_regression
 from ..operators.features import fit_features, with_codes
-from ..operators.models import select_model, train_test_split
+from ..operators.kernels import Platt, calibrated, fourier_features
+from ..operators.models import select_model, tier_rows, train_test_split
 from ..sources.workspace import ensure_checkpoint_dir
 
 # A classifier keeps statistics per class on the driver.
@@ -33,6 +36,7 @@ class Predictor:
     features: PipelineModel
     model: Model
     codes: DataFrame | None
+    platt: Platt | None = None
 
     def score(self, df: DataFrame) -> DataFrame:
         """The rows with the model's `prediction`."""
@@ -44,7 +48,18 @@ class Predictor:
         # The row travels apart, so that no column of it can be taken for the model's own.
         row = F.struct(*[col(c) for c in df.columns]).alias("tw_row")
         ready = self.features.transform(df).select(row, F.col(VECTOR).alias("features"))
-        return self.model.transform(ready).select("tw_row", F.col("prediction").cast("double").alias("prediction"))
+        scored = self.model.transform(ready)
+        out = ["tw_row", F.col("prediction").cast("double").alias("prediction")]
+        if self.task == "classification":
+            if self.platt is not None:
+                out.append(self.platt.probabilities(F.col("rawPrediction")).alias("probabilities"))
+            elif "probability" in scored.columns:
+                out.append(vector_to_array("probability").alias("probabilities"))
+            else:  # boosting of one class against the rest gives scores
+                odds = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-2 * x)))
+                total = F.aggregate(odds, F.lit(0.0), lambda s, x: s + x)
+                out.append(F.transform(odds, lambda x: x / total).alias("probabilities"))
+        return scored.select(*out)
 
 
 @dataclass(frozen=True)
@@ -56,9 +71,17 @@ class Prediction:
 
 
 def fit_predict(
-    df: DataFrame, target: str, task: str, key: str | list[str] | None = None
+    df: DataFrame, target: str, task: str, key: str | list[str] | None = None, model: str | None = None, kernel: str = "rbf"
 ) -> tuple[Predictor, DataFrame]:
-    """Fit on the training part; (predictor, `target`, `label` and `prediction` of the test part)."""
+    """Fit on the training part; (predictor, `target`, `label` and `prediction` of the test part).
+
+    `model` names the tier ("small", "middle", "large") instead of the number of rows.
+    The small classifier separates by a radial basis kernel, or by planes with
+    `kernel="linear"`; its probabilities are calibrated on rows that its fit has not seen.
+    """
+    if kernel not in ("rbf", "linear"):
+        raise ValueError(f"unknown kernel {kernel!r}; use 'rbf' or 'linear'")
+    tier_rows(0, model)
     select_model(task, 0)  # refuse an unknown task before any work
     ensure_checkpoint_dir(df.sparkSession)
     rows, known = df.agg(F.count("*"), F.count(col(target))).first()
@@ -82,9 +105,20 @@ def fit_predict(
         return with_codes(part, target, codes, LABEL).withColumn(LABEL, F.col(LABEL).cast("double"))
 
     ready = features.transform(labelled(train)).select(F.col(VECTOR).alias("features"), F.col(LABEL).alias("label"))
-    model = select_model(task, rows, classes).fit(ready)
+    size = tier_rows(rows, model)
+    estimator, platt = select_model(task, size, classes), None
+    if task == "classification" and size <= models.SMALL_ROWS:
+        if kernel == "rbf":
+            spread = fourier_features(features.transform(train), VECTOR)
+            features = PipelineModel([features, spread])
+            ready = features.transform(labelled(train)).select(F.col(VECTOR).alias("features"), F.col(LABEL).alias("label"))
+        # Read once for each step of each fit. At most SMALL_ROWS rows are one part.
+        ready = (ready.coalesce(1) if rows <= models.SMALL_ROWS else ready).checkpoint()
+        fitted, platt = calibrated(estimator, ready, classes)
+    else:
+        fitted = estimator.fit(ready)
     inputs = T.StructType([f for f in df.schema.fields if f.name != target])
-    predictor = Predictor(target, task, inputs, features, model, codes)
+    predictor = Predictor(target, task, inputs, features, fitted, codes, platt)
     scored = predictor._predicted(labelled(test)).select(
         F.col("tw_row").getField(target).alias("target"),
         F.col("tw_row").getField(LABEL).alias("label"),
@@ -161,14 +195,29 @@ def _parsed(i: int, f: T.StructField) -> Column:
     return _field(i).try_cast(f.dataType).alias(f.name)
 
 
+def probabilities(predictor: Predictor, df: DataFrame) -> DataFrame:
+    """The rows with `probabilities`: for each class its name and share, most likely first; equal ones by code."""
+    if predictor.task != "classification":
+        raise ValueError("only a classifier has probabilities")
+    scored = predictor._predicted(df).select(F.col("tw_row"), F.transform("probabilities", lambda p, k: F.struct((-p).alias("away"), k.alias("code"))).alias("all"))
+    # At most MODEL_CLASSES names.
+    names = {r["code"]: r["category"] for r in predictor.codes.collect()}
+    kind = predictor.codes.schema["category"].dataType
+    named = F.create_map(*[x for k, v in sorted(names.items()) for x in (F.lit(k).cast("int"), F.lit(v).cast(kind))])
+    each = F.transform(F.array_sort("all"), lambda x: F.struct(F.element_at(named, x["code"]).alias("class"), (-x["away"]).alias("probability")))
+    return scored.select("tw_row.*", each.alias("probabilities"))
+
+
 def label_mapping(predictor: Predictor) -> DataFrame | None:
     """(category, code) of an encoded target; None if it was not encoded."""
     return predictor.codes
 
 
-def prediction(df: DataFrame, target: str, task: str, rows: DataFrame, key: str | list[str] | None = None) -> Prediction:
+def prediction(
+    df: DataFrame, target: str, task: str, rows: DataFrame, key: str | list[str] | None = None, model: str | None = None
+) -> Prediction:
     """The whole flow: split, fit, evaluate, predict `rows`, name the classes."""
-    predictor, scored = fit_predict(df, target, task, key)
+    predictor, scored = fit_predict(df, target, task, key, model)
     return Prediction(
         predictor, evaluate(predictor, scored), predict_rows(predictor, rows), label_mapping(predictor)
     )
