@@ -249,7 +249,7 @@ def predict_rows(spark, sf):
 )
 def label_mapping(spark, sf):
     customers = table(spark, sf, "customer").select("c_acctbal", "c_mktsegment")
-    predictor, _ = P.fit_predict(customers, "c_mktsegment", "classification", model="small", kernel="linear")
+    predictor, _ = P.fit_predict(customers, "c_mktsegment", "regression", model="small")
     return P.label_mapping(predictor)
 
 
