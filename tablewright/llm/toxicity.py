@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.text import LETTERS_DIGITS, blocks, flat, mix, words
+from tablewright.llm.text import LETTERS_DIGITS, blocks, flat, mix, release, words
 
 #: Rows that the model is learned from: bounded samples, chosen by a hash of the id.
 LABELLED_ROWS, OTHER_ROWS = 20_000, 5_000
@@ -31,6 +31,8 @@ RELATED = 0.1
 THRESHOLD = 0.3
 
 _FILTER_BITS = 22
+#: Bytes of texts looked at together.
+STEP = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -69,6 +71,7 @@ class Toxicity:
                     z.append(np.bincount(text_of, total[place, level], n))
                 p = 1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *z]) + bias, -40, 40)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "__score"])
+            release()
 
         return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
 
@@ -84,7 +87,7 @@ class _Known:
     def batch(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
         """For each block of texts: places in the list, the text's number, the level reached, and the number of texts."""
         data, at = flat(texts)
-        for lo, hi in blocks(at):
+        for lo, hi in blocks(at, STEP):
             ids, owner = _features(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
             some = self.maybe[ids >> np.uint64(64 - _FILTER_BITS)]
             ids, owner = ids[some], owner[some]
@@ -142,7 +145,7 @@ def _told(labelled: DataFrame, toxic: int, other: int) -> tuple[np.ndarray, np.n
         for batch in batches:
             data, at = flat(batch.column(0))
             y = batch.column(1).to_numpy(zero_copy_only=False) == 1
-            for lo, hi in blocks(at):
+            for lo, hi in blocks(at, STEP):
                 ids, owner = _features(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 order = np.lexsort((ids, owner))
                 ids, owner = ids[order], owner[order]
@@ -151,6 +154,7 @@ def _told(labelled: DataFrame, toxic: int, other: int) -> tuple[np.ndarray, np.n
                 feature, back = np.unique(ids[head], return_inverse=True)
                 sums = [np.bincount(back, x & (times >= level), len(feature)).astype(np.int64) for level in LEVELS for x in (bad, np.ones_like(bad))]
                 yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), *map(pa.array, sums)], ["id", *columns])
+        release()
 
     counted = labelled.select("text", "toxic").mapInArrow(run, "id long, " + ", ".join(f"{c} long" for c in columns))
     counted = counted.groupBy("id").agg(*[F.sum(c).alias(c) for c in columns]).filter("n1 >= 4")
