@@ -54,7 +54,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: A learned model, a rolling hash and a tokenizer are no SQL; tests compare with brute force instead.
+#: A learned model, a rolling hash and a tokenizer are no SQL. Tests hold each stage's operator against plain versions, not yet the whole run.
 ORACLE_SQL: str | None = None
 
 
