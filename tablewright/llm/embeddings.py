@@ -23,6 +23,8 @@ BLOCK = 1024
 ASSIGN_ROWS = 20_000
 #: Vectors whose distances from all cells are held together.
 STEP = 2_000
+#: What names a vector inside a label: its smallest key, and two hashes, as one key may stand for several vectors.
+NAME = ["rep", "h1", "h2"]
 
 
 def near_duplicates(rows: DataFrame, key: str, vector: str, label: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -32,7 +34,8 @@ def near_duplicates(rows: DataFrame, key: str, vector: str, label: str, threshol
     A vector that is null or empty, has null or non-finite components or length 0, or
     whose label is null, is linked with nothing. `component` is the smallest key that
     links reach; the vector with it is kept. Rows repeated under one key are vectors
-    of their own that link with each other.
+    of their own, equal or not, in one label or several. Keys are of any type that has
+    an order and that pandas can hold.
 
     Equal vectors become one first. Cells are fitted by spherical k-means on a bounded
     sample of each label; each vector goes to its nearest cell and as a guest to all
@@ -49,13 +52,14 @@ def near_duplicates(rows: DataFrame, key: str, vector: str, label: str, threshol
     good = own.filter("usable")
     same = good.groupBy("label", "h1", "h2").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
     reps = good.withColumnRenamed("key", "rep").join(same, ["rep", "label", "h1", "h2"])
-    reps = reps.groupBy("rep", "label", F.size("v").alias("width")).agg(F.first("v").alias("v"), F.first("copies").alias("copies"))
+    reps = reps.groupBy(*NAME, "label", F.size("v").alias("width")).agg(F.first("v").alias("v"), F.first("copies").alias("copies"))
     reps = staged(reps, "vectors")
     compared = staged(_compared(_cells(reps, threshold), threshold), "compared")
     # Copies link with each other whatever the threshold.
-    counts = compared.groupBy("rep").agg(F.sum("n").alias("n"))
-    reached = components(compared.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = same.join(counts, "rep", "left").join(reached.withColumnRenamed("node", "rep"), "rep", "left")
+    counts = compared.groupBy(*NAME, "label").agg(F.sum("n").alias("n"))
+    ends = [F.struct(*[F.col(prefix + c).alias(c) for c in NAME], "label") for prefix in ("", "root_")]
+    reached = components(compared.select(ends[0].alias("a"), ends[1].alias("b"))).select("node.*", F.col("component.rep").alias("component"))
+    known = same.join(counts, [*NAME, "label"], "left").join(reached, [*NAME, "label"], "left")
     known = known.select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     linked = good.join(known, ["label", "h1", "h2"]).select("key", "n_links", "component")
     alone = own.filter(~F.col("usable")).select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component"))
@@ -105,10 +109,10 @@ def _cells(reps: DataFrame, threshold: float) -> DataFrame:
     sizes = sizes.withColumn("salts", F.ceil(F.col("total") / ASSIGN_ROWS).cast("int"))
     sized = reps.join(sizes, ["label", "width"])
     share = FIT_ROWS / F.col("total")
-    sample = sized.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < share * (1 << 20))
+    sample = sized.filter(F.pmod(F.xxhash64(*NAME), F.lit(1 << 20)) < share * (1 << 20))
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rep", ignore_index=True)
+        rows = rows.sort_values(NAME, ignore_index=True)
         # The sample is bounded, so this many cells are all that it can tell apart.
         cells = int(min(max(LEAST_CELLS, -(-rows["total"].iloc[0] // CELL)), max(1, len(rows) // 10)))
         centres = fit(_unit(rows["v"]), cells)
@@ -119,7 +123,7 @@ def _cells(reps: DataFrame, threshold: float) -> DataFrame:
     # Written, so that all tasks see the same centres.
     centres = staged(sample.groupBy("label", "width").applyInPandas(fitted, f"label {label}, width int, salts int, centres array<double>"), "centres")
     centres = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    salted = sized.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(2)), "salts").cast("int"))
+    salted = sized.withColumn("salt", F.pmod(F.xxhash64(*NAME, F.lit(2)), "salts").cast("int"))
 
     def assigned(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
@@ -136,33 +140,34 @@ def _cells(reps: DataFrame, threshold: float) -> DataFrame:
                 homes[lo : lo + STEP] = home
                 visits = may_meet(unit, centres, home, threshold) & host[home]
                 guests[lo : lo + STEP] = [np.flatnonzero(x).astype(np.int32).tolist() for x in visits]
-        return rows[["label", "width", "rep", "copies", "v"]].assign(home=homes, guests=guests)[columns]
+        return rows[["label", "width", *NAME, "copies", "v"]].assign(home=homes, guests=guests)[columns]
 
-    schema = f"label {label}, width int, home int, guests array<int>, rep long, copies long, v array<double>"
+    kind = reps.schema["rep"].dataType.simpleString()
+    schema = f"label {label}, width int, home int, guests array<int>, rep {kind}, h1 long, h2 long, copies long, v array<double>"
     keys = ["label", "width", "salt"]
     columns = [c.split()[0] for c in schema.split(", ")]
     return salted.groupBy(*keys).cogroup(centres.groupBy(*keys)).applyInPandas(assigned, schema)
 
 
 def _compared(cells: DataFrame, threshold: float) -> DataFrame:
-    """(rep, n, root) from each task: linked vectors counted with their copies, and the smallest one reached inside the task."""
+    """(rep, h1, h2, n, root_rep, root_h1, root_h2, label) from each task: linked vectors counted with their copies, and the smallest one reached inside the task."""
     cells = staged(cells, "cells")
     visits = cells.withColumn("cell", F.explode(F.concat(F.array("home"), "guests"))).withColumn("here", F.col("cell") == F.col("home"))
     blocks = [F.ceil(F.count(F.when(x, 1)) / BLOCK).cast("int") for x in (F.col("here"), ~F.col("here"))]
     size = visits.groupBy("label", "width", "cell").agg(blocks[0].alias("own"), blocks[1].alias("guest"))
     dealt = visits.join(size, ["label", "width", "cell"])
     # The cell's own blocks come first. They meet all blocks, guests only those.
-    drawn = F.xxhash64("rep", F.lit(4))
+    drawn = F.xxhash64(*NAME, F.lit(4))
     block = F.when(F.col("here"), F.pmod(drawn, F.greatest("own", F.lit(1)))).otherwise(F.col("own") + F.pmod(drawn, F.greatest("guest", F.lit(1))))
     met = F.col("own") + F.when(F.col("here"), F.col("guest")).otherwise(0)
     dealt = dealt.filter("own > 0").withColumns({"block": block.cast("int"), "other": F.explode(F.sequence(F.lit(0), met - 1))})
-    tasks = dealt.select("label", "width", "cell", "block", "rep", "copies", "v", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    tasks = dealt.select("label", "width", "cell", "block", *NAME, "copies", "v", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rep", ignore_index=True)
+        rows = rows.sort_values(NAME, ignore_index=True)
         unit = _unit(rows["v"])
         low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
-        block, rep = rows["block"].to_numpy(), rows["rep"].to_numpy()
+        block, name = rows["block"].to_numpy(), rows[NAME]
         a, b = (np.flatnonzero(block == x) for x in (low, high))
         i, j = np.nonzero(unit[a] @ unit[b].T >= threshold)
         p, q = a[i], b[j]
@@ -172,7 +177,7 @@ def _compared(cells: DataFrame, threshold: float) -> DataFrame:
         copies = rows["copies"].to_numpy()
         n = np.bincount(p, copies[q], len(rows)) + np.bincount(q, copies[p], len(rows))
         root = np.arange(len(rows))
-        while True:  # rows are in order of rep, so the smallest place is the smallest rep
+        while True:  # rows are in order of their names, so the smallest place is the smallest name
             least = np.minimum(root[p], root[q])
             new = root.copy()
             np.minimum.at(new, p, least)
@@ -182,6 +187,12 @@ def _compared(cells: DataFrame, threshold: float) -> DataFrame:
                 break
             root = new
         some = n > 0
-        return pd.DataFrame({"rep": rep[some], "n": n[some].astype(np.int64), "root": rep[root[some]]})
-
-    return tasks.groupBy("label", "width", "cell", "low", "high").applyInPandas(compare, "rep long, n long, root long")
+        found = name[some].reset_index(drop=True).assign(n=n[some].astype(np.int64))
+        for c in NAME:
+            found["root_" + c] = name[c].to_numpy()[root[some]]
+        return found.assign(label=rows["label"].iloc[0])[columns]
+
+    kinds = {c: tasks.schema[c].dataType.simpleString() for c in (*NAME, "label")}
+    schema = {**{c: kinds[c] for c in NAME}, "n": "long", **{"root_" + c: kinds[c] for c in NAME}, "label": kinds["label"]}
+    columns = list(schema)
+    return tasks.groupBy("label", "width", "cell", "low", "high").applyInPandas(compare, ", ".join(f"{c} {k}" for c, k in schema.items()))

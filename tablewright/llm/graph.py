@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.sources.workspace import scratch_path
 
@@ -11,13 +12,16 @@ from tablewright.sources.workspace import scratch_path
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each end of the links (a, b); component is the smallest node that links reach.
 
+    Nodes are of any type that has an order, structs included; whole numbers become long.
     Alternates two steps until nothing changes: every node's larger neighbours,
     then every node's smaller ones, are tied to the smallest neighbour. Rounds grow
     with the logarithm of the longest chain. Each round is written to the shared
     folder, so lineage stays short and a lost executor costs one round.
     """
     spark = links.sparkSession
-    edges = links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
+    kind = links.schema["a"].dataType
+    kind = T.LongType() if isinstance(kind, T.IntegralType) else kind
+    edges = links.select(F.col("a").cast(kind), F.col("b").cast(kind)).filter("a <> b")
     edges = _written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(edges)
     while state[0]:
@@ -32,7 +36,7 @@ def components(links: DataFrame) -> DataFrame:
             break
         state = now
     if not state[0]:
-        return spark.createDataFrame([], "node long, component long")
+        return spark.createDataFrame([], T.StructType([T.StructField("node", kind), T.StructField("component", kind)]))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
