@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.sources.workspace import scratch_path
+from tablewright.sources.workspace import scratch_path, staged
 
 #: Payloads below this many bytes are always stored.
 LEAST_BYTES = 100
@@ -37,15 +37,16 @@ def resolve(records: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     records without an id, are responses too. A null payload is empty.
 
     Only (digest, id) are grouped by digest, combined before the shuffle; a digest
-    that a third of all records share is one row there. The join back to the headers
-    is a sort-merge join whose large partitions Spark splits. Payloads move once,
-    dealt out by id and digest, which no copies share.
+    that a third of all records share is one row there. Repeated digests are written
+    before the join back to the headers, so that no aggregate keeps Spark from
+    splitting its large partitions. Payloads move once, dealt out by id and digest,
+    which no copies share.
     """
     whole = records.select("id", "url", F.coalesce("payload", F.lit("")).alias("payload"))
     whole = whole.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     headers = whole.filter(F.col("payload_bytes") >= least_bytes).select("id", "payload_digest")
     first = headers.groupBy("payload_digest").agg(F.min("id").alias("refers_to"), F.max("id").alias("last")).filter("refers_to < last")
-    revisits = headers.join(first.drop("last"), "payload_digest").filter("id > refers_to").distinct()
+    revisits = headers.join(staged(first.drop("last"), "digests"), "payload_digest").filter("id > refers_to").distinct()
     joined = whole.join(revisits, ["id", "payload_digest"], "left")
     return joined.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
@@ -120,19 +121,28 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 def full_records(read: DataFrame) -> DataFrame:
     """Of `read_archives`, one row for each record: id, record_type, refers_to, and digest and length of the full payload.
 
-    A revisit takes both from the response it refers to, found by a join of headers
-    on the record id; responses repeated under one id count once there.
+    A revisit takes both from the response it refers to, found by a join of headers on
+    the record id and the digest that both state, so responses with different payloads
+    under one id are told apart; equal ones count once. A revisit without such a
+    response has neither. The headers are written first and so read from the archives
+    once; a response that a third of all records revisit is split by Spark.
     """
-    head = read.select(
-        _id("record_id").alias("id"), "record_type", _id("refers_to").alias("refers_to"), "payload_bytes", "payload_digest"
+    head = staged(
+        read.select(
+            _id("record_id").alias("id"), "record_type", _id("refers_to").alias("refers_to"), "stated_digest", "payload_bytes", "payload_digest"
+        ),
+        "headers",
     )
-    stored = head.filter("record_type = 'response'").drop("refers_to")
-    seen = stored.filter("id is not null").groupBy(F.col("id").alias("refers_to")).agg(
+    stored = head.filter("record_type = 'response'")
+    again = head.filter("record_type = 'revisit'").select("id", "record_type", "refers_to", "stated_digest")
+    asked = again.select(F.col("refers_to").alias("id"), "stated_digest").distinct()
+    seen = stored.join(asked, ["id", "stated_digest"]).groupBy(F.col("id").alias("refers_to"), "stated_digest").agg(
         F.min(F.struct("payload_bytes", "payload_digest")).alias("p")
     )
-    again = head.filter("record_type = 'revisit'").select("id", "record_type", "refers_to").join(seen, "refers_to", "left")
-    again = again.select("id", "record_type", "refers_to", F.col("p.payload_bytes").alias("payload_bytes"), F.col("p.payload_digest").alias("payload_digest"))
-    return stored.withColumn("refers_to", F.lit(None).cast("long")).unionByName(again)
+    again = again.join(staged(seen, "responses"), ["refers_to", "stated_digest"], "left")
+    again = again.select("id", "record_type", "refers_to", "p.payload_bytes", "p.payload_digest")
+    stored = stored.select("id", "record_type", F.lit(None).cast("long").alias("refers_to"), "payload_bytes", "payload_digest")
+    return stored.unionByName(again)
 
 
 def deduplicate(records: DataFrame, path: str | None = None) -> DataFrame:

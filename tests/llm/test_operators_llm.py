@@ -74,6 +74,20 @@ def test_warc_round_trip(frame, spark, tmp_path):
     assert warc.deduplicate(frame([], "id long, url string, payload string")).count() == 0
 
 
+def test_warc_one_id_with_two_payloads(frame):
+    pages = [(1, "u", "a" * 200), (1, "u", "b" * 150), (2, "u", "a" * 200), (3, "u", "b" * 150), (3, "u", "c" * 120)]
+    got = warc.deduplicate(frame([(*p, "extra") for p in pages], "id long, url string, payload string, record_type string"))
+    got = sorted((r["id"], r["payload_bytes"], r["record_type"], r["refers_to"], r["payload_digest"]) for r in got.collect())
+    digest = {len(p): hashlib.sha256(p.encode()).hexdigest() for _, _, p in pages}
+    assert got == [
+        (1, 150, "response", None, digest[150]),
+        (1, 200, "response", None, digest[200]),
+        (2, 200, "revisit", 1, digest[200]),
+        (3, 120, "response", None, digest[120]),
+        (3, 150, "revisit", 1, digest[150]),
+    ]
+
+
 def test_reputation(frame):
     pages = [(i, f"http://bad.x.com/{i}") for i in range(40)] + [(100 + i, f"http://Good.y.com/{i}?q") for i in range(40)]
     pages += [(200, "http://good.y.com/en/a#b"), (201, None), (202, "nothing"), (203, "x://com/"), (204, "a://b.co.uk"), (204, "a://b.co.uk")]
@@ -273,6 +287,16 @@ def test_embeddings(frame, monkeypatch):
     assert embeddings.near_duplicates(empty, "vec_id", "v", "label").count() == 0
 
 
+def test_embeddings_one_id_with_two_vectors(frame):
+    near, far = [0.01, 1.0], [1.0, 0.0]
+    data = [(1, far, 1), (1, [0.0, 1.0], 1), (3, near, 1), (4, far, 2), (1, near, 2), (1, far, 2), (5, [-1.0, 0.0], 2)]
+    got = embeddings.near_duplicates(frame(data, "vec_id long, v array<double>, label int"), "vec_id", "v", "label")
+    links = sorted((r["vec_id"], r["n_links"], r["component"], r["kept"]) for r in got.collect())
+    assert links == [(1, 0, 1, True), (1, 0, 1, True), (1, 1, 1, True), (1, 1, 1, True), (3, 1, 1, False), (4, 1, 1, False), (5, 0, 5, True)]
+    names = embeddings.near_duplicates(frame([(f"k{i}", v, str(l)) for i, v, l in data], "vec_id string, v array<double>, label string"), "vec_id", "v", "label")
+    assert sorted((r["vec_id"], r["n_links"], r["component"], r["kept"]) for r in names.collect()) == [(f"k{i}", n, f"k{c}", k) for i, n, c, k in links]
+
+
 def test_embeddings_lose_no_link_among_many_cells(frame, monkeypatch):
     monkeypatch.setattr(embeddings, "CELL", 20)
     monkeypatch.setattr(embeddings, "BLOCK", 30)
