@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from tablewright.operators import categories as CAT
 from tablewright.operators import features as X
 from tablewright.operators import kernels as K
 from tablewright.operators.evaluation import eval_classification as report
@@ -93,6 +94,25 @@ def assemble(spark, sf):
     return values.select("c_custkey", *[rounded(F.get("v", F.lit(i))).alias(f"f{i}") for i in range(width)])
 
 
+@query(
+    """WITH codes AS (
+        SELECT c_custkey, dense_rank() OVER (ORDER BY c_name) - 1 AS name,
+               dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS segment FROM customer),
+    sizes AS (SELECT count(DISTINCT c_name) AS names, count(DISTINCT c_mktsegment) AS segments FROM customer)
+    SELECT c_custkey, (names + segments)::INTEGER AS size, name::INTEGER AS first,
+           (names + segment)::INTEGER AS second, 2 AS ones
+    FROM codes, sizes"""
+)
+def encode_categories(spark, sf):
+    """Categories of any number: the index is joined, the vector sparse."""
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    encoded = CAT.encode_categories(customers, ["c_name", "c_mktsegment"])
+    parts = encoded.select("c_custkey", CAT.sparse_parts(F.col("categories")).alias("p"))
+    ones = F.aggregate("p.values", F.lit(0.0), lambda s, x: s + x).cast("int")
+    places = [F.get("p.indices", F.lit(i)).alias(name) for i, name in enumerate(("first", "second"))]
+    return parts.select("c_custkey", "p.size", *places, ones.alias("ones"))
+
+
 @query()
 def train_test_split(spark, sf):
     train, test = split(table(spark, sf, "orders"), key="o_orderkey")

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from ..functions.columns import batches, col, field, is_numeric, is_text, number, quoted
 from ..functions.quantiles import exact_quantiles
 from ..functions.ranking import LISTED_VALUES, sorted_codes
+from .categories import JoinedCategories, fit_categories
 
 # Fixed value: what a missing category becomes.
 MISSING = "missing"
 
-# The category index of a model is held by the driver and sent to every task.
+# A model whose columns have at most about so many categories each, and bytes of them, holds their
+# index on the driver; for more the index is a table. The vectors are the same.
 MODEL_CATEGORIES = 100_000
+MODEL_CATEGORY_BYTES = 32 << 20
 # Categories that may become columns of a table.
 WIDE_CATEGORIES = 1_000
 
@@ -134,11 +137,13 @@ def one_hot(df: DataFrame, columns: list[str], fitted: dict[str, list[str]] | No
 
 
 def fit_features(df: DataFrame, out: str = "features") -> PipelineModel:
-    """Fit the step from a table to a vector `out` of scaled numbers and one-hot categories."""
+    """Fit the step from a table to a vector `out` of scaled numbers and one-hot categories.
+
+    Categories stand in sorted order, whatever their number.
+    """
     kinds = feature_types(df)
     if not kinds.numeric and not kinds.categorical:
         raise ValueError("there is no numeric or text column to learn from")
-    _check_categories(df, kinds.categorical)
     medians = fit_median(df, kinds.numeric) if kinds.numeric else {}
     scales = fit_scale(df, kinds.numeric, medians) if kinds.numeric else {}
 
@@ -154,6 +159,9 @@ def fit_features(df: DataFrame, out: str = "features") -> PipelineModel:
     flags = [f"tw_flags{i}" for i in range(len(texts))]
 
     stages = [SQLTransformer(statement=f"SELECT {', '.join(prepared)} FROM __THIS__")]
+    if not _listed(df, kinds.categorical):
+        ready = stages[0].transform(df)
+        return PipelineModel([*stages, JoinedCategories(numbers, {c: fit_categories(ready, c) for c in texts}, out)])
     if texts:
         # An unseen category gets the extra index that the encoder drops: a zero vector.
         stages.append(
@@ -166,15 +174,23 @@ def fit_features(df: DataFrame, out: str = "features") -> PipelineModel:
     return Pipeline(stages=stages).fit(df)
 
 
-def _check_categories(df: DataFrame, columns: list[str]) -> None:
-    for chunk in batches(columns):
-        row = df.agg(*[F.approx_count_distinct(col(c)).alias(f"n{i}") for i, c in enumerate(chunk)]).first()
-        for c, n in zip(chunk, row, strict=True):
-            if n > MODEL_CATEGORIES:
-                raise ValueError(
-                    f"column {c!r} has about {n} categories; a model takes {MODEL_CATEGORIES}. "
-                    "Drop it or group its values."
-                )
+def _listed(df: DataFrame, columns: list[str]) -> bool:
+    """Whether the driver may hold the categories: about how many there are, times the longest.
+
+    An empty text cannot name an entry of a listed vector.
+    """
+    held = 0
+    for chunk in batches(columns, per_item=3):
+        sizes = [F.octet_length(col(c)) for c in chunk]
+        found = [
+            F.struct(F.approx_count_distinct(col(c)).alias("n"), F.max(s).alias("most"), F.min(s).alias("least"))
+            for c, s in zip(chunk, sizes, strict=True)
+        ]
+        for r in df.agg(*[f.alias(f"f{i}") for i, f in enumerate(found)]).first():
+            held += r["n"] * (r["most"] or 0)
+            if r["n"] > MODEL_CATEGORIES or r["least"] == 0 or held > MODEL_CATEGORY_BYTES:
+                return False
+    return True
 
 
 def assemble(df: DataFrame) -> DataFrame:
