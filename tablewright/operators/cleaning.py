@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.chained import chained_quartiles
 from ..functions.columns import batches, col, field, is_numeric, is_text, number, numbers, numeric_columns, present
 from ..functions.quantiles import DIRECT_ROWS, Guess, exact_quantiles, guess_quantiles
 from ..sources.workspace import staged
@@ -312,15 +313,20 @@ def _facts(df: DataFrame, names: list[str], at_most: int, guesses: dict[str, lis
 def fit_outliers(df: DataFrame, columns: list[str] | None = None, rows: int | None = None) -> OutlierFilter:
     """Fit the bounds column by column in schema order.
 
-    Each column's quartiles depend on what the earlier bounds kept. All columns
-    are read together; that is enough up to the first column whose bounds remove
-    a row. After it the columns left are read together on the rows left, and so
-    on: the readings grow with the columns that remove rows, not with all columns.
+    Each column's quartiles depend on what the earlier bounds kept. On large tables
+    all are found together, in a few scans however many columns remove rows. On
+    small ones, and if a guess of that way fails, all columns are read together;
+    that is enough up to the first column whose bounds remove a row. After it the
+    columns left are read together on the rows left, and so on.
     """
     names = numeric_columns(df) if columns is None else columns
     at_most = df.count() if rows is None else rows
     if not names:
         return OutlierFilter([], at_most)
+    if at_most > DIRECT_ROWS and len(set(names)) == len(names):
+        found = chained_quartiles(df, {c: _is_whole(df, c) for c in names}, at_most, IQR_FACTOR)
+        if found is not None:
+            return OutlierFilter([Bounds(c, q.rows, q.q1, q.q3, _is_whole(df, c)) for c, q in zip(names, found[0], strict=True)], found[1])
     guesses = {}
     if at_most > DIRECT_ROWS:
         guesses = guess_quantiles(df, {c: QUARTILES for c in names}, {c: at_most for c in names})
