@@ -15,6 +15,8 @@ from tablewright.llm.text import STEP, blocks, flat, mix
 UNKNOWN = "und"
 #: Labelled rows of each language that the filters are learned from: a bounded sample, chosen by a hash of the id.
 ROWS_PER_LANGUAGE = 2000
+#: Parts of a language that are sorted apart.
+PARTS = 64
 #: Bytes of an n-gram of the letters-only text.
 GRAM = 5
 #: A language's filter takes the n-grams in at least this share of its sampled texts,
@@ -89,12 +91,15 @@ def learn(docs: DataFrame, key: str, text: str, lang: str, rows_per_language: in
     """Filters from the rows whose language is not null.
 
     At most `rows_per_language` rows of each language are read, those with the
-    smallest hashes of `key`. The filter's size is fixed; only its slots, never
+    smallest hashes of `key`: first of each of `PARTS` parts of a language, so that a
+    language of a third of all rows is not sorted by one task. The filter's size is fixed; only its slots, never
     texts or n-grams, come to the driver.
     """
     labelled = docs.filter(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
-    chosen = labelled.distinct().withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rows_per_language)
+    chosen = labelled.distinct().withColumn("part", F.pmod(F.xxhash64("k", F.lit(5)), F.lit(PARTS)))
+    for within in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*within).orderBy(F.xxhash64("k"), "k")
+        chosen = chosen.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rows_per_language)
     sizes = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     width = max(1, -(-len(languages) // 64))
