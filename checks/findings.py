@@ -33,6 +33,26 @@ def correlations_gaps(spark, sf):
     return G.correlations(gaps).withColumn("r", rounded("r"))
 
 
+_GAPS = {f"{c}_{g}": f"CASE WHEN l_linenumber <> {g} THEN {c} END" for c in LINES[4:] for g in (1, 2)}
+
+
+@query(
+    "WITH w AS (SELECT "
+    + ", ".join([*LINES, *(f"{e} AS {c}" for c, e in _GAPS.items())])
+    + " FROM lineitem), t AS (SELECT "
+    + ", ".join(f"corr({a}, {b}) AS r{i}" for i, (a, b) in enumerate(combinations([*LINES, *_GAPS], 2)))
+    + " FROM w) "
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS x, '{b}' AS y, round(r{i}, 6) + 0.0 AS r FROM t"
+        for i, (a, b) in enumerate(combinations([*LINES, *_GAPS], 2))
+    )
+)
+def correlations_wide(spark, sf):
+    """120 pairs of 16 columns, half of them with gaps, in one scan."""
+    wide = table(spark, sf, "lineitem").selectExpr(*LINES, *(f"{e} AS {c}" for c, e in _GAPS.items()))
+    return G.correlations(wide).withColumn("r", rounded("r"))
+
+
 def _distribution(column: str, source: str) -> str:
     return f"""WITH m AS (SELECT count({column}) AS n, avg({column}) AS mean, median({column})::DOUBLE AS median,
                        stddev_pop({column}) AS std FROM {source}),

@@ -2,25 +2,77 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import batches, col, field, number, numbers, numeric_columns, present
+from ..functions.columns import AGGREGATES_PER_JOB, batches, col, field, number, numbers, numeric_columns, present
+from ..functions.gram import column_bounds, pair_sums
 from ..functions.moments import pearson
 from ..functions.quantiles import exact_group_quantile, exact_quantiles
+from ..sources.workspace import staged
 
 
 # Columns per block of pairs.
 BLOCK = 8
+# A spread that is left from sums so much larger has lost digits, and is computed anew.
+CANCELLED = 1e-6
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(x, y, r) for every pair of numeric columns, strongest first; r is null if one is constant."""
+    """(x, y, r) for every pair of numeric columns, strongest first; r is null if one is constant or infinite somewhere.
+
+    Where all pairs fit one aggregate, they are expressions of it. Beyond, one scan
+    finds means and ranges, and another adds up the products of all pairs.
+    """
     names = numeric_columns(df) if columns is None else columns
+    if len(names) < 2:
+        raise ValueError("correlations need two numeric columns")
     values = numbers(df, names)
+    pairs = _few_pairs(values, names) if len(names) * (len(names) - 1) // 2 <= AGGREGATES_PER_JOB else _many_pairs(values, names)
+    return pairs.orderBy(F.abs("r").desc_nulls_last(), "x", "y")
+
+
+def _many_pairs(values: DataFrame, names: list[str]) -> DataFrame:
+    found = {r["name"]: r for r in column_bounds(values).collect()}
+    usable = [c for c in names if c in found and found[c]["low"] < found[c]["high"] and math.isfinite(found[c]["mean"])]
+    scale = {c: max(found[c]["high"] - found[c]["mean"], found[c]["mean"] - found[c]["low"]) for c in usable}
+    usable = [c for c in usable if math.isfinite(scale[c])]
+    wanted = [(a, b) for a, b in combinations(names, 2) if not (a in scale and b in scale)]
+    spark = values.sparkSession
+    out = spark.createDataFrame([(a, b, None) for a, b in wanted], "x string, y string, r double")
+    if len(usable) < 2:
+        return out
+    sums = pair_sums(values.select(*map(col, usable)), {c: found[c]["mean"] for c in usable}, scale)
+    n = F.col("n")
+    spread = {c: F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}") / n for c in "xy"}
+    # Few rows of a pair may lie close together, and far from the mean of their column.
+    lost = (n > 1) & ((spread["x"] <= CANCELLED * F.col("sxx")) | (spread["y"] <= CANCELLED * F.col("syy")))
+    r = (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(spread["x"] * spread["y"])
+    known = F.when((n > 1) & ~lost, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    rated = staged(sums.select("x", "y", known.alias("r"), lost.alias("lost")), "correlations")
+    anew = [(row["x"], row["y"]) for row in rated.filter("lost").select("x", "y").collect()]
+    out = out.unionByName(rated.filter("NOT lost").drop("lost"))
+    # A pair without common rows has no sums at all.
+    alone = spark.createDataFrame(list(combinations(usable, 2)), "x string, y string").join(rated, ["x", "y"], "left_anti")
+    out = out.unionByName(alone.withColumn("r", F.lit(None).cast("double")))
+    for chunk in batches(anew, per_item=3):
+        out = out.unionByName(_as_rows(values, chunk, [pearson(col(a), col(b)) for a, b in chunk]))
+    return out
+
+
+def _as_rows(values: DataFrame, pairs: list[tuple[str, str]], exprs: list[Column]) -> DataFrame:
+    """(x, y, r) of one aggregate that holds an expression for each pair."""
+    rows = [
+        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)
+    ]
+    return values.agg(*[e.alias(f"r{i}") for i, e in enumerate(exprs)]).select(F.inline(F.array(*rows)))
+
+
+def _few_pairs(values: DataFrame, names: list[str]) -> DataFrame:
     scored = _standard_scores(values, names)
     parts = []
     # Pairs in blocks of 8 by 8 columns, so that a job reads few columns.
@@ -31,18 +83,11 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             F.avg(col(a) * col(b)) if a in scored.complete and b in scored.complete else pearson(col(a), col(b))
             for a, b in chunk
         ]
-        rows = [
-            F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(chunk)
-        ]
-        wide = scored.values.agg(*[e.alias(f"r{i}") for i, e in enumerate(exprs)])
-        parts.append(wide.select(F.inline(F.array(*rows))))
-    if not parts:
-        raise ValueError("correlations need two numeric columns")
+        parts.append(_as_rows(scored.values, chunk, exprs))
     pairs = parts[0]
     for part in parts[1:]:
         pairs = pairs.unionByName(part)
-    return pairs.orderBy(F.abs("r").desc_nulls_last(), "x", "y")
+    return pairs
 
 
 @dataclass(frozen=True)
