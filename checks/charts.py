@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tablewright.functions.order import first_rows
 from tablewright.operators import charts as C
 from tablewright.plans.charting import ChartSpec, write_charts
 from tablewright.plans.charting import charts as make_charts
@@ -10,12 +13,35 @@ from tablewright.sources.workspace import scratch_path
 from . import query, rounded, table
 
 
-@query()
+def _digest(*keys: str) -> str:
+    """SQL: the digest of the keys and the seed that orders rows."""
+    return "substr(md5(concat_ws('|', " + ", ".join(f"{k}::VARCHAR" for k in keys) + ", '42')), 1, 15)"
+
+
+@query(
+    f"SELECT * FROM lineitem ORDER BY {_digest('l_orderkey', 'l_linenumber')}, l_orderkey, l_linenumber, COLUMNS(*) LIMIT {C.SAMPLE_ROWS}"
+)
 def chart_sample(spark, sf):
     return C.sample_rows(table(spark, sf, "lineitem"), key=["l_orderkey", "l_linenumber"])
 
 
-@query()
+@query(
+    f"""WITH s AS (SELECT * FROM lineitem QUALIFY row_number() OVER (ORDER BY {_digest('l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey')})
+                   <= ceil(0.5::DOUBLE * count(*) OVER ()))
+        SELECT count(*) AS n, sum(l_orderkey)::BIGINT AS orders, round(sum(l_extendedprice), 2) AS price FROM s"""
+)
+def chart_sample_half(spark, sf):
+    """Half of all rows, found by counting."""
+    lines = table(spark, sf, "lineitem")
+    half, _ = first_rows(lines, -(-lines.count() // 2), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 42)
+    return half.agg(
+        F.count("*").alias("n"), F.sum("l_orderkey").alias("orders"), rounded(F.sum("l_extendedprice"), 2).alias("price")
+    )
+
+
+@query(
+    f"SELECT user_id AS x, value AS y FROM events ORDER BY {_digest('event_id')}, event_id LIMIT {C.SCATTER_ROWS}"
+)
 def scatter(spark, sf):
     return C.scatter(table(spark, sf, "events"), "user_id", "value", key="event_id")
 
@@ -160,6 +186,24 @@ def line_series(spark, sf):
     return line.withColumns({c: rounded(c) for c in ("mean_y", "low", "high")})
 
 
+_WEIGHT = " + ".join(f"(u >= '{s}')::INTEGER" for s in C.poisson_steps())
+
+
+@query(
+    f"""WITH w AS (SELECT p_size::DOUBLE AS x, p_retailprice AS y, r,
+                         substr(md5(p_partkey::VARCHAR || '|42|' || (r // 4)::VARCHAR), 8 * (r % 4)::INTEGER + 1, 8) AS u
+                  FROM part, range(200) AS t(r)),
+       m AS (SELECT x, r, sum(({_WEIGHT}) * y) / sum({_WEIGHT}) AS m FROM w GROUP BY x, r HAVING sum({_WEIGHT}) > 0),
+       b AS (SELECT x, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY x)
+       SELECT x, round(mean_y, 6) AS mean_y, round(low, 6) AS low, round(high, 6) AS high, n
+       FROM (SELECT p_size::DOUBLE AS x, avg(p_retailprice) AS mean_y, count(*) AS n FROM part GROUP BY 1) JOIN b USING (x)"""
+)
+def line_series_bootstrap(spark, sf):
+    """The band of 200 resamplings."""
+    line = C.line_series(table(spark, sf, "part"), "p_size", "p_retailprice", "bootstrap", "p_partkey", replicates=200)
+    return line.withColumns({c: rounded(c) for c in ("mean_y", "low", "high")})
+
+
 @query("SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part")
 def area_series(spark, sf):
     return C.area_series(table(spark, sf, "part"), "p_size", "p_retailprice")

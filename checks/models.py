@@ -113,7 +113,10 @@ def encode_categories(spark, sf):
     return parts.select("c_custkey", "p.size", *places, ones.alias("ones"))
 
 
-@query()
+@query(
+    """SELECT *, CASE WHEN row_number() OVER (ORDER BY substr(md5(o_orderkey::VARCHAR || '|42'), 1, 15))
+                           <= ceil(0.2::DOUBLE * count(*) OVER ()) THEN 'test' ELSE 'train' END AS part FROM orders"""
+)
 def train_test_split(spark, sf):
     train, test = split(table(spark, sf, "orders"), key="o_orderkey")
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))

@@ -10,12 +10,16 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import col, field, is_numeric, number, numbers, present
 from ..functions.moments import pearson
+from ..functions.order import digest, first_rows
 from ..functions.quantiles import exact_quantiles
 
 # Sample sizes, category cuts, density grid and confidence factor.
@@ -27,6 +31,12 @@ GRID_POINTS = 200
 NORMAL_95 = 1.96
 WHISKER_FACTOR = 1.5
 
+# Resamplings of a bootstrap band.
+REPLICATES = 1000
+BANDS = ("bootstrap", "normal")
+
+# A sample of at most so many rows is a sorted top of the table.
+SORTED_ROWS = 100_000
 # A contingency table is filled with zeros only if one side has at most this many labels.
 DENSE_LABELS = 10_000
 # Beyond this many bandwidths exp(-z*z/2) is exactly 0 in double precision.
@@ -37,12 +47,21 @@ def sample_rows(df: DataFrame, n: int = SAMPLE_ROWS, seed: int = 42, key: str |
     """`n` rows without replacement, or all if there are fewer.
 
     With a `key` that identifies a row, the choice depends only on its values;
-    without one, on the order of the rows in their files.
+    without one, on the order of the rows in their files. A large sample with a
+    key is found by counting digests, so that no task sorts it.
     """
     if key is None:
         return df.orderBy(F.rand(seed)).limit(n)
-    keys = [col(k) for k in ([key] if isinstance(key, str) else key)]
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    keys = [key] if isinstance(key, str) else key
+    if n <= SORTED_ROWS:
+        # Rows of one key go by their other columns; nested ones as texts, as maps have no order.
+        nested = (T.ArrayType, T.MapType, T.StructType)
+        rest = [F.to_json(col(f.name)) if isinstance(f.dataType, nested) else col(f.name) for f in df.schema.fields if f.name not in keys]
+        own = [col(k) for k in keys]
+        return df.orderBy(digest(own, seed), *own, *rest).limit(n)
+    if df.count() <= n:
+        return df
+    return first_rows(df, n, keys, seed)[0]
 
 
 def pinned_sample(df: DataFrame, n: int = SAMPLE_ROWS, seed: int = 42, key: str | list[str] | None = None) -> DataFrame:
@@ -54,7 +73,9 @@ def scatter(df: DataFrame, x: str, y: str, n: int = SCATTER_ROWS, seed: int = 42
     """(x, y) of exactly `n` sampled rows; an error if the table has fewer."""
     if df.limit(n).count() < n:
         raise ValueError(f"a scatter plot needs {n} rows")
-    return sample_rows(df, n, seed, key).select(col(x).alias("x"), col(y).alias("y"))
+    keys = [] if key is None else [key] if isinstance(key, str) else key
+    used = df.select(*[col(c) for c in dict.fromkeys([x, y, *keys])])
+    return sample_rows(used, n, seed, key).select(col(x).alias("x"), col(y).alias("y"))
 
 
 def bar_count(df: DataFrame, x: str, k: int | None = BAR_CATEGORIES) -> DataFrame:
@@ -266,18 +287,77 @@ def corr_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     return r.select(F.inline(rows))
 
 
-def line_series(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(x, mean_y, low, high, n) in x order: mean of y and its 95 % band per x."""
+def line_series(
+    df: DataFrame, x: str, y: str, band: str = "normal", key: str | list[str] | None = None,
+    replicates: int = REPLICATES, seed: int = 42,
+) -> DataFrame:
+    """(x, mean_y, low, high, n) in x order: mean of y and its 95 % band per x.
+
+    The band is normal, or with `band="bootstrap"` the central 95 % of the means of
+    resampled rows; see `bootstrap_means`, which needs a `key` that identifies a row.
+    """
+    if band not in BANDS:
+        raise ValueError(f"unknown band {band!r}; use one of {BANDS}")
     pairs = df.select(number(df, x).alias("x"), number(df, y).alias("y")).dropna()
-    band = F.lit(NORMAL_95) * F.col("std") / F.sqrt("n")
+    if band == "bootstrap":
+        lines = pairs.groupBy("x").agg(F.avg("y").alias("mean_y"), F.count("*").alias("n"))
+        means = bootstrap_means(df, x, y, key, replicates, seed)
+        ends = means.groupBy("x").agg(F.percentile("mean_y", F.lit(0.025)).alias("low"), F.percentile("mean_y", F.lit(0.975)).alias("high"))
+        return lines.join(ends, "x", "left").select("x", "mean_y", "low", "high", "n").orderBy("x")
+    reach = F.lit(NORMAL_95) * F.col("std") / F.sqrt("n")
     return (
         pairs.groupBy("x")
         .agg(F.avg("y").alias("mean_y"), F.stddev_samp("y").alias("std"), F.count("*").alias("n"))
-        .select("x", "mean_y", (F.col("mean_y") - band).alias("low"), (F.col("mean_y") + band).alias("high"), "n")
+        .select("x", "mean_y", (F.col("mean_y") - reach).alias("low"), (F.col("mean_y") + reach).alias("high"), "n")
         .orderBy("x")
     )
 
 
+def bootstrap_means(
+    df: DataFrame, x: str, y: str, key: str | list[str] | None, replicates: int = REPLICATES, seed: int = 42
+) -> DataFrame:
+    """(x, replicate, mean_y): the mean of y per x in each of `replicates` resamplings of the rows.
+
+    In a replicate a row counts as often as a Poisson variable of mean 1 says, which
+    is read off a digest of its `key` values; so replicates do not depend on the
+    partitions, and are sums that are combined before the shuffle. An x of which a
+    replicate has no row is missing there. Rows of one key count alike, so the key
+    must tell rows apart.
+    """
+    if key is None:
+        raise ValueError("a bootstrap needs a key that identifies a row")
+    keys = [col(k).cast("string") for k in ([key] if isinstance(key, str) else key)]
+    name = F.concat_ws("|", *[F.coalesce(k, F.lit("\\N")) for k in keys], F.lit(str(seed)))
+    pairs = df.select(number(df, x).alias("x"), number(df, y).alias("y"), name.alias("name")).dropna(subset=["x", "y"])
+    # A digest has 32 digits: enough for four replicates of 8 digits.
+    blocks = pairs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4))))
+    blocks = blocks.withColumn("h", F.md5(F.concat_ws("|", "name", "block").cast("binary")))
+    weights = []
+    for i in range(4):
+        u = F.substring("h", 8 * i + 1, 8)
+        weights.append(reduce(add, [(u >= s).cast("int") for s in poisson_steps()]))
+    sums = blocks.groupBy("x", "block").agg(
+        *[F.sum(w).alias(f"w{i}") for i, w in enumerate(weights)],
+        *[F.sum(w * F.col("y")).alias(f"s{i}") for i, w in enumerate(weights)],
+    )
+    parts = F.array(*[
+        F.struct((F.col("block") * 4 + i).alias("replicate"), (F.col(f"s{i}") / F.nullif(F.col(f"w{i}"), F.lit(0))).alias("mean_y"))
+        for i in range(4)
+    ])
+    found = sums.select("x", F.inline(parts))
+    return found.filter((F.col("replicate") < replicates) & F.col("mean_y").isNotNull())
+
+
+def poisson_steps() -> list[str]:
+    """Eight hexadecimal digits are at or above step i with the chance that a Poisson variable of mean 1 exceeds i."""
+    steps, term, total = [], math.exp(-1), 0.0
+    for i in range(12):
+        total += term
+        steps.append(f"{math.ceil(total * 16**8):08x}")
+        term /= i + 1
+    return [s for s in steps if len(s) == 8]
+
+
 def area_series(df: DataFrame, x: str, y: str) -> DataFrame:
     """(x, y) in x order."""
     return df.select(number(df, x).alias("x"), number(df, y).alias("y")).dropna().orderBy("x", "y")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import GBTClassifier, LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.columns import col
+from ..functions.order import first_rows
 
 # Row limits of the small and the middle tier, share of test rows, seed.
 SMALL_ROWS = 1_000
@@ -20,9 +21,6 @@ SEED = 42
 FOREST = {"numTrees": 100, "maxDepth": 12, "seed": SEED}
 BOOSTING = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3, "seed": SEED}
 
-_BUCKETS = 1_000_000
-
-
 # The tiers that a caller may name.
 TIERS = ("large", "middle", "small")
 
@@ -69,14 +67,15 @@ def select_model(task: str, rows: int, classes: int = 2) -> Estimator:
 
 
 def train_test_split(
-    df: DataFrame, test_share: float = TEST_SHARE, seed: int = SEED, key: str | list[str] | None = None
+    df: DataFrame, test_share: float = TEST_SHARE, seed: int = SEED, key: str | list[str] | None = None, rows: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Two disjoint parts that together are the table.
+    """Two disjoint parts that together are the table; the test part has ceil(test_share * rows) rows.
 
     A row's part depends only on its `key` values (all columns by default), so
-    a task that runs again decides alike. Sizes are close to the share, not exact.
+    a task that runs again decides alike. Only where the border falls among rows of
+    one key do their other values decide. `rows` is the number of rows, if it is known.
     """
     keys = df.columns if key is None else [key] if isinstance(key, str) else key
-    bucket = F.pmod(F.xxhash64(*[col(k) for k in keys], F.lit(seed)), F.lit(_BUCKETS))
-    is_test = bucket < F.lit(round(test_share * _BUCKETS))
-    return df.filter(~is_test), df.filter(is_test)
+    rows = df.count() if rows is None else rows
+    test, train = first_rows(df, min(rows, math.ceil(test_share * rows)), keys, seed)
+    return train, test

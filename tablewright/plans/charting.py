@@ -34,6 +34,8 @@ class ChartSpec:
     info: str | None = None
     # Rows of a sample to read instead of the whole table; a scatter plot has its own number of points.
     sample: int | None = None
+    # Kind of band around a line; a bootstrap needs the `key` of `charts`.
+    band: str = "normal"
     # Bars or shares at most; None takes the chart's own number.
     k: int | None = None
 
@@ -127,7 +129,7 @@ def _data(df: DataFrame, spec: ChartSpec, key) -> dict[str, DataFrame]:
         # Pairs that do not occur are left out, so that any number of labels will do.
         return {"cells": C.crosstab_counts(used, x, y) if text else C.corr_pair(used, x, y)}
     if kind == LINE:
-        return {"line": C.line_series(used, x, y)}
+        return {"line": C.line_series(used, x, y, spec.band, key)}
     return {"area": C.area_series(used, x, y)}
 
 

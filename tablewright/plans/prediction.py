@@ -96,7 +96,7 @@ def fit_predict(
     if task == "classification" and not 2 <= classes <= MODEL_CLASSES:
         raise ValueError(f"target {target!r} has {classes} classes; a classifier needs 2 to {MODEL_CLASSES}")
 
-    train, test = train_test_split(df, key=key)
+    train, test = train_test_split(df, key=key, rows=rows)
     features = fit_features(train.drop(target), VECTOR)
 
     def labelled(part: DataFrame) -> DataFrame:

@@ -133,6 +133,50 @@ def test_line_and_area(spark):
     assert [tuple(r) for r in C.area_series(df, "x", "y").collect()] == [(1.0, 3.0), (1.0, 5.0), (2.0, 1.0)]
 
 
+def test_bootstrap_band_is_that_of_resampled_rows(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"id": np.arange(240), "x": np.arange(240) % 3, "y": rng.gamma(2.0, size=240)})
+    df = spark.createDataFrame(pdf)
+    line = C.line_series(df, "x", "y", "bootstrap", "id").collect()
+    again = C.line_series(df.repartition(7), "x", "y", "bootstrap", "id").collect()
+    for r, s in zip(line, again, strict=True):
+        y = pdf.loc[pdf["x"] == r["x"], "y"].to_numpy()
+        means = rng.choice(y, (4000, len(y))).mean(axis=1)
+        low, high = np.percentile(means, [2.5, 97.5])
+        assert r["mean_y"] == pytest.approx(y.mean()) and r["n"] == 80
+        assert abs(r["low"] - low) < 0.2 * (high - low) and abs(r["high"] - high) < 0.2 * (high - low)
+        assert (r["low"], r["high"]) == pytest.approx((s["low"], s["high"]))
+
+
+def test_bootstrap_weights_are_those_of_a_poisson_variable(spark):
+    """All values are 1 but one that is 0, so a mean tells how often that row counts."""
+    steps = [int(s, 16) / 16**8 for s in C.poisson_steps()]
+    assert steps[:4] == pytest.approx([0.367879, 0.735759, 0.919699, 0.981012], abs=1e-6)
+    df = spark.range(400).select("id", F.lit(1).alias("x"), (F.col("id") > 0).cast("double").alias("y"))
+    means = C.bootstrap_means(df, "x", "y", "id", replicates=201).toPandas()
+    assert sorted(means["replicate"]) == list(range(201))
+    assert 0.25 < (means["mean_y"] == 1).mean() < 0.5
+
+
+def test_bootstrap_refuses_what_it_cannot_do(spark, tables):
+    with pytest.raises(ValueError, match="key"):
+        C.line_series(tables("part"), "p_size", "p_retailprice", "bootstrap")
+    with pytest.raises(ValueError, match="unknown band"):
+        C.line_series(tables("part"), "p_size", "p_retailprice", "wide")
+    df = spark.createDataFrame([(None, 1, 2.0), (1, None, 3.0), (2, 1, None)], "id int, x int, y double")
+    assert [(r["x"], r["n"]) for r in C.line_series(df, "x", "y", "bootstrap", "id").collect()] == [(1.0, 1)]
+    assert C.line_series(df.limit(0), "x", "y", "bootstrap", "id").count() == 0
+
+
+def test_large_sample_is_found_by_counting(tables, monkeypatch):
+    lines, keys = tables("lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    sorted_one = C.sample_rows(lines, 200, key=keys)
+    monkeypatch.setattr(C, "SORTED_ROWS", 10)
+    counted = C.sample_rows(lines, 200, key=keys)
+    assert counted.count() == 200 and counted.exceptAll(sorted_one).isEmpty()
+    assert C.sample_rows(lines, 10**7, key=keys).count() == lines.count()
+
+
 @pytest.mark.parametrize(
     ("spec", "reason"),
     [
