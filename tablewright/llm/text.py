@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -20,6 +21,9 @@ STEP = 1 << 21
 #: Bytes of texts that form one block.
 BLOCK = 1 << 22
 
+#: Words of more bytes than this are hashed by BLAKE2b.
+LONG_WORD = 256
+
 _BYTES = np.arange(256)
 #: Words between ASCII white space.
 BETWEEN_SPACES = ~((_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D)))
@@ -123,6 +127,10 @@ def _piece(data: np.ndarray, cuts: np.ndarray, kind: np.ndarray, base: int) -> t
     total = np.cumsum(_values()[data] * up[:n], dtype=np.uint64)
     h = total[last] - np.where(start > 0, total[start - 1], np.uint64(0))
     h = mix(h * down[start] ^ ((last - start).astype(np.uint64) << np.uint64(40)))
+    # Modulo 2^64, words that are long and made for it collide.
+    for i in np.flatnonzero(last - start >= LONG_WORD):
+        lower = data[start[i] : last[i] + 1].tobytes().lower()  # of bytes, so A-Z only
+        h[i] = int.from_bytes(hashlib.blake2b(lower, digest_size=8).digest(), "little")
     return start + base, last + 1 + base, h
 
 

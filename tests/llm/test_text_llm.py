@@ -83,3 +83,13 @@ def test_pieces_of_every_length_fill_their_class():
 def test_largest_goes_to_the_least_loaded():
     placed = schedule([(5, 1, 1), (4, 1, 2), (3, 1, 3), (3, 1, 4), (3, 1, 5)], 2)
     assert [placed[1, i] for i in (1, 2, 3, 4, 5)] == [0, 1, 1, 0, 1]
+
+
+def test_words_made_to_collide_have_hashes_of_their_own():
+    """Thue-Morse words and their complements are equal as polynomials modulo 2^64, whatever the base."""
+    for size in (256, 257, 1024, 2048, 4096):
+        first = "".join("ab"[i.bit_count() % 2] for i in range(size))
+        other = first.translate(str.maketrans("ab", "ba"))
+        data = np.frombuffer(f"{first} {other} {first.upper()}".encode(), np.uint8)
+        _, _, h, _ = text.words(data, np.array([0, len(data)]), text.LETTERS_DIGITS)
+        assert h[0] != h[1] and h[0] == h[2]
