@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.text import BETWEEN_SPACES, flat
+from tablewright.llm.text import BETWEEN_SPACES, flat, tidy
 from tablewright.sources.workspace import staged
 
 #: A chunk has at least so many words and bytes and at most so many bytes; in between, one word in 2^CUT_BITS begins a new one.
@@ -312,21 +312,21 @@ def repeated_spans(docs: DataFrame, key: str, text: str, least_words: int = LEAS
     own = docs.select(F.col(key).alias("key"), _twin(docs, key, text).alias("twin"), F.col(text).alias("text"))
     own = own.filter(F.col("key").isNotNull() & (F.octet_length("text") >= LEAST_RUN))
     kind = docs.schema[key].dataType.simpleString()
-    pieces = own.mapInArrow(_pieces, f"key {kind}, twin long, h long, at long")
+    pieces = own.mapInArrow(tidy(_pieces), f"key {kind}, twin long, h long, at long")
     first = pieces.groupBy("h").agg(F.min(F.struct("key", "twin", "at")).alias("s"), F.max("key").alias("last")).filter("s.key < last")
     first = staged(first.select("h", F.col("s.key").alias("s_key"), F.col("s.twin").alias("s_twin"), F.col("s.at").alias("s_at")), "first-chunks")
     met = pieces.join(first, "h").filter("s_key < key").groupBy("key", "twin").agg(F.collect_list(F.struct("at", "s_key", "s_twin", "s_at")).alias("met"))
-    runs = staged(met.mapInArrow(_runs(least_words), f"key {kind}, twin long, start long, stop long, s_key {kind}, s_twin long, s_start long"), "runs")
+    runs = staged(met.mapInArrow(tidy(_runs(least_words)), f"key {kind}, twin long, start long, stop long, s_key {kind}, s_twin long, s_start long"), "runs")
 
     s_stop = F.col("s_start") + F.col("stop") - F.col("start")
     wanted = runs.select("s_key", "s_twin", F.explode(F.array(F.col("s_start") * 2, s_stop * 2 + 1)).alias("code"))
     wanted = staged(wanted.groupBy(F.col("s_key").alias("key"), F.col("s_twin").alias("twin")).agg(F.collect_set("code").alias("wanted")), "wanted")
     sources = own.join(_sent(wanted, F.size("wanted") * 8 + 32), ["key", "twin"]).select("key", "twin", "text", "wanted")
-    near = staged(sources.mapInArrow(_contexts, f"s_key {kind}, s_twin long, pos long, side long, near binary"), "contexts")
+    near = staged(sources.mapInArrow(tidy(_contexts), f"s_key {kind}, s_twin long, pos long, side long, near binary"), "contexts")
     before, after = (near.filter(F.col("side") == k).select("s_key", "s_twin", F.col("pos").alias(p), F.col("near").alias(name)) for k, p, name in ((0, "s_start", "before"), (1, "s_stop", "after")))
     around = runs.withColumn("s_stop", s_stop).join(before, ["s_key", "s_twin", "s_start"]).join(after, ["s_key", "s_twin", "s_stop"])
     around = around.groupBy("key", "twin").agg(F.collect_list(F.struct("start", "stop", "before", "after")).alias("runs"))
-    found = own.join(around, ["key", "twin"]).select("key", "twin", "text", "runs").mapInArrow(_found(least_words), f"key {kind}, twin long, start long, stop long, h1 long, h2 int")
+    found = own.join(around, ["key", "twin"]).select("key", "twin", "text", "runs").mapInArrow(tidy(_found(least_words)), f"key {kind}, twin long, start long, stop long, h1 long, h2 int")
     found = staged(found, "found")
 
     windows = found.filter(F.col("h1").isNotNull())
@@ -340,7 +340,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, least_words: int = LEAS
             spans = [_union(x.values.field("start").to_numpy(), x.values.field("stop").to_numpy()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(spans, _SPAN)], ["key", "twin", "spans"])
 
-    spans = each.mapInArrow(union, f"key {kind}, twin long, spans array<struct<start:long,stop:long>>")
+    spans = each.mapInArrow(tidy(union), f"key {kind}, twin long, spans array<struct<start:long,stop:long>>")
     return staged(spans.withColumnRenamed("key", key), "spans")
 
 
@@ -384,7 +384,7 @@ def without_spans(docs: DataFrame, key: str, text: str, spans: DataFrame, into:
             yield out if into else out.select(batch.schema.names[:last])
 
     schema = joined.schema if into else docs.schema
-    out = joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(tidy(run), schema)
     return out.withColumnRenamed(taken, into) if into else out
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.fm_index import FMIndex
-from tablewright.llm.text import LETTERS_DIGITS, blocks, flat, words
+from tablewright.llm.text import LETTERS_DIGITS, blocks, flat, tidy, words
 
 #: Words of a window.
 WINDOW = 10
@@ -136,7 +136,7 @@ def _pass(rows: DataFrame, phrases: Phrases) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(counts), pa.array(found, _KIND)], ["key", "text", "n_words", "found"]
             )
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(tidy(run), rows.schema)
 
 
 def _spans(phrases: Phrases, start, end, h, first, at) -> Iterator[tuple[int, list[dict]]]:
@@ -208,7 +208,7 @@ def removed(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, i
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, batch.column(1).type)], ["rest", "text"])
             yield out.filter(pa.array(keep))
 
-    touched = found.select("rest", "text", "found").mapInArrow(run, found.select("rest", "text").schema)
+    touched = found.select("rest", "text", "found").mapInArrow(tidy(run), found.select("rest", "text").schema)
     return touched.select(*[F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.graph import components
-from tablewright.llm.text import BETWEEN_SPACES, blocks, flat, shingles, words
+from tablewright.llm.text import BETWEEN_SPACES, blocks, flat, shingles, tidy, words
 from tablewright.sources.workspace import staged
 
 #: Sets of one group, about.
@@ -129,7 +129,7 @@ def _common(docs: DataFrame, key: str, text: str, n: int) -> np.ndarray:
                 token, times = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(times)], ["token", "times"])
 
-    counted = sample.select(F.col(key), F.col(text)).mapInArrow(run, "token long, times long")
+    counted = sample.select(F.col(key), F.col(text)).mapInArrow(tidy(run), "token long, times long")
     often = counted.groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= COMMON_TIMES)
     got = often.orderBy(F.desc("times"), "token").limit(COMMON_MOST).select("token").toPandas()
     return np.sort(got["token"].to_numpy(np.int64).view(np.uint64))
@@ -171,7 +171,7 @@ def _described(docs: DataFrame, key: str, text: str, n: int, percent: int, commo
             yield pa.RecordBatch.from_arrays([*columns, lists], ["key", "n", "d1", "d2", "ahead", "tokens"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text))
-    return rows.mapInArrow(run, f"key {kind}, n long, d1 long, d2 long, ahead long, tokens array<long>")
+    return rows.mapInArrow(tidy(run), f"key {kind}, n long, d1 long, d2 long, ahead long, tokens array<long>")
 
 
 def _arrays(docs: DataFrame, key: str, text: str, n: int, wanted: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def _arrays(docs: DataFrame, key: str, text: str, n: int, wanted: DataFrame) ->
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted, "key", "left_semi")
     order = Window.partitionBy("key").orderBy("key")
     once = rows.withColumn("r", F.row_number().over(order)).filter("r = 1").select("key", "text")
-    return once.mapInArrow(run, f"key {kind}, n long, tokens array<long>")
+    return once.mapInArrow(tidy(run), f"key {kind}, n long, tokens array<long>")
 
 
 def _close(n: Column, m: Column, percent: int) -> Column:

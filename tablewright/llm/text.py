@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes looked at together; longer texts are cut between words.
-STEP = 1 << 21
+STEP = 1 << 19
 #: Bytes of texts that form one block.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 
 #: Words of more bytes than this are hashed by BLAKE2b.
 LONG_WORD = 256
@@ -72,6 +72,16 @@ def release() -> None:
         trim(0)
 
 
+def tidy(run: Callable) -> Callable:
+    """A task's function that hands back memory when it ends."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and where each begins, with one more offset for the end. Null is empty."""
     if column.null_count:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.text import LETTERS_DIGITS, blocks, flat, mix, words
+from tablewright.llm.text import LETTERS_DIGITS, blocks, flat, mix, tidy, words
 
 #: Rows that the model is learned from: bounded samples, chosen by a hash of the id.
 LABELLED_ROWS, OTHER_ROWS = 20_000, 5_000
@@ -70,7 +70,7 @@ class Toxicity:
                 p = 1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *z]) + bias, -40, 40)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "__score"])
 
-        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
+        return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
 
 
 class _Known:
@@ -152,7 +152,7 @@ def _told(labelled: DataFrame, toxic: int, other: int) -> tuple[np.ndarray, np.n
                 sums = [np.bincount(back, x & (times >= level), len(feature)).astype(np.int64) for level in LEVELS for x in (bad, np.ones_like(bad))]
                 yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), *map(pa.array, sums)], ["id", *columns])
 
-    counted = labelled.select("text", "toxic").mapInArrow(run, "id long, " + ", ".join(f"{c} long" for c in columns))
+    counted = labelled.select("text", "toxic").mapInArrow(tidy(run), "id long, " + ", ".join(f"{c} long" for c in columns))
     counted = counted.groupBy("id").agg(*[F.sum(c).alias(c) for c in columns]).filter("n1 >= 4")
     ratios = [_ratio(F.col(f"bad{x}"), F.col(f"n{x}"), toxic, other).alias(f"g{x}") for x in LEVELS]
     toward = [(F.col(f"bad{x}") * other > (F.col(f"n{x}") - F.col(f"bad{x}")) * toxic).alias(f"t{x}") for x in LEVELS]
@@ -193,7 +193,7 @@ def _gathered(sample: DataFrame, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
                 yield pa.RecordBatch.from_arrays([batch.column(1)[at : at + n], lists], ["toxic", "seen"])
                 at += n
 
-    got = sample.select("text", "toxic").mapInArrow(run, "toxic int, seen array<int>").toArrow()
+    got = sample.select("text", "toxic").mapInArrow(tidy(run), "toxic int, seen array<int>").toArrow()
     label = np.nan_to_num(got["toxic"].to_numpy().astype(float), nan=-1).astype(int)
     seen = got["seen"].combine_chunks()
     seen = seen.chunk(0) if isinstance(seen, pa.ChunkedArray) else seen
