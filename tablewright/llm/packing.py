@@ -157,11 +157,16 @@ def pack(docs: DataFrame, key: str, text: str, path: str, ids: bool = True) -> D
     their pieces, a fixed number at most whatever the input (under 20,000), are put
     into sequences by decreasing length, each into the first that has room.
 
-    Texts are tokenized once; the pieces are written to the shared folder.
+    Texts are tokenized once; the pieces are written to the shared folder, their ids
+    compressed. Each has a number there, by which its ids are joined to its place: they are
+    shuffled once.
     """
     spark = docs.sparkSession
     path_out = scratch_path(spark, "pieces")
-    tokenized(docs, key, text, path, ids).withColumn("k", F.floor(CAPACITY / F.col("length")).cast("int")).write.parquet(path_out)
+    found = tokenized(docs, key, text, path, ids)
+    if ids:
+        found = found.mapInArrow(_compressed, found.schema).withColumn("piece", F.monotonically_increasing_id())
+    found.withColumn("k", F.floor(CAPACITY / F.col("length")).cast("int")).write.parquet(path_out)
     pieces = spark.read.parquet(path_out)
     parts = max(1, pieces.count() // PIECES_PER_PART)
     light = pieces.drop("ids").withColumn("part", F.pmod(F.xxhash64("key", "start"), F.lit(parts)).cast("int"))
@@ -178,26 +183,39 @@ def pack(docs: DataFrame, key: str, text: str, path: str, ids: bool = True) -> D
         first[k] = at
         at += totals[k] // k
     if not totals:
-        return pieces.drop("k").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).withColumnRenamed("key", key)
+        return pieces.drop("k", "piece").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).withColumnRenamed("key", key)
     base = spark.createDataFrame([(k, first[k], totals[k] // k) for k in totals], "k int, first_id long, bins long")
     binned = binned.join(F.broadcast(base), "k")
     inside = Window.partitionBy("k", "bin").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     filled = binned.filter("bin < bins").withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))
     filled = filled.withColumn("sequence_id", F.col("first_id") + F.col("bin"))
     rest = binned.filter("bin >= bins")
-    columns = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    columns = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["piece"] if ids else [])]
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", piece long" if ids else "")
     last = rest.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda x: _first_fit(x, at)[columns], schema)
     packed = filled.select(*columns).unionByName(last)
     if ids:
-        # A piece is named by its document, place and content; repeated rows have equal ids, so one of them serves all.
-        content = pieces.groupBy("key", "start", "length", "ids_crc32").agg(F.first("ids").alias("ids"))
-        same = [packed[c].eqNullSafe(content[c]) for c in ("key", "start", "length", "ids_crc32")]
-        packed = packed.join(content, same).select(packed["*"], content["ids"])
+        packed = packed.join(pieces.select("piece", "ids"), "piece").drop("piece")
+        packed = packed.mapInArrow(_restored, packed.schema)
     return packed.withColumnRenamed("key", key)
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with each row's ids compressed by itself."""
+    codec = pa.Codec("zstd", 1)
+    for batch in batches:
+        data = [codec.compress(x.as_buffer(), asbytes=True) for x in batch.column("ids")]
+        yield batch.set_column(batch.schema.get_field_index("ids"), "ids", pa.array(data, pa.binary()))
+
+
+def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        data = [codec.decompress(x.as_buffer(), 4 * n, asbytes=True) for x, n in zip(batch.column("ids"), batch.column("length").to_pylist(), strict=True)]
+        yield batch.set_column(batch.schema.get_field_index("ids"), "ids", pa.array(data, pa.binary()))
+
+
 def _first_fit(pieces, first_id: int):
     """Decreasing lengths, each into the first sequence with room."""
     pieces = pieces.sort_values(["length", "key", "start", "ids_crc32"], ascending=[False, True, True, True]).reset_index(drop=True)

@@ -149,6 +149,21 @@ def test_packing(odd, none):
     assert packing.pack(none, "doc_id", "text", path).count() == 0
 
 
+def test_packing_shuffles_ids_once_and_compressed(frame, monkeypatch):
+    """Pieces are joined by their number, so their ids take no part in a grouping; at rest they are small."""
+    written = []
+    monkeypatch.setattr(packing, "scratch_path", lambda spark, name, own=packing.scratch_path: written.append(own(spark, name)) or written[-1])
+    docs = frame(rows([(i % 40, "many common words of one text " * 400) for i in range(80)]), DOCS)
+    got = packing.pack(docs, "doc_id", "text", queries.tokenizer_path())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "first(ids" not in plan and "eqNullSafe" not in plan and "<=>" not in plan
+    got = got.toPandas()
+    assert all(len(b) == 4 * n and zlib.crc32(b) == c for b, n, c in zip(got.ids, got.length, got.ids_crc32, strict=True))
+    assert got.groupby("doc_id").length.sum().tolist() == (2 * got.groupby("doc_id").doc_tokens.first()).tolist()
+    kept = docs.sparkSession.read.parquet(written[0]).selectExpr("sum(length(ids)) / sum(4 * length)").first()[0]
+    assert kept < 0.5
+
+
 def test_word_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
