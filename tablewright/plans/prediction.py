@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import col, field, is_numeric, is_text
 from ..functions.ranking import sorted_codes
-from ..operators import models
+from ..operators import boosting, models
 from ..operators.evaluation import eval_classification, eval_regression
 from ..operators.features import fit_features, with_codes
 from ..operators.kernels import Platt, calibrated, fourier_features
@@ -115,6 +116,8 @@ def fit_predict(
         # Read once for each step of each fit. At most SMALL_ROWS rows are one part.
         ready = (ready.coalesce(1) if rows <= models.SMALL_ROWS else ready).checkpoint()
         fitted, platt = calibrated(estimator, ready, classes)
+    elif size > models.MIDDLE_ROWS:
+        fitted = boosting.fit(estimator, ready, rows - math.ceil(models.TEST_SHARE * rows))
     else:
         fitted = estimator.fit(ready)
     inputs = T.StructType([f for f in df.schema.fields if f.name != target])
