@@ -31,6 +31,8 @@ RELATED = 0.1
 THRESHOLD = 0.3
 
 _FILTER_BITS = 22
+#: Voters, or texts, whose votes are held as wider numbers at once.
+_BLOCK, _BLOCK_TEXTS = 32, 2_048
 
 
 @dataclass(frozen=True)
@@ -123,12 +125,13 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str) -> Toxicity:
     place, starts, label = _gathered(sample, found)
     strong = np.flatnonzero(((told >= LEAST_VOTE) & toward).ravel())
     voters = np.sort(strong[np.argsort(-told.ravel()[strong], kind="stable")][:VOTERS])
-    votes = np.zeros((len(label), len(voters)), np.float32)
+    votes = np.zeros((len(label), len(voters)), np.uint8)
     row = np.repeat(np.arange(len(label)), np.diff(starts))
     number = np.full(told.size, -1)
     number[voters] = np.arange(len(voters))
     fired = number[place] >= 0
     votes[row[fired], number[place[fired]]] = 1
+    del row, number, fired
     posterior, fires, related = label_model(votes, label)
     weights, bias = _classifier(place, starts, posterior, told.ravel() >= LEAST_TOLD)
     return Toxicity(found, weights.reshape(told.shape), bias, voters, fires, related)
@@ -210,7 +213,8 @@ def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 20) -> tuple
     voter's evidence is divided by the number of voters that say the same. The given
     label (-1: none) votes too.
     """
-    votes = np.column_stack([votes, votes.sum(axis=1) == 0]).astype(np.float32)
+    # A byte a vote: sums run over blocks of them, so that the whole table is never held as numbers of 8 bytes.
+    votes = np.column_stack([votes, ~votes.any(axis=1)]).astype(np.uint8, copy=False)
     known = label >= 0
     share = max(1e-3, min(0.999, (label == 1).sum() / max(1, known.sum())))
     own = np.where(known, np.where(label == 1, 1, -1) * np.log(LABEL_RIGHT / (1 - LABEL_RIGHT)), 0.0)
@@ -218,20 +222,25 @@ def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 20) -> tuple
     fires, related = np.zeros((2, votes.shape[1])), np.eye(votes.shape[1])
     for step in range(rounds):
         mass = np.array([posterior.sum(), (1 - posterior).sum()])
-        fires = np.stack([(posterior @ votes + 0.1) / (mass[0] + 1), ((1 - posterior) @ votes + 0.1) / (mass[1] + 1)])
+        toxic, other = np.concatenate([np.stack([posterior, 1 - posterior]) @ votes[:, at : at + _BLOCK].astype(float) for at in range(0, votes.shape[1], _BLOCK)], axis=1)
+        fires = np.stack([(toxic + 0.1) / (mass[0] + 1), (other + 0.1) / (mass[1] + 1)])
         if step % 5 == 1:
             related = _correlations(votes, posterior, fires)
         alike = np.where(related > RELATED, related, 0).sum(axis=0)
         heard = np.log(fires[0] / fires[1]) / np.maximum(alike, 1)
         prior = mass[0] / mass.sum()
-        z = np.log(prior / (1 - prior)) + own + votes @ heard
+        z = np.log(prior / (1 - prior)) + own + sum(votes[:, at : at + _BLOCK] @ heard[at : at + _BLOCK] for at in range(0, len(heard), _BLOCK))
         posterior = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     return posterior, fires, related
 
 
 def _correlations(votes: np.ndarray, posterior: np.ndarray, fires: np.ndarray) -> np.ndarray:
     """Of each two voters, the correlation that is left within the classes."""
-    both = votes.T @ votes
+    # Counts, which float32 holds exactly up to 2^24, more than there are texts in a block.
+    both = np.zeros((votes.shape[1],) * 2)
+    for at in range(0, len(votes), _BLOCK_TEXTS):
+        some = votes[at : at + _BLOCK_TEXTS].astype(np.float32)
+        both += some.T @ some
     p, q = posterior.sum(), (1 - posterior).sum()
     apart = p * np.outer(fires[0], fires[0]) + q * np.outer(fires[1], fires[1])
     var = np.maximum(p * fires[0] * (1 - fires[0]) + q * fires[1] * (1 - fires[1]), 1e-9)

@@ -131,6 +131,20 @@ def test_toxicity(frame, odd, none):
     assert {r["score"] < 0.01 for r in blank.score(odd, "doc_id", "text").collect()} == {True}
 
 
+def test_label_model_holds_votes_as_bytes():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    label = (rng.random(4000) < 0.2).astype(int)
+    votes = (rng.random((4000, 400)) < np.where(label == 1, 0.05, 0.005)[:, None]).astype(np.uint8)
+    tracemalloc.start()
+    posterior, fires, _ = toxicity.label_model(votes, label)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * votes.nbytes and len(posterior) == 4000
+    assert (fires[0, :400] > fires[1, :400]).all()
+
+
 def test_packing(odd, none):
     from tokenizers import Tokenizer
 
