@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workspace import staged
 from .columns import col
 
 # Hexadecimal digits of a digest that make the order, and how many of them a round decides.
@@ -62,18 +63,20 @@ def find_cut(digests: DataFrame, k: int) -> Cut:
             return Cut(at, below + listed.index(at), listed.count(at))
 
 
-def first_rows(df: DataFrame, k: int, keys: list[str], seed: int) -> tuple[DataFrame, DataFrame]:
+def first_rows(df: DataFrame, k: int, keys: list[str], seed: int, kept: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Exactly the `k` first rows in the order of the digests of `keys`, and all others.
 
     Rows of one key that the end falls among go by the digest of the whole row.
     Rows that are alike in all columns are copies: as many as needed are counted out.
+    With `kept`, only these columns are returned; they are written to the shared folder once, with
+    each row's side, as otherwise each scan of the rows computes all digests anew.
     """
     if k <= 0:
-        return df.limit(0), df
+        return (df.limit(0), df) if kept is None else (df.select(*map(col, kept)).limit(0), df.select(*map(col, kept)))
     own = digest([col(c) for c in keys], seed)
     cut = find_cut(df.select(own.alias("h")), k)
     if cut.below + cut.equal == k:
-        return df.filter(own <= cut.at), df.filter(own > cut.at)
+        return _sides(df, own <= cut.at, own > cut.at, kept)
     # Columns of any type as one text; the name of the struct's fields does not matter.
     whole = digest([F.to_json(F.struct(*[col(c) for c in df.columns]), {"ignoreNullFields": "false"})], seed)
     border = df.filter(own == cut.at)
@@ -82,12 +85,28 @@ def first_rows(df: DataFrame, k: int, keys: list[str], seed: int) -> tuple[DataF
     after = (own > cut.at) | ((own == cut.at) & (whole > inner.at))
     chosen = k - cut.below - inner.below
     if chosen == inner.equal:
-        return df.filter(~after), df.filter(after)
+        return _sides(df, ~after, after, kept)
     one = border.filter(whole == inner.at).limit(1)
-    return (
-        df.filter(before).unionByName(_copies(one, chosen)),
-        df.filter(after).unionByName(_copies(one, inner.equal - chosen)),
-    )
+    if kept is not None:
+        one = _written(one, kept)
+    first, rest = _sides(df, before, after, kept)
+    return first.unionByName(_copies(one, chosen)), rest.unionByName(_copies(one, inner.equal - chosen))
+
+
+def _sides(df: DataFrame, first: Column, rest: Column, kept: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """The rows of the one and of the other side; no row is of both."""
+    if kept is None:
+        return df.filter(first), df.filter(rest)
+    side = F.when(first, 0).when(rest, 1)
+    name = "_".join(["side", *kept])
+    written = _written(df.withColumn(name, side), [*kept, name])
+    return tuple(written.filter(col(name) == i).drop(name) for i in (0, 1))
+
+
+def _written(df: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns, of any names, written to the shared folder."""
+    plain = df.select(*[col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    return staged(plain, "rows").toDF(*columns)
 
 
 def _copies(one: DataFrame, n: int) -> DataFrame:

@@ -83,11 +83,13 @@ def _share_of(part: Column, whole: Column) -> Column:
 def eval_regression(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(mae, mse, r2, n); r2 is null if the label is constant."""
     y, p = col(label).cast("double"), col(prediction).cast("double")
-    pairs = df.select(y.alias("y"), (y - p).alias("e")).dropna()
-    squares = F.col("e") * F.col("e")
+    pairs = df.select(y.alias("y"), (y - p).alias("e"))
+    # A filter on the error would predict each row twice: below the filter and above it.
+    e = F.nanvl("e", F.lit(None))
+    known = F.when(e.isNotNull(), F.col("y"))
     return pairs.agg(
-        F.avg(F.abs("e")).alias("mae"),
-        F.avg(squares).alias("mse"),
-        (1 - ratio(F.sum(squares), F.regr_syy(F.col("y"), F.col("y")))).alias("r2"),
-        F.count("*").alias("n"),
+        F.avg(F.abs(e)).alias("mae"),
+        F.avg(e * e).alias("mse"),
+        (1 - ratio(F.sum(e * e), F.regr_syy(known, known))).alias("r2"),
+        F.count(e).alias("n"),
     )

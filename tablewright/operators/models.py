@@ -67,15 +67,21 @@ def select_model(task: str, rows: int, classes: int = 2) -> Estimator:
 
 
 def train_test_split(
-    df: DataFrame, test_share: float = TEST_SHARE, seed: int = SEED, key: str | list[str] | None = None, rows: int | None = None
+    df: DataFrame,
+    test_share: float = TEST_SHARE,
+    seed: int = SEED,
+    key: str | list[str] | None = None,
+    rows: int | None = None,
+    kept: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Two disjoint parts that together are the table; the test part has ceil(test_share * rows) rows.
 
     A row's part depends only on its `key` values (all columns by default), so
     a task that runs again decides alike. Only where the border falls among rows of
     one key do their other values decide. `rows` is the number of rows, if it is known.
+    `kept` names the columns to return, for parts that are read many times: these are written once.
     """
     keys = df.columns if key is None else [key] if isinstance(key, str) else key
     rows = df.count() if rows is None else rows
-    test, train = first_rows(df, min(rows, math.ceil(test_share * rows)), keys, seed)
+    test, train = first_rows(df, min(rows, math.ceil(test_share * rows)), keys, seed, kept)
     return train, test

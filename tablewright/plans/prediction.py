@@ -97,7 +97,8 @@ def fit_predict(
     if task == "classification" and not 2 <= classes <= MODEL_CLASSES:
         raise ValueError(f"target {target!r} has {classes} classes; a classifier needs 2 to {MODEL_CLASSES}")
 
-    train, test = train_test_split(df, key=key, rows=rows)
+    used = [f.name for f in df.schema.fields if f.name == target or _is_feature(f)]
+    train, test = train_test_split(df, key=key, rows=rows, kept=used if rows > boosting.DIRECT_ROWS else None)
     features = fit_features(train.drop(target), VECTOR)
 
     def labelled(part: DataFrame) -> DataFrame:
@@ -105,19 +106,23 @@ def fit_predict(
             return part.withColumn(LABEL, col(target).cast("double"))
         return with_codes(part, target, codes, LABEL).withColumn(LABEL, F.col(LABEL).cast("double"))
 
-    ready = features.transform(labelled(train)).select(F.col(VECTOR).alias("features"), F.col(LABEL).alias("label"))
+    def learned(part: DataFrame) -> DataFrame:
+        return features.transform(labelled(part)).select(F.col(VECTOR).alias("features"), F.col(LABEL).alias("label"))
+
+    ready = learned(train)
     size = tier_rows(rows, model)
     estimator, platt = select_model(task, size, classes), None
     if task == "classification" and size <= models.SMALL_ROWS:
         if kernel == "rbf":
             spread = fourier_features(features.transform(train), VECTOR)
             features = PipelineModel([features, spread])
-            ready = features.transform(labelled(train)).select(F.col(VECTOR).alias("features"), F.col(LABEL).alias("label"))
+            ready = learned(train)
         # Read once for each step of each fit. At most SMALL_ROWS rows are one part.
         ready = (ready.coalesce(1) if rows <= models.SMALL_ROWS else ready).checkpoint()
         fitted, platt = calibrated(estimator, ready, classes)
     elif size > models.MIDDLE_ROWS:
-        fitted = boosting.fit(estimator, ready, rows - math.ceil(models.TEST_SHARE * rows))
+        part = rows - math.ceil(models.TEST_SHARE * rows)
+        fitted = boosting.fit(estimator, ready, part, lambda share: learned(train.sample(share, boosting.SEED)))
     else:
         fitted = estimator.fit(ready)
     inputs = T.StructType([f for f in df.schema.fields if f.name != target])

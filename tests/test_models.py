@@ -211,3 +211,13 @@ def test_bad_input_is_refused(spark, learnable):
         P.fit_predict(learnable.withColumn("y", F.nullif("y", "y")), "y", "regression")
     with pytest.raises(ValueError, match="unknown column"):
         X.split_xy(learnable, "nope")
+
+
+def test_regression_metrics_predict_each_row_once(spark):
+    rows = [(1.0, 2.0), (2.0, None), (None, 3.0), (3.0, float("nan")), (float("nan"), 1.0), (4.0, 4.5), (5.5, 5.0)]
+    same = F.arrow_udf(lambda x: x, "double")
+    pairs = spark.createDataFrame(rows, "label double, prediction double").withColumn("prediction", same("prediction"))
+    found = eval_regression(pairs)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    r = found.first()
+    assert (r.n, round(r.mae, 6), r.mse, round(r.r2, 6)) == (3, 0.666667, 0.5, 0.857143)

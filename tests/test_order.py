@@ -55,3 +55,14 @@ def test_rows_with_nulls_nested_values_and_clashing_names(spark):
     first, rest = O.first_rows(df, 4, ["h"], 1)
     assert first.count() == 4 and rest.count() == 5
     assert first.columns == df.columns
+
+
+@pytest.mark.parametrize("keys", [["a"], ["a", "b b"]])
+@pytest.mark.parametrize("k", [0, 1, 7, 20, 33, 40])
+def test_kept_columns_are_the_same_rows_without_their_digests(spark, keys, k):
+    rows = spark.createDataFrame([(i % 5, f"x{i % 10}", None if i % 4 else float(i)) for i in range(40)], "a int, `b b` string, c double")
+    kept = O.first_rows(rows, k, keys, 42, ["b b", "c"])
+    for part, whole in zip(kept, O.first_rows(rows, k, keys, 42), strict=True):
+        assert part.columns == ["b b", "c"]
+        assert sorted(map(repr, part.collect())) == sorted(map(repr, whole.select("b b", "c").collect()))
+        assert "md5" not in part._jdf.queryExecution().optimizedPlan().toString()
