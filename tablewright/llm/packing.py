@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -22,8 +23,9 @@ CAPACITY = 2048
 END_ID = 1
 #: A rest of at most CAPACITY / 32 ids is not cut any more: at least 32 of its class share a sequence, so little is lost.
 LAST_CLASS = 32
-#: Pre-tokens whose ids a task remembers.
-REMEMBERED = 1 << 18
+#: Pre-tokens whose ids a Python process remembers, from task to task, and their longest.
+REMEMBERED = 1 << 19
+LONGEST = 64
 #: Pieces of a class are numbered in parts of about this many, side by side.
 PIECES_PER_PART = 200_000
 
@@ -48,11 +50,12 @@ def cut(length: int, capacity: int = CAPACITY) -> list[int]:
     return pieces
 
 
-class WordIds:
+class WordIds(dict):
     """Ids of texts by a word-level BPE of the `tokenizers` library, remembered by pre-token.
 
     The tokenizer splits a text into pre-tokens and encodes each by itself. Texts
-    whose lower-case characters are all up to U+024F are split here by the same rule; all others,
+    whose lower-case characters are all up to U+024F are split here by the same rule, and a
+    pre-token that is not remembered goes to the tokenizer's model; all others,
     and texts that hold the string of a token added to the vocabulary, are given to the
     tokenizer whole, which makes such a string that token.
     """
@@ -60,46 +63,64 @@ class WordIds:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
+        #: Pre-tokens of before; those that appear again are kept.
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
-        self.known: dict[str, bytes] = {}
         letters = "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == "L")
         numbers = "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == "N")
         spaces = r"\t-\r \xa0"
         self.odd = re.compile(r"[^\t-\r -~\xa0-ɏ]")
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+")
+        probe = _probe("".join(chr(c) for c in range(0x250) if not self.odd.search(chr(c).lower())))
+        if self(probe) != self._packed(self.tokenizer.encode(probe, add_special_tokens=False).ids):
+            raise ValueError("the tokenizer splits a text differently")
 
     def __call__(self, text: str) -> bytes:
         """The ids as unsigned 32-bit little-endian numbers."""
         lower = text.lower()
         if self.odd.search(lower) or self.added.search(text):
             return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        found = self.split.findall(lower)
-        known = self.known
-        new = list(set(found).difference(known))
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(set(found))
-            for at in range(0, len(new), 4096):
-                self._learn(new[at : at + 4096])
-        return b"".join(map(known.__getitem__, found))
-
-    def _learn(self, new: list[str]) -> None:
-        """Encodes many pre-tokens as one text; the tokenizer tells which ids belong to which."""
-        e = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        ids, owner = np.array(e.ids, "<u4"), np.array(e.word_ids)
-        starts = np.searchsorted(owner, np.arange(len(new) + 1)) if len(owner) else np.zeros(1, int)
-        if len(owner) == 0 or owner[-1] != len(new) - 1 or (np.diff(starts) == 0).any():
-            raise ValueError("the tokenizer splits a text differently")
-        data, cut_at = ids.tobytes(), (4 * starts).tolist()
-        self.known.update(zip(new, [data[a:b] for a, b in zip(cut_at[:-1], cut_at[1:], strict=True)], strict=True))
+        return b"".join(map(self.__getitem__, self.split.findall(lower)))
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.pop(word, None)
+        if ids is None:
+            ids = self._packed([t.id for t in self.model.tokenize(word if word.isascii() else _byte_level(word))])
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED // 2:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return _numbers(len(ids))(*ids)
+
+
+@cache
+def _numbers(n: int) -> Callable[..., bytes]:
+    return struct.Struct(f"<{n}I").pack
+
+
+def _byte_level(word: str) -> str:
+    """The characters that stand for the word's UTF-8 bytes in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
+    return word.encode().decode("latin-1").translate(_BYTE_LEVEL)
+
+
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LEVEL = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
+
+
+def _probe(characters: str) -> str:
+    """A text that has them next to each other, to letters, digits, signs and spaces, and in contractions."""
+    around = [f"{c} {c}a{c}{c}1{c}-{c}'s b{c}'ll 'T{c}" for c in characters]
+    return "".join([characters, *around, " they're I'VE don't 'd'm"])
 
 
 @cache
@@ -140,7 +161,6 @@ def tokenized(docs: DataFrame, key: str, text: str, path: str, ids: bool = True)
                     size = 0
             if row:
                 yield out()
-        encode.known.clear()
         release()
 
     schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary"

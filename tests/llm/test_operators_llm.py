@@ -382,3 +382,37 @@ def test_chunks_without_spaces(frame):
     spans = chunks.repeated_spans(docs, "doc_id", "text")
     assert {r["doc_id"]: r["text"] for r in chunks.without_spans(docs, "doc_id", "text", spans).collect()} == want
     assert {r["doc_id"]: [s["stop"] - s["start"] for s in r["spans"]] for r in spans.collect()} == {1: [450], 11: [450], 21: [150]}
+
+
+def test_frequent_pre_tokens_stay_remembered(monkeypatch):
+    """Of many pre-tokens, those that come again are encoded once, long ones never remembered."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "REMEMBERED", 16)
+    path = queries.tokenizer_path()
+    words, tokenizer = packing.WordIds(path), Tokenizer.from_file(path)
+    words.clear()
+    words.older.clear()
+    asked = []
+
+    class Watched:
+        def tokenize(self, word):
+            asked.append(word)
+            return tokenizer.model.tokenize(word)
+
+    words.model = Watched()
+    for i in range(60):
+        text = f"The épée isn't {'x' * 99} {chr(97 + i % 26)}q{chr(97 + i // 26)}ž"
+        assert words(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert asked.count("the") == asked.count("isn") == 1 and asked.count("x" * 99) == 60
+    assert len(words) + len(words.older) <= 16
+
+
+def test_a_tokenizer_that_splits_otherwise_is_refused(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_file(queries.tokenizer_path())
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    other.save(str(tmp_path / "other.json"))
+    with pytest.raises(ValueError, match="splits a text differently"):
+        packing.WordIds(str(tmp_path / "other.json"))
